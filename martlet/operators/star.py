@@ -83,8 +83,9 @@ def return_anomaly_by_nation(lineitem, orders, customer, nation, region,
              .select("n_name", "r_name", F.col("items").cast("bigint").alias("items"),
                      F.col("returned").cast("bigint").alias("returned"),
                      ratio("returned", "items").alias("_rate")))
-    mu = rates.select(F.avg("_rate")).scalar()
-    sd = rates.select(F.stddev_pop("_rate")).scalar()
+    stats = rates.select(F.struct(F.avg("_rate").alias("mu"),
+                                  F.stddev_pop("_rate").alias("sd"))).scalar()
+    mu, sd = stats["mu"], stats["sd"]
     z = F.try_divide(F.col("_rate") - mu, sd)
     return rates.select("n_name", "r_name", "items", "returned",
                         round6("_rate").alias("return_rate"), round6(z).alias("z_score"),
@@ -110,8 +111,8 @@ def zscore_rows(df: DataFrame, value: str, keep: list[str], threshold: float = 1
     stddev are one-row scalar subqueries (no global window, no cross join);
     nulls count as 0 like the reference's fillna(0)."""
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    mu = df.select(F.avg(v)).scalar()
-    sd = df.select(F.stddev_pop(v)).scalar()
+    stats = df.select(F.struct(F.avg(v).alias("mu"), F.stddev_pop(v).alias("sd"))).scalar()
+    mu, sd = stats["mu"], stats["sd"]
     z = F.try_divide(v - mu, F.when(sd != 0, sd))
     out = df.select(*keep, F.col(value), round6(z).alias("z_score"))
     if only_outliers:
