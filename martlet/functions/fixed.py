@@ -42,8 +42,15 @@ PERCENT_DETECT = r"%\s*$"
 # Cleaning NA spellings, compared after trim and lower-casing.
 NA_STRINGS = ["nan", "none", "null", "na", "n/a", "nil", "#n/a", "#na", "-", "--", ""]
 # Spellings a delimited-file reader treats as missing at read time (exact case).
-READER_NA_STRINGS = ["N/A", "NA", "NULL", "null", "None", "NaN", "nan", "n/a",
-                     "<NA>", "#N/A", "#NA", ""]
+READER_NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
+                     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
+                     "nan", "null"]
+READER_TRUE = ["True", "TRUE", "true"]
+READER_FALSE = ["False", "FALSE", "false"]
+# Date formats tried in order after the ISO cast (Spark datetime patterns).
+DATE_FORMATS = ["M/d/yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s", "yyyy/M/d", "yyyy/M/d H:m:s",
+                "yyyy-M-d", "yyyy-M-d H:m:s", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+                "d MMM yyyy", "d MMMM yyyy"]
 
 SQL_RESERVED_NAMES = [
     "select", "from", "where", "group", "order", "by", "having", "join", "on",
