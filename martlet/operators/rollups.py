@@ -85,13 +85,37 @@ def avg_by(df: DataFrame, dim: str, metric: ColumnOrName, name: str = "avg_value
             .orderBy(F.col(name).desc_nulls_last(), F.col(dim).asc_nulls_last()))
 
 
+def exact_quantiles(df: DataFrame, metric: str, probs: list[float]) -> list[float | None]:
+    """Exact linear-interpolation quantiles without collecting the values
+    into one buffer (``percentile`` keeps every value of a group in one
+    task). Job 1 counts the values (one-row aggregate). Job 2 sorts them
+    with a distributed range sort, gives every value its global position
+    (``with_ordered_ids``) and keeps only the rows at the <= 2 positions per
+    quantile, which are all that reach the driver. A row-order tie-breaker
+    spreads a hot value over several range partitions."""
+    import math
+
+    from martlet.plans.numbering import with_ordered_ids
+    v = (df.select(F.col(metric).cast("double").alias("v")).filter(F.col("v").isNotNull())
+         .withColumn("_t", F.monotonically_increasing_id()))
+    n = v.agg(F.count(F.lit(1))).first()[0]
+    if n == 0:
+        return [None for _ in probs]
+    spots = [((n - 1) * p, math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in probs]
+    wanted = sorted({x for _, a, b in spots for x in (a, b)})
+    ranked = with_ordered_ids(v, [F.col("v"), F.col("_t")], "pos", start=0)
+    at = {r["pos"]: r["v"] for r in ranked.filter(F.col("pos").isin(wanted)).select("pos", "v").collect()}
+    return [at[a] + (h - a) * (at[b] - at[a]) for h, a, b in spots]
+
+
 def distribution(df: DataFrame, metric: str, exact: bool = True) -> DataFrame:
     """One-row spread: count, min, max, mean, population stddev, quartiles.
-    ``exact=False`` switches the quartiles to ``percentile_approx`` (a
-    bounded sketch per partition) for very large inputs."""
+    Exact quartiles use a distributed sort (see ``exact_quantiles``);
+    ``exact=False`` uses ``percentile_approx`` (a bounded sketch per
+    partition, one pass)."""
     m = F.col(metric).cast("double")
     if exact:
-        q = [F.percentile(m, p) for p in (0.25, 0.5, 0.75)]
+        q = [F.lit(x).cast("double") for x in exact_quantiles(df, metric, [0.25, 0.5, 0.75])]
     else:
         q = [F.percentile_approx(m, p, 10000) for p in (0.25, 0.5, 0.75)]
     return df.agg(

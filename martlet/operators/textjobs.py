@@ -68,9 +68,11 @@ def match_glossary(df: DataFrame, text: str, key: str) -> DataFrame:
     """TXT-4: one row per (question, glossary term it mentions)."""
     terms = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("term"), F.lit(g).alias("guidance"))
                       for i, (t, g) in enumerate(fixed.GLOSSARY)])
-    q = _lower(text)
-    hits = F.filter(terms, lambda t: F.contains(q, t["term"]))
-    return (df.select(key, F.explode(hits).alias("h"))
+    # lower-case once per row: an expression inside the lambda would be
+    # re-evaluated for every glossary term
+    low = df.select(key, _lower(text).alias("_q"))
+    hits = F.filter(terms, lambda t: F.contains(F.col("_q"), t["term"]))
+    return (low.select(key, F.explode(hits).alias("h"))
             .select(key, F.col("h.term").alias("term"), F.col("h.guidance").alias("guidance")))
 
 
@@ -80,12 +82,12 @@ def rank_tables(df: DataFrame, text: str, key: str) -> DataFrame:
     One row per (question, rank, table)."""
     entries = [(k, t) for k, tables in fixed.TABLE_KEYWORDS for t in tables]
     arr = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in entries])
-    q = _lower(text)
-    preferred = F.array_distinct(F.transform(F.filter(arr, lambda e: F.contains(q, e["k"])),
+    low = df.select(key, _lower(text).alias("_q"))
+    preferred = F.array_distinct(F.transform(F.filter(arr, lambda e: F.contains(F.col("_q"), e["k"])),
                                              lambda e: e["t"]))
     ordered = F.concat(preferred, F.array_except(F.array(*[F.lit(t) for t in WAREHOUSE_TABLE_ORDER]),
                                                  preferred))
-    return (df.select(key, F.posexplode(ordered).alias("pos", "table_name"))
+    return (low.select(key, F.posexplode(ordered).alias("pos", "table_name"))
             .select(key, (F.col("pos") + 1).alias("rank"), "table_name"))
 
 
@@ -97,8 +99,12 @@ MSG_SELECT = "Only SELECT queries are permitted."
 MSG_STAR = "The query uses SELECT *; explicit columns are preferred for warehouse analytics."
 
 
+WHITESPACE = " \t\n\r\f\u000b"
+
+
 def _strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace (no regex scan of the text body)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def normalize_sql(sql: ColumnOrName) -> Column:
@@ -107,9 +113,11 @@ def normalize_sql(sql: ColumnOrName) -> Column:
 
 
 def audit_sql(df: DataFrame, sql: str) -> DataFrame:
-    """TXT-6: (normalized_sql, errors, warnings, is_valid) per SQL string."""
-    n = normalize_sql(sql)
-    low = F.lower(n)
+    """TXT-6: (normalized_sql, errors, warnings, is_valid) per SQL string.
+    The normalised and lower-cased texts are computed once (own projection)
+    and shared by all checks."""
+    base = df.withColumn("normalized_sql", normalize_sql(sql)).withColumn("_low", F.lower("normalized_sql"))
+    n, low = F.col("normalized_sql"), F.col("_low")
     checks = [F.when(F.contains(n, F.lit(";")), F.lit(MSG_MULTI))]
     checks += [F.when(low.rlike(_WORD_EDGE_L + kw + _WORD_EDGE_R), F.lit(f"Unsafe SQL keyword detected: {kw}."))
                for kw in fixed.UNSAFE_KEYWORDS]
@@ -120,8 +128,8 @@ def audit_sql(df: DataFrame, sql: str) -> DataFrame:
     errors = F.when(F.length(n) == 0, F.array(F.lit(MSG_EMPTY))).otherwise(found)
     warn = F.when((F.length(n) > 0) & F.contains(low, F.lit("*")) & ~F.contains(low, F.lit("count(*)")),
                   F.array(F.lit(MSG_STAR))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("normalized_sql", n).withColumn("errors", errors) \
-        .withColumn("warnings", warn).withColumn("is_valid", F.size("errors") == 0)
+    return base.withColumn("errors", errors).withColumn("warnings", warn) \
+        .withColumn("is_valid", F.size("errors") == 0).drop("_low")
 
 
 # ---------------------------------------------------------------- replies
@@ -190,20 +198,32 @@ def result_match(a: DataFrame, b: DataFrame) -> DataFrame:
         ((only_a == 0) & (only_b == 0)).alias("same"))
 
 
+def slug_base(text: ColumnOrName) -> Column:
+    """Lower, non-alphanumeric runs -> ``_``, ``_`` trimmed, first 50."""
+    s = F.regexp_replace(F.lower(_strip_ws(col(text))), "[^a-zA-Z0-9]+", "_")
+    return F.substring(F.btrim(s, F.lit("_")), 1, fixed.SLUG_MAX)
+
+
+def slug_default(base: ColumnOrName) -> Column:
+    b = col(base)
+    return F.when(F.length(b) == 0, F.lit(fixed.SLUG_DEFAULT)).otherwise(b)
+
+
 def slug(text: ColumnOrName) -> Column:
     """TXT-10: lower, non-alphanumeric runs -> ``_``, trimmed, first 50,
     ``analysis`` when nothing is left."""
-    s = F.regexp_replace(F.lower(_strip_ws(col(text))), "[^a-zA-Z0-9]+", "_")
-    s = F.substring(F.btrim(s, F.lit("_")), 1, fixed.SLUG_MAX)
-    return F.when(F.length(s) == 0, F.lit(fixed.SLUG_DEFAULT)).otherwise(s)
+    return slug_default(slug_base(text))
 
 
 def slug_keys(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Slug per row plus how many rows share it. The counts are a grouped
-    aggregate joined back on the slug (a hot slug is combined map-side; the
-    join is split by AQE skew handling), not a window holding a group in one
-    task."""
-    s = df.select(key, slug(text).alias("slug"))
+    """Slug per row plus how many rows share it. The text is scanned once:
+    the narrow (key, slug) result is written to the shared checkpoint folder
+    (it is read twice below). The counts are a grouped aggregate joined back
+    on the slug (a hot slug is combined map-side; the join is split by AQE
+    skew handling), not a window holding a group in one task."""
+    from martlet.session import cut_lineage
+    base = df.select(key, slug_base(text).alias("_b"))
+    s = cut_lineage(base.select(key, slug_default("_b").alias("slug")))
     counts = s.groupBy("slug").agg(F.count(F.lit(1)).alias("slug_count"))
     return s.join(counts, "slug").select(key, "slug", "slug_count")
 
