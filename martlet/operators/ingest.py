@@ -31,15 +31,19 @@ class StarResult:
 def build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
     """PRF-5: CLN-1..14 -> PRF-1..4 -> fact and dimensions written."""
     spark = raw.sparkSession
-    cleaned, rename_map, decisions = CL.clean_upload(raw)
+    if not raw.columns:
+        raise ValueError("CSV parsed to a table with no columns.")
+    named, rename_map = CL.sanitize_columns(raw)
+    deduped = CL.drop_exact_duplicates(CL.drop_empty_rows(CL.infer_column_types(named)))
     rows_read = raw.select(F.count(F.lit(1))).first()[0]
-    fact_tmp = os.path.join(out_dir, "_fact")
-    write_table(cleaned, fact_tmp, "overwrite")
-    fact = spark.read.parquet(fact_tmp)
-    kept = fact.select(F.count(F.lit(1))).first()[0]
+    kept = deduped.select(F.count(F.lit(1))).first()[0]
     if kept == 0:
         raise ValueError("No data remains after cleaning — the file may be empty or consist "
                          "entirely of duplicate rows.")
+    cleaned, decisions = CL.coerce_types(deduped)
+    fact_tmp = os.path.join(out_dir, "_fact")
+    write_table(cleaned, fact_tmp, "overwrite")
+    fact = spark.read.parquet(fact_tmp)
     roles = PR.classify_roles(PR.profile_columns(fact))
     bp, _ = PR.build_blueprint(roles, prefix)
     tables = {bp.fact_table: fact_tmp}
