@@ -33,8 +33,7 @@ def build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
     spark = raw.sparkSession
     if not raw.columns:
         raise ValueError("CSV parsed to a table with no columns.")
-    named, rename_map = CL.sanitize_columns(raw)
-    deduped = CL.drop_exact_duplicates(CL.drop_empty_rows(CL.infer_column_types(named)))
+    deduped, rename_map = CL.clean_rows(raw)
     rows_read = raw.select(F.count(F.lit(1))).first()[0]
     kept = deduped.select(F.count(F.lit(1))).first()[0]
     if kept == 0:

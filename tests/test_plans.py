@@ -31,7 +31,7 @@ def test_top_k_is_take_ordered(spark):
 def test_profile_uses_partial_top_k(spark):
     from martlet.operators import profile as PR
     from martlet.session import Warehouse
-    p = plan(PR.profile_columns(Warehouse(spark, SF_SMALL).orders))
+    p = plan(PR.distinct_summary(Warehouse(spark, SF_SMALL).orders))
     assert "WindowGroupLimit" in p
 
 
