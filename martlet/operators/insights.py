@@ -57,7 +57,9 @@ def primary_signal(df: DataFrame, order_col: str | None = None) -> DataFrame:
     v = F.col(metric).cast("double")
     lab = F.col(label).cast("string") if label else F.lit(None).cast("string")
     # highest value first; among equal values the smallest order key
-    rank_key = F.struct((-v).alias("v"), (F.col(order_col) if order_col else F.lit(0)).alias("o"))
+    # (rows whose metric is null never win: min_by skips null ordering keys)
+    rank_key = F.when(v.isNotNull(), F.struct((-v).alias("v"),
+                                              (F.col(order_col) if order_col else F.lit(0)).alias("o")))
     agg = df.agg(F.count(F.lit(1)).alias("_n"),
                  F.min_by(F.struct(lab.alias("l"), v.alias("v")), rank_key).alias("_top"),
                  F.first(v, ignorenulls=False).alias("_only"))

@@ -105,3 +105,8 @@ def test_slug(spark):
     df = spark.createDataFrame([(1, "  Top Products: 2024! "), (2, "!!!"), (3, "x" * 80)], "id int, t string")
     r = {x["id"]: x["slug"] for x in TX.slug_keys(df, "t", "id").collect()}
     assert r == {1: "top_products_2024", 2: "analysis", 3: "x" * 50}
+
+
+def test_primary_ignores_null_metric(spark):
+    df = spark.createDataFrame([("a", None), ("b", 5.0), ("c", 3.0)], "k string, v double")
+    assert I.primary_signal(df, "k").first()["label"] == "b"
