@@ -175,3 +175,15 @@ def test_build_star_writes_tables(spark, tmp_path):
     assert res.blueprint.fact_table == "sales_upload_fact"
     assert res.blueprint.dim_tables == {"dim_region": "region"}
     assert res.report.rows_kept == 30 and res.report.rows_removed == 1
+
+
+def test_profile_approx_matches_exact_on_small(spark):
+    df = spark.createDataFrame([(i % 7, f"v{i % 5}", float(i) / 4) for i in range(100)] + [(None, None, None)],
+                               "a int, b string, c double")
+    exact = {r["name"]: r for r in PR.profile_columns(df).collect()}
+    approx = {r["name"]: r for r in PR.profile_columns(df, approx=True).collect()}
+    for n in ("a", "b", "c"):
+        assert exact[n]["n_unique"] == approx[n]["n_unique"]
+        assert exact[n]["null_pct"] == approx[n]["null_pct"]
+    assert approx["a"]["sample_values"] == ["0", "1", "2"]
+    assert approx["b"]["sample_values"] == ["v0", "v1", "v2"]
