@@ -29,26 +29,35 @@ class StarResult:
 
 
 def build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
-    """PRF-5: CLN-1..14 -> PRF-1..4 -> fact and dimensions written."""
+    """PRF-5: CLN-1..14 -> PRF-1..4 -> fact and dimensions written.
+
+    Scans: the input twice (typing aggregate, which also counts the rows
+    read; the deduplicating checkpoint), the deduplicated rows twice (the
+    deciding aggregate, which also counts the rows kept; the fact write),
+    the fact once for the profile and once for ALL dimensions together."""
     spark = raw.sparkSession
     if not raw.columns:
         raise ValueError("CSV parsed to a table with no columns.")
-    deduped, rename_map = CL.clean_rows(raw)
-    rows_read = raw.select(F.count(F.lit(1))).first()[0]
-    kept = deduped.select(F.count(F.lit(1))).first()[0]
+    deduped, rename_map, rows_read = CL.clean_rows_counted(raw)
+    cleaned, decisions, kept = CL.coerce_types_counted(deduped)
     if kept == 0:
         raise ValueError("No data remains after cleaning — the file may be empty or consist "
                          "entirely of duplicate rows.")
-    cleaned, decisions = CL.coerce_types(deduped)
     fact_tmp = os.path.join(out_dir, "_fact")
     write_table(cleaned, fact_tmp, "overwrite")
     fact = spark.read.parquet(fact_tmp)
     roles = PR.classify_roles(PR.profile_columns(fact))
     bp, _ = PR.build_blueprint(roles, prefix)
     tables = {bp.fact_table: fact_tmp}
+    dim_cols = list(bp.dim_tables.values())
+    # dimension columns hold <= MAX_DIMENSION_CARDINALITY values (exact
+    # profile), so all of them come from one grouping-sets pass
+    values = PR.dimension_values(fact, dim_cols) if dim_cols else None
     for dim_table, column in bp.dim_tables.items():
         path = os.path.join(out_dir, dim_table)
-        write_table(PR.extract_dimension(fact, column), path, "overwrite")
+        dim = (PR.dimension_table(values, dim_cols, column) if values is not None
+               else PR.extract_dimension(fact, column))
+        write_table(dim, path, "overwrite")
         tables[dim_table] = path
     return StarResult(bp, rename_map, decisions, tables,
                       CL.CleaningReport(rows_read, kept, rows_read - kept))

@@ -187,3 +187,34 @@ def test_profile_approx_matches_exact_on_small(spark):
         assert exact[n]["null_pct"] == approx[n]["null_pct"]
     assert approx["a"]["sample_values"] == ["0", "1", "2"]
     assert approx["b"]["sample_values"] == ["v0", "v1", "v2"]
+
+
+def test_dimension_values_match_single_column(spark):
+    rows = [(["b", "a", "c"][i % 3], [None, "x", "y", "x"][i % 4], ["p", "q"][i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "s1 string, s2 string, `s 3` string")
+    cols = ["s1", "s2", "s 3"]
+    vals = PR.dimension_values(df, cols)
+    assert vals is not None
+    for c in cols:
+        got = [tuple(r) for r in PR.dimension_table(vals, cols, c).orderBy("id").collect()]
+        want = [tuple(r) for r in PR.extract_dimension(df, c).orderBy("id").collect()]
+        assert got == want
+
+
+def test_dimension_values_bound_falls_back(spark):
+    df = spark.createDataFrame([(f"v{i}",) for i in range(12)], "c string")
+    assert PR.dimension_values(df, ["c"], max_values=10) is None
+    assert PR.dimension_values(df, ["c"], max_values=12) is not None
+
+
+def test_build_star_dimension_content(spark, tmp_path):
+    raw = spark.createDataFrame([(f"{i}", ["west", "east", "north"][i % 3], ["a", "b"][i % 2], f"{i}.5")
+                                 for i in range(60)] + [("0", "west", "a", "0.5")],
+                                "id string, Region string, Tier string, Amount string")
+    res = IG.build_star(raw, "s", str(tmp_path / "star"))
+    assert res.blueprint.dim_tables == {"dim_region": "region", "dim_tier": "tier"}
+    assert res.report.rows_read == 61 and res.report.rows_kept == 60
+    reg = [tuple(r) for r in spark.read.parquet(res.tables["dim_region"]).orderBy("id").collect()]
+    assert reg == [(1, "east"), (2, "north"), (3, "west")]
+    tier = [tuple(r) for r in spark.read.parquet(res.tables["dim_tier"]).orderBy("id").collect()]
+    assert tier == [(1, "a"), (2, "b")]
