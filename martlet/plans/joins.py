@@ -1,10 +1,13 @@
 """Join planning helpers.
 
-Broadcasting is only ever forced for a side whose row count has been proven
-small by a bounded count (``limit(max_rows + 1).count()`` reads at most
-``max_rows + 1`` rows). Anything larger is left to Catalyst's size-based
-choice and to AQE, which re-plans on real shuffle sizes and splits skewed
-partitions of sort-merge joins.
+Broadcasting is only ever forced for a side whose size has been proven
+small by a bounded probe: ``limit(max_rows + 1)`` reads at most
+``max_rows + 1`` rows, and the same probe sums their serialized size, so a
+side is broadcast only if it has at most ``max_rows`` rows AND at most
+``max_bytes`` bytes (JSON text of the rows, an over-estimate of the
+in-memory size). Anything larger is left to Catalyst's size-based choice and
+to AQE, which re-plans on real shuffle sizes and splits skewed partitions of
+sort-merge joins.
 """
 
 from __future__ import annotations
@@ -13,10 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSION_ROW_BOUND = 1_000_000
+BROADCAST_BYTE_BOUND = 64 << 20
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_ROW_BOUND) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` holds at most ``max_rows`` rows,
+def fits_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_BOUND,
+                   max_bytes: int = BROADCAST_BYTE_BOUND) -> bool:
+    """One bounded job: at most ``max_rows + 1`` rows are read and measured."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    probe = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                       F.sum(F.octet_length(row)).alias("b")).first()
+    return probe["n"] <= max_rows and (probe["b"] or 0) <= max_bytes
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_ROW_BOUND,
+                         max_bytes: int = BROADCAST_BYTE_BOUND) -> DataFrame:
+    """Return ``broadcast(df)`` when ``df`` is proven within both bounds,
     else ``df`` unchanged (shuffle join, AQE may still broadcast it)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df

@@ -41,3 +41,26 @@ def test_profile_uses_partial_top_k(spark):
 def test_no_python_udf(spark, key):
     p = plan(QUERIES[key](spark, SF_SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "FlatMapGroupsInPandas" not in p
+
+
+def test_broadcast_only_within_row_and_byte_bounds(spark):
+    from martlet.plans.joins import broadcast_if_bounded, fits_broadcast
+    df = spark.range(100).selectExpr("id", "repeat('x', 100) AS pad")
+    assert fits_broadcast(df)
+    assert not fits_broadcast(df, max_rows=99)
+    assert not fits_broadcast(df, max_bytes=5_000)
+    src = spark.range(100)
+    assert broadcast_if_bounded(src, max_bytes=10) is src
+    hinted = broadcast_if_bounded(src)
+    assert hinted is not src and "broadcast" in hinted._jdf.queryExecution().analyzed().toString()
+
+
+def test_dimensions_share_one_scan(spark):
+    from martlet.operators import profile as PR
+    from martlet.session import Warehouse
+    o = Warehouse(spark, SF_SMALL).orders
+    vals = PR.dimension_values(o, ["o_orderstatus", "o_orderpriority"])
+    sets = o.groupingSets([["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority").count()
+    q = plan(sets)
+    assert q.count("FileScan parquet") == 1 and "Expand" in q and "partial_count" in q
+    assert vals is not None and vals.count() == 3 + 5
