@@ -85,27 +85,67 @@ def avg_by(df: DataFrame, dim: str, metric: ColumnOrName, name: str = "avg_value
             .orderBy(F.col(name).desc_nulls_last(), F.col(dim).asc_nulls_last()))
 
 
+QUANTILE_SKETCH_ACCURACY = 1_000
+QUANTILE_BRACKET = 4.0 / QUANTILE_SKETCH_ACCURACY
+
+
+def _ranked_values(v: DataFrame, wanted: list[int]) -> dict[int, float]:
+    """Values at 0-based positions ``wanted`` of the sorted ``v`` column:
+    distributed range sort + global numbering; only those rows are fetched.
+    A row-order tie-breaker spreads a hot value over several partitions."""
+    from martlet.plans.numbering import with_ordered_ids
+    ranked = with_ordered_ids(v.withColumn("_t", F.monotonically_increasing_id()),
+                              [F.col("v"), F.col("_t")], "pos", start=0)
+    return {r["pos"]: r["v"] for r in ranked.filter(F.col("pos").isin(wanted)).select("pos", "v").collect()}
+
+
 def exact_quantiles(df: DataFrame, metric: str, probs: list[float]) -> list[float | None]:
-    """Exact linear-interpolation quantiles without collecting the values
-    into one buffer (``percentile`` keeps every value of a group in one
-    task). Job 1 counts the values (one-row aggregate). Job 2 sorts them
-    with a distributed range sort, gives every value its global position
-    (``with_ordered_ids``) and keeps only the rows at the <= 2 positions per
-    quantile, which are all that reach the driver. A row-order tie-breaker
-    spreads a hot value over several range partitions."""
+    """Exact linear-interpolation quantiles without sorting the whole column
+    and without collecting values into one buffer (``percentile`` keeps
+    every value of a group in one task).
+
+    Job 1: the count and, per quantile, a bracket [lo, hi] from a
+    ``percentile_approx`` sketch (bounded memory, merged map-side) a few
+    sketch errors either side of the quantile. Job 2 proves each bracket:
+    ``count(v < lo)`` and ``count(lo <= v <= hi)`` must put the needed ranks
+    inside it. Job 3 range-sorts only the bracketed values (about
+    2 x bracket x n rows per quantile, tagged by quantile) and fetches the
+    <= 2 rows per quantile at the needed positions. If a bracket cannot be
+    proven, the whole column is range-sorted instead; both paths are exact."""
     import math
 
-    from martlet.plans.numbering import with_ordered_ids
-    v = (df.select(F.col(metric).cast("double").alias("v")).filter(F.col("v").isNotNull())
-         .withColumn("_t", F.monotonically_increasing_id()))
-    n = v.agg(F.count(F.lit(1))).first()[0]
+    v = df.select(F.col(metric).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    lows = [max(0.0, p - QUANTILE_BRACKET) for p in probs]
+    highs = [min(1.0, p + QUANTILE_BRACKET) for p in probs]
+    first = v.agg(F.count(F.lit(1)).alias("n"),
+                  F.percentile_approx("v", lows + highs, QUANTILE_SKETCH_ACCURACY).alias("b")).first()
+    n = first["n"]
     if n == 0:
         return [None for _ in probs]
     spots = [((n - 1) * p, math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in probs]
-    wanted = sorted({x for _, a, b in spots for x in (a, b)})
-    ranked = with_ordered_ids(v, [F.col("v"), F.col("_t")], "pos", start=0)
-    at = {r["pos"]: r["v"] for r in ranked.filter(F.col("pos").isin(wanted)).select("pos", "v").collect()}
-    return [at[a] + (h - a) * (at[b] - at[a]) for h, a, b in spots]
+    k = len(probs)
+    lo, hi = first["b"][:k], first["b"][k:]
+    within = [(F.col("v") >= lo[i]) & (F.col("v") <= hi[i]) for i in range(k)]
+    proof = v.agg(*[F.count_if(F.col("v") < lo[i]).alias(f"b{i}") for i in range(k)],
+                  *[F.count_if(within[i]).alias(f"w{i}") for i in range(k)]).first()
+    below = [proof[f"b{i}"] for i in range(k)]
+    inside = [proof[f"w{i}"] for i in range(k)]
+    if not all(below[i] <= a and below[i] + inside[i] > b for i, (_, a, b) in enumerate(spots)):
+        wanted = sorted({x for _, a, b in spots for x in (a, b)})
+        at = _ranked_values(v, wanted)
+        return [at[a] + (h - a) * (at[b] - at[a]) for h, a, b in spots]
+    # bracket i occupies positions [start_i, start_i + inside_i) of the
+    # (quantile, value)-ordered subset; shift by below_i to the column rank
+    start = [sum(inside[:i]) for i in range(k)]
+    tagged = (v.select(F.explode(F.filter(F.array(*[F.when(within[i], F.lit(i)) for i in range(k)]),
+                                          lambda x: x.isNotNull())).alias("_q"), "v"))
+    from martlet.plans.numbering import with_ordered_ids
+    ranked = with_ordered_ids(tagged.withColumn("_t", F.monotonically_increasing_id()),
+                              [F.col("_q"), F.col("v"), F.col("_t")], "pos", start=0)
+    want = {start[i] + x - below[i]: (i, x) for i, (_, a, b) in enumerate(spots) for x in (a, b)}
+    got = {r["pos"]: r["v"] for r in ranked.filter(F.col("pos").isin(list(want))).select("pos", "v").collect()}
+    at = {want[pos]: val for pos, val in got.items()}
+    return [at[(i, a)] + (h - a) * (at[(i, b)] - at[(i, a)]) for i, (h, a, b) in enumerate(spots)]
 
 
 def distribution(df: DataFrame, metric: str, exact: bool = True) -> DataFrame:

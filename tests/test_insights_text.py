@@ -1,6 +1,7 @@
 """Insights, charts, SQL audit, routing, reply parsing and scoring on the
 reference's unit fixtures."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from martlet.operators import charts as C
@@ -110,3 +111,31 @@ def test_slug(spark):
 def test_primary_ignores_null_metric(spark):
     df = spark.createDataFrame([("a", None), ("b", 5.0), ("c", 3.0)], "k string, v double")
     assert I.primary_signal(df, "k").first()["label"] == "b"
+
+
+@pytest.mark.parametrize("case", ["spread", "hot", "tiny", "two", "fallback"])
+def test_exact_quantiles_match_numpy(spark, case, monkeypatch):
+    import numpy as np
+    from martlet.operators import rollups as R
+    rng = np.random.default_rng(7)
+    if case == "hot":
+        vals = np.concatenate([np.full(3000, 42.0), rng.integers(0, 500, 6000).astype(float)])
+    elif case == "tiny":
+        vals = np.array([5.0])
+    elif case == "two":
+        vals = np.array([1.0, 9.0])
+    else:
+        vals = rng.normal(100, 30, 20000).round(2)
+    if case == "fallback":
+        monkeypatch.setattr(R, "QUANTILE_BRACKET", 0.0)
+        monkeypatch.setattr(R, "QUANTILE_SKETCH_ACCURACY", 10)
+    full_sorts = []
+    real = R._ranked_values
+    monkeypatch.setattr(R, "_ranked_values", lambda *a: full_sorts.append(1) or real(*a))
+    df = spark.createDataFrame([(float(x),) for x in vals] + [(None,)], "m double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = R.exact_quantiles(df, "m", probs)
+    want = np.quantile(vals, probs)
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+    if case in ("spread", "hot", "fallback"):  # tiny inputs may take either exact path
+        assert bool(full_sorts) == (case == "fallback")
