@@ -188,14 +188,25 @@ def exact_match(pred: DataFrame, gold: DataFrame, key: str, text: str) -> DataFr
 
 
 def result_match(a: DataFrame, b: DataFrame) -> DataFrame:
-    """TXT-9: do two results hold the same multiset of rows?"""
-    only_a = a.exceptAll(b).select(F.count(F.lit(1))).scalar()
-    only_b = b.exceptAll(a).select(F.count(F.lit(1))).scalar()
-    na = a.select(F.count(F.lit(1))).scalar()
-    nb = b.select(F.count(F.lit(1))).scalar()
-    return a.sparkSession.range(1).select(
-        na.alias("rows_a"), nb.alias("rows_b"), only_a.alias("only_in_a"), only_b.alias("only_in_b"),
-        ((only_a == 0) & (only_b == 0)).alias("same"))
+    """TXT-9: do two results hold the same multiset of rows (columns
+    matched by position, nulls equal, as in ``EXCEPT ALL``)?
+
+    One job: rows of both sides are tagged and grouped on all columns; each
+    distinct row's copies are counted per side (combined map-side, so a row
+    repeated millions of times is one row per partition in the shuffle) and
+    the surpluses summed. Unlike ``exceptAll`` nothing is replicated back
+    into rows just to be counted."""
+    cols = a.columns
+    keys = [F.col(f"`{c}`") for c in cols]
+    both = (a.select(*keys, F.lit(1).alias("_in_a"), F.lit(0).alias("_in_b"))
+            .unionAll(b.toDF(*cols).select(*keys, F.lit(0).alias("_in_a"), F.lit(1).alias("_in_b"))))
+    per_row = both.groupBy(*keys).agg(F.sum("_in_a").alias("_ca"), F.sum("_in_b").alias("_cb"))
+    zero = F.lit(0).cast("bigint")
+    out = per_row.agg(
+        F.coalesce(F.sum("_ca"), zero).alias("rows_a"), F.coalesce(F.sum("_cb"), zero).alias("rows_b"),
+        F.coalesce(F.sum(F.greatest(F.col("_ca") - F.col("_cb"), zero)), zero).alias("only_in_a"),
+        F.coalesce(F.sum(F.greatest(F.col("_cb") - F.col("_ca"), zero)), zero).alias("only_in_b"))
+    return out.withColumn("same", (F.col("only_in_a") == 0) & (F.col("only_in_b") == 0))
 
 
 def slug_base(text: ColumnOrName) -> Column:

@@ -14,6 +14,7 @@ from martlet.operators import rollups as R
 from martlet.operators import textjobs as TX
 from martlet.session import Warehouse
 from martlet.suite.registry import register
+from martlet.suite.sales import money_sum_sql
 
 # Test-data templates ({x} is replaced by a column value).
 QUESTION_TEMPLATES = [
@@ -240,11 +241,17 @@ def exact_match_score(spark, sf):
     return TX.exact_match(pred, gold, "event_id", "sql")
 
 
-@register("result_match", """
-SELECT 80 AS rows_a, 80 AS rows_b, 0 AS only_in_a, 0 AS only_in_b, TRUE AS same
-FROM (SELECT 1) WHERE (SELECT COUNT(DISTINCT strftime(o_orderdate, '%Y-%m')) FROM orders) = 80
-UNION ALL
-SELECT n, n, 0, 0, TRUE FROM (SELECT COUNT(DISTINCT strftime(o_orderdate, '%Y-%m')) AS n FROM orders) WHERE n <> 80""")
+RESULT_A_SQL = f"""SELECT strftime(o_orderdate, '%Y-%m') AS month, {money_sum_sql('o_totalprice')} AS total_revenue
+  FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1"""
+
+
+@register("result_match", f"""
+WITH a AS ({RESULT_A_SQL}), b AS ({RESULT_A_SQL})
+SELECT CAST((SELECT COUNT(*) FROM a) AS BIGINT) AS rows_a, CAST((SELECT COUNT(*) FROM b) AS BIGINT) AS rows_b,
+       CAST((SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS BIGINT) AS only_in_a,
+       CAST((SELECT COUNT(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS BIGINT) AS only_in_b,
+       (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) = 0
+       AND (SELECT COUNT(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) = 0 AS same""")
 def result_match(spark, sf):
     wh = Warehouse(spark, sf)
     a = R.monthly_trend(wh.orders, "o_orderdate", "o_totalprice")

@@ -139,3 +139,17 @@ def test_exact_quantiles_match_numpy(spark, case, monkeypatch):
     assert np.allclose(got, want, rtol=0, atol=1e-9)
     if case in ("spread", "hot", "fallback"):  # tiny inputs may take either exact path
         assert bool(full_sorts) == (case == "fallback")
+
+
+def test_result_match_counts_multiset_difference(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (4, "w")], "kk int, vv string")
+    r = TX.result_match(a, b).first()
+    assert (r["rows_a"], r["rows_b"]) == (5, 4)
+    assert r["only_in_a"] == a.exceptAll(b.toDF("k", "v")).count() == 3
+    assert r["only_in_b"] == b.toDF("k", "v").exceptAll(a).count() == 2
+    assert r["same"] is False
+    same = TX.result_match(a, a.orderBy("k")).first()
+    assert same["same"] is True and same["only_in_a"] == 0
+    empty = TX.result_match(a.limit(0), b.limit(0)).first()
+    assert (empty["rows_a"], empty["only_in_b"], empty["same"]) == (0, 0, True)
