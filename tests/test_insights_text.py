@@ -153,3 +153,19 @@ def test_result_match_counts_multiset_difference(spark):
     assert same["same"] is True and same["only_in_a"] == 0
     empty = TX.result_match(a.limit(0), b.limit(0)).first()
     assert (empty["rows_a"], empty["only_in_b"], empty["same"]) == (0, 0, True)
+
+
+def test_unsafe_keywords_one_pass_equals_word_regex(spark):
+    from martlet.functions import fixed
+    from martlet.operators.textjobs import _WORD_EDGE_L, _WORD_EDGE_R
+    texts = ["drop delete", "insert;update", "update", "x merge", "alter\ttable", "dropdown update_x",
+             "über drop", "dropé", "select 1", "", "grant,truncate,create", "creates 2drop drop2 _drop",
+             "DELETE from t", "a-merge-b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "sql_id int, sql string")
+    got = {r["sql_id"]: sorted(e for e in r["errors"] if "keyword" in e) for r in TX.audit_sql(df, "sql").collect()}
+    low = F.lower(F.col("sql"))
+    want_df = df.select("sql_id", *[low.rlike(_WORD_EDGE_L + k + _WORD_EDGE_R).alias(k) for k in fixed.UNSAFE_KEYWORDS])
+    for r in want_df.collect():
+        want = sorted(f"Unsafe SQL keyword detected: {k}." for k in fixed.UNSAFE_KEYWORDS if r[k])
+        assert got[r["sql_id"]] == want, texts[r["sql_id"]]
+    assert len(got[0]) == 2 and len(got[1]) == 2
