@@ -85,11 +85,14 @@ def rank_tables(df: DataFrame, text: str, key: str) -> DataFrame:
     """TXT-5: preferred tables for a question: keywords in map order, a
     table's first mention wins, then every other table in catalogue order.
     One row per (question, rank, table)."""
-    entries = [(k, t) for k, tables in fixed.TABLE_KEYWORDS for t in tables]
-    arr = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in entries])
+    # each keyword is searched once (not once per table it maps to); the
+    # hits, in keyword order, are then mapped to their tables
+    words = F.array(*[F.lit(k) for k, _ in fixed.TABLE_KEYWORDS])
+    tables_of = F.create_map(*[x for k, tables in fixed.TABLE_KEYWORDS
+                               for x in (F.lit(k), F.array(*[F.lit(t) for t in tables]))])
     low = df.select(key, _lower(text).alias("_q"))
-    preferred = F.array_distinct(F.transform(F.filter(arr, lambda e: F.contains(F.col("_q"), e["k"])),
-                                             lambda e: e["t"]))
+    hits = F.filter(words, lambda k: F.contains(F.col("_q"), k))
+    preferred = F.array_distinct(F.flatten(F.transform(hits, lambda k: F.element_at(tables_of, k))))
     ordered = F.concat(preferred, F.array_except(F.array(*[F.lit(t) for t in WAREHOUSE_TABLE_ORDER]),
                                                  preferred))
     return (low.select(key, F.posexplode(ordered).alias("pos", "table_name"))

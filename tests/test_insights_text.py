@@ -169,3 +169,15 @@ def test_unsafe_keywords_one_pass_equals_word_regex(spark):
         want = sorted(f"Unsafe SQL keyword detected: {k}." for k in fixed.UNSAFE_KEYWORDS if r[k])
         assert got[r["sql_id"]] == want, texts[r["sql_id"]]
     assert len(got[0]) == 2 and len(got[1]) == 2
+
+
+def test_rank_tables_keyword_order_then_catalogue(spark):
+    df = spark.createDataFrame([(1, "Show Revenue by region"), (2, "nothing here"), (3, "monthly returns")],
+                               "qid int, question string")
+    got = {}
+    for r in TX.rank_tables(df, "question", "qid").orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["table_name"])
+    assert got[1][:5] == ["fact_orders", "fact_order_items", "dim_date", "dim_region", "fact_returns"]
+    assert got[2] == TX.WAREHOUSE_TABLE_ORDER
+    assert got[3][:5] == ["fact_returns", "fact_order_items", "fact_orders", "dim_region", "dim_date"]
+    assert all(sorted(v) == sorted(TX.WAREHOUSE_TABLE_ORDER) for v in got.values())
