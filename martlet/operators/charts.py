@@ -52,7 +52,10 @@ def line_points(df: DataFrame, x: str, y: str) -> DataFrame:
     """CHT-2: (x, y) sorted by x; when there are more than 50 rows and
     every non-null x is distinct, y is summed per ``yyyy-MM`` month of x.
     The test is one aggregate; both outcomes are built lazily and one of
-    them is kept by a scalar-subquery predicate."""
+    them is kept by a scalar-subquery predicate. The result is written
+    once to the shared checkpoint folder (it is read three times)."""
+    from martlet.session import cut_lineage
+    df = cut_lineage(df)
     stats = df.select(F.struct(F.count(F.lit(1)).alias("n"),
                                F.count_distinct(F.col(x)).alias("u"))).scalar()
     collapse = (stats["n"] > fixed.LINE_COLLAPSE_ROWS) & (stats["n"] == stats["u"])

@@ -158,7 +158,14 @@ EMPTY_MESSAGE = ("The query completed successfully, but there were no matching r
 def insights(df: DataFrame, intent: str | None, order_col: str) -> DataFrame:
     """ANL-5: the insight list (position, kind, message): an empty-result
     message, or primary, anomaly, trend and (for segmentation) cluster rows
-    in that order."""
+    in that order.
+
+    Every insight is its own aggregate over the result, so the result is
+    written once to the shared checkpoint folder first: the query that
+    produced it (possibly a scan of the whole warehouse) runs once, not once
+    per insight. Results are small (capped upstream, LIM-2)."""
+    from martlet.session import cut_lineage
+    df = cut_lineage(df)
     parts = [primary_signal(df, order_col).select("kind", "message"),
              detect_anomaly(df, order_col).select("kind", "message"),
              detect_trend(df).select("kind", "message")]
