@@ -29,7 +29,9 @@ def main() -> None:
     from martlet.session import TABLES, build_session
     from martlet.suite import ORACLE, QUERIES
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    input_bytes = sum(os.path.getsize(os.path.join(root, f))
+                      for root, _, files in os.walk(sf_dir) for f in files)
+    spark = build_session(master=f"local[{cpus}]", input_bytes=input_bytes, total_cores=int(cpus))
     keys = [k for k in QUERIES if not only or k in only]
 
     QUERIES["q_top_products"](spark, sf_dir).write.format("noop").mode("overwrite").save()

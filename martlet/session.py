@@ -15,22 +15,57 @@ TABLES = (
 ).split()
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "martlet") -> SparkSession:
-    """Session used by tests and the bench. On a cluster, callers pass their
-    own builder; everything else in the package only needs a session."""
-    spark = (
+PARTITION_BYTES = 256 << 20
+BROADCAST_BYTES = 64 << 20
+
+
+def scale_conf(input_bytes: int, total_cores: int,
+               partition_bytes: int = PARTITION_BYTES) -> dict[str, str]:
+    """Settings sized for the data so that no task holds more than about
+    ``partition_bytes``: scan splits of that size; enough shuffle partitions
+    for the largest shuffle (taken as the input size) at that size, at least
+    two waves of the cluster's cores and a whole number of waves; AQE then
+    coalesces small partitions to the advisory size and splits a partition
+    more than 5x the median (a hot key) in sort-merge joins. The broadcast
+    threshold is explicit (forced broadcasts are size-checked separately,
+    ``plans.joins``)."""
+    waves = max(2, -(-input_bytes // (partition_bytes * total_cores)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(waves * total_cores),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
+    }
+
+
+def build_session(master: str = "local[8]", shuffle_partitions: int | None = 8,
+                  app_name: str = "martlet", input_bytes: int | None = None,
+                  total_cores: int | None = None) -> SparkSession:
+    """Session used by tests and the bench. With ``input_bytes`` (and the
+    cluster's ``total_cores``) the partition settings come from
+    ``scale_conf``; on a cluster, callers may also pass their own builder:
+    everything else in the package only needs a session."""
+    builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
-        .getOrCreate()
     )
+    if input_bytes is not None:
+        for k, v in scale_conf(input_bytes, total_cores or 8).items():
+            builder = builder.config(k, v)
+    elif shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark

@@ -64,3 +64,13 @@ def test_dimensions_share_one_scan(spark):
     q = plan(sets)
     assert q.count("FileScan parquet") == 1 and "Expand" in q and "partial_count" in q
     assert vals is not None and vals.count() == 3 + 5
+
+
+def test_scale_conf_sizes_partitions():
+    from martlet.session import scale_conf
+    small = scale_conf(37 << 20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    big = scale_conf(100 << 40, 8000)
+    parts = int(big["spark.sql.shuffle.partitions"])
+    assert parts % 8000 == 0 and (100 << 40) / parts <= 256 << 20
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
