@@ -32,14 +32,13 @@ def build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
     """PRF-5: CLN-1..14 -> PRF-1..4 -> fact and dimensions written.
 
     Scans: the input twice (typing aggregate, which also counts the rows
-    read; the deduplicating checkpoint), the deduplicated rows twice (the
-    deciding aggregate, which also counts the rows kept; the fact write),
-    the fact once for the profile and once for ALL dimensions together."""
+    read; the deduplicating write, during which the coercion aggregate is
+    observed), the deduplicated rows once (the fact write), the fact once
+    for the profile and once for ALL dimensions together."""
     spark = raw.sparkSession
     if not raw.columns:
         raise ValueError("CSV parsed to a table with no columns.")
-    deduped, rename_map, rows_read = CL.clean_rows_counted(raw)
-    cleaned, decisions, kept = CL.coerce_types_counted(deduped)
+    cleaned, rename_map, decisions, rows_read, kept = CL.clean_and_coerce(raw)
     if kept == 0:
         raise ValueError("No data remains after cleaning — the file may be empty or consist "
                          "entirely of duplicate rows.")
