@@ -354,8 +354,8 @@ SELECT COUNT(*) AS rows_read, (SELECT COUNT(*) FROM orders) AS rows_kept,
        COUNT(*) - (SELECT COUNT(*) FROM orders) AS rows_removed FROM messy""")
 def cleaning_report(spark, sf):
     raw = messy_orders(Warehouse(spark, sf))
-    kept, _ = CL.clean_rows(raw)
-    return CL.cleaning_report(raw, kept)
+    kept, _, rows_read = CL.clean_rows_counted(raw)
+    return CL.cleaning_report(raw, kept, rows_read)
 
 
 # ---------------------------------------------------------------- profiling
