@@ -259,7 +259,7 @@ def first_valid_candidate(cands: DataFrame, request: str, attempt: str, sql: str
     key = F.when(in_budget & F.col(valid), F.col(attempt))
     agg = cands.groupBy(request).agg(
         F.min_by(F.col(sql), key).alias("_sql"), F.min(key).alias("chosen_attempt"),
-        F.count(F.when(in_budget, 1)).alias("_tried"), F.first(F.col(question), ignorenulls=True).alias("_q"))
+        F.count(F.when(in_budget, 1)).alias("_tried"), F.min(F.col(question)).alias("_q"))
     chosen = F.col("chosen_attempt").isNotNull()
     return agg.select(
         request, "chosen_attempt",
