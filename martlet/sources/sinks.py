@@ -5,7 +5,7 @@ rewrites only its own files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SESSION_SCHEMA = ("session_id string, created_at timestamp, question string, approved_sql string, "
@@ -40,6 +40,14 @@ def export_summary(insights: DataFrame, sql_text: str) -> DataFrame:
     return head.unionByName(filled)
 
 
+def json_list_text(items) -> Column:
+    """A list of strings as JSON text laid out like Python's ``json.dumps``
+    (``["a", "b"]``: comma and space between items; each item escaped by
+    ``to_json``, identical for ASCII text)."""
+    quoted = F.transform(items, lambda x: F.regexp_extract(F.to_json(F.array(x)), r"^\[(.*)\]$", 1))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+
+
 def session_rows(batch: DataFrame) -> DataFrame:
     """SNK-4: normalise a batch of session rows: generated id when none,
     creation time, warnings list as JSON text."""
@@ -49,7 +57,7 @@ def session_rows(batch: DataFrame) -> DataFrame:
         F.coalesce(F.col("created_at").cast("timestamp"), F.current_timestamp()).alias("created_at"),
         "question", "approved_sql", F.col("row_count").cast("int").alias("row_count"), "chart_type",
         "csv_path", "xlsx_path", "pdf_path",
-        F.to_json(F.coalesce(w, F.array().cast("array<string>"))).alias("warnings"))
+        json_list_text(F.coalesce(w, F.array().cast("array<string>"))).alias("warnings"))
 
 
 def append_sessions(batch: DataFrame, path: str) -> None:

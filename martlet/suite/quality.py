@@ -176,12 +176,26 @@ def _session_batch(wh):
         .otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 
-@register("session_log_append")
+@register("session_log_append", """
+SELECT TRUE AS session_id_generated, ts AS created_at, 'Show the monthly ' || event_type || ' trend' AS question,
+       'SELECT * FROM events WHERE event_type = ''' || event_type || '''' AS approved_sql,
+       CAST(trunc(value) AS INTEGER) AS row_count,
+       CASE WHEN event_type IN ('view', 'click') THEN 'line' WHEN event_type = 'purchase' THEN 'bar' ELSE 'table' END
+         AS chart_type,
+       CAST(NULL AS VARCHAR) AS csv_path, CAST(NULL AS VARCHAR) AS xlsx_path, CAST(NULL AS VARCHAR) AS pdf_path,
+       CASE WHEN value > 50 THEN '["The query uses SELECT *; explicit columns are preferred."]' ELSE '[]' END
+         AS warnings
+FROM events""")
 def session_log_append(spark, sf):
+    """The appended log read back; the generated session id (a random UUID)
+    is reported as a check, every other column as written."""
     path = scratch_path(spark, "sessions")
     batch = _session_batch(Warehouse(spark, sf)).withColumn("session_id", F.lit(None).cast("string"))
     SNK.append_sessions(batch, path)
-    return spark.read.parquet(path)
+    log = spark.read.parquet(path)
+    return log.select((F.length("session_id") == 36).alias("session_id_generated"),
+                      F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+                      *[c for c in log.columns if c not in ("session_id", "created_at")])
 
 
 @register("session_stats", """

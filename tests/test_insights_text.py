@@ -181,3 +181,12 @@ def test_rank_tables_keyword_order_then_catalogue(spark):
     assert got[2] == TX.WAREHOUSE_TABLE_ORDER
     assert got[3][:5] == ["fact_returns", "fact_order_items", "fact_orders", "dim_region", "dim_date"]
     assert all(sorted(v) == sorted(TX.WAREHOUSE_TABLE_ORDER) for v in got.values())
+
+
+def test_warnings_json_text_like_json_dumps(spark):
+    import json
+    from martlet.sources.sinks import json_list_text
+    rows = [(["a", "b"],), ([],), (['q"x', "back\\slash", "tab\there", "n\nl", "sl/ash"],), (["one"],)]
+    df = spark.createDataFrame(rows, "w array<string>")
+    got = [r["j"] for r in df.select(json_list_text(F.col("w")).alias("j")).collect()]
+    assert got == [json.dumps(w) for (w,) in rows]
