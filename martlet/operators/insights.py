@@ -202,12 +202,17 @@ def moving_average(series: DataFrame, period: str, index: str, value: str, k: in
 def cluster_entities(df: DataFrame, key: str, features: list[str], k: int = 4,
                      seed: int = 7) -> DataFrame:
     """ANL-8: k-means segments over standardised numeric features
-    (MLlib: each iteration is one distributed pass plus a k-row reduce)."""
+    (MLlib: each iteration is one distributed pass plus a k-row reduce).
+    The feature table (one row per entity) is written once to the shared
+    checkpoint folder: the scaler fit, the k-means fit and the assignment
+    all read it, so the query behind it runs once."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    clean = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    from martlet.session import cut_lineage
+    clean = cut_lineage(df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+                                         for c in features]))
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),

@@ -190,3 +190,40 @@ def test_warnings_json_text_like_json_dumps(spark):
     df = spark.createDataFrame(rows, "w array<string>")
     got = [r["j"] for r in df.select(json_list_text(F.col("w")).alias("j")).collect()]
     assert got == [json.dumps(w) for (w,) in rows]
+
+
+def test_kmeans_recovers_blobs_and_is_a_fixed_point(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    centers = [(0, 0, 0), (50, 50, 0), (0, 50, 50), (50, 0, 50)]
+    rows = [(i * 4 + b, *(np.array(c) + rng.normal(0, 1, 3)).tolist())
+            for i in range(30) for b, c in enumerate(centers)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    out = I.cluster_entities(df, "id", ["a", "b", "c"], k=4).toPandas()
+    out["blob"] = out["id"] % 4
+    assert out.groupby("blob")["cluster"].nunique().eq(1).all() and out["cluster"].nunique() == 4
+    x = out[["a", "b", "c"]].to_numpy()
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    means = np.stack([z[out["cluster"] == k].mean(0) for k in range(4)])
+    nearest = ((z[:, None, :] - means[None, :, :]) ** 2).sum(-1).argmin(1)
+    assert (nearest == out["cluster"].to_numpy()).all()
+
+
+def test_cluster_customers_query_is_a_kmeans_fixed_point(spark):
+    """Brute-force check of the registered k-means query (no SQL oracle):
+    every customer with orders appears once and sits in the cluster whose
+    standardised mean is nearest."""
+    import duckdb
+    import numpy as np
+    from conftest import SF_SMALL
+    from martlet.suite import QUERIES
+    out = QUERIES["cluster_customers"](spark, SF_SMALL).toPandas()
+    want = duckdb.sql(f"SELECT count(DISTINCT o_custkey) FROM read_parquet('{SF_SMALL}/orders.parquet') o "
+                      f"JOIN read_parquet('{SF_SMALL}/customer.parquet') c ON o.o_custkey = c.c_custkey").fetchone()[0]
+    assert len(out) == out["c_custkey"].nunique() == want
+    x = out[["total_spend", "orders", "c_acctbal"]].to_numpy(dtype=float)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    ks = sorted(out["cluster"].unique())
+    means = np.stack([z[out["cluster"] == k].mean(0) for k in ks])
+    nearest = np.array(ks)[((z[:, None, :] - means[None, :, :]) ** 2).sum(-1).argmin(1)]
+    assert len(ks) == 4 and (nearest == out["cluster"].to_numpy()).all()
