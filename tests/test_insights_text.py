@@ -218,8 +218,9 @@ def test_cluster_customers_query_is_a_kmeans_fixed_point(spark):
     from conftest import SF_SMALL
     from martlet.suite import QUERIES
     out = QUERIES["cluster_customers"](spark, SF_SMALL).toPandas()
-    want = duckdb.sql(f"SELECT count(DISTINCT o_custkey) FROM read_parquet('{SF_SMALL}/orders.parquet') o "
-                      f"JOIN read_parquet('{SF_SMALL}/customer.parquet') c ON o.o_custkey = c.c_custkey").fetchone()[0]
+    want = duckdb.connect().execute(
+        f"SELECT count(DISTINCT o_custkey) FROM read_parquet('{SF_SMALL}/orders.parquet') o "
+        f"JOIN read_parquet('{SF_SMALL}/customer.parquet') c ON o.o_custkey = c.c_custkey").fetchone()[0]
     assert len(out) == out["c_custkey"].nunique() == want
     x = out[["total_spend", "orders", "c_acctbal"]].to_numpy(dtype=float)
     z = (x - x.mean(0)) / x.std(0, ddof=1)
