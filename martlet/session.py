@@ -45,7 +45,7 @@ def scale_conf(input_bytes: int, total_cores: int,
 
 def build_session(master: str = "local[8]", shuffle_partitions: int | None = 8,
                   app_name: str = "martlet", input_bytes: int | None = None,
-                  total_cores: int | None = None) -> SparkSession:
+                  total_cores: int | None = None, extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Session used by tests and the bench. With ``input_bytes`` (and the
     cluster's ``total_cores``) the partition settings come from
     ``scale_conf``; on a cluster, callers may also pass their own builder:
@@ -65,6 +65,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int | None = 8,
             builder = builder.config(k, v)
     elif shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
