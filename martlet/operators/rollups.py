@@ -171,10 +171,11 @@ def distribution(df: DataFrame, metric: str, exact: bool = True) -> DataFrame:
 
 def histogram(df: DataFrame, metric: str, buckets: int = 10) -> DataFrame:
     """Equal-width bucket counts between the column's min and max. The
-    bounds are one-row scalar subqueries, not a window over all rows."""
+    bounds come from ONE one-row scalar subquery (min and max together),
+    not a window over all rows."""
     m = F.col(metric).cast("double")
-    lo = df.select(F.min(m)).scalar()
-    hi = df.select(F.max(m)).scalar()
+    bounds = df.select(F.struct(F.min(m).alias("lo"), F.max(m).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     # width_bucket puts the max itself into bucket n+1; fold it into n
     b = F.least(F.width_bucket(m, lo, hi + F.lit(0.0), F.lit(buckets)), F.lit(buckets))
     return (df.filter(m.isNotNull())
