@@ -228,3 +228,16 @@ def test_cluster_customers_query_is_a_kmeans_fixed_point(spark):
     means = np.stack([z[out["cluster"] == k].mean(0) for k in ks])
     nearest = np.array(ks)[((z[:, None, :] - means[None, :, :]) ** 2).sum(-1).argmin(1)]
     assert len(ks) == 4 and (nearest == out["cluster"].to_numpy()).all()
+
+
+def test_exact_quantiles_sort_only_a_small_subset(spark, monkeypatch):
+    import numpy as np
+    from martlet.operators import rollups as R
+    sorted_rows = []
+    real = R.with_ordered_ids
+    monkeypatch.setattr(R, "with_ordered_ids", lambda df, *a, **k: sorted_rows.append(df.count()) or real(df, *a, **k))
+    vals = np.random.default_rng(11).normal(0, 1, 20000)
+    df = spark.createDataFrame([(float(x),) for x in vals], "m double")
+    got = R.exact_quantiles(df, "m", [0.25, 0.5, 0.75])
+    assert np.allclose(got, np.quantile(vals, [0.25, 0.5, 0.75]), rtol=0, atol=1e-12)
+    assert len(sorted_rows) == 1 and sorted_rows[0] < 0.05 * len(vals)
