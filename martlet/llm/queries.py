@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import mixing, quality_rules
+from martlet.llm import bpe, mixing, quality_rules, token_counts
 from martlet.llm.common import read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op5_mix_sources", mixing.MIX_SIZES_SQL)
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
+
+
+def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@_register("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+@_register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = token_counts.zipf_scores(_vocabulary("byte_bpe_50k.tiktoken"))
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), scores)
