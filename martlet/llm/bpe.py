@@ -19,6 +19,7 @@ part.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from martlet.llm import wordtable
 
@@ -75,64 +75,98 @@ def pieces(path: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``n_tokens`` and ``ids`` (binary: little-endian
-    unsigned 32-bit integers) of each document."""
-    text, _, special = _specification(path)
+def _encoder(text: str):
+    """Ids of distinct words, each encoded once by the library."""
 
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         t = _tokenizer(text)
-        ids = []
+        counts, flat = [], []
         for i in range(0, len(words), 10_000):
-            ids += [e.ids for e in t.encode_batch_fast(words[i:i + 10_000], add_special_tokens=False)]
-        counts = np.array([len(x) for x in ids], dtype=np.int32)
-        return counts, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(counts.sum()))
+            ids = [e.ids for e in t.encode_batch_fast(words[i:i + 10_000], add_special_tokens=False)]
+            counts.append(np.array([len(x) for x in ids], dtype=np.int32))
+            flat.append(np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(counts[-1].sum())))
+        if not counts:
+            return np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        return np.concatenate(counts), np.concatenate(flat)
+
+    return encode_words
+
+
+def _document_ids(index: wordtable.Index, counts: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Ids of each document of a chunk, joined back by position."""
+    offsets = wordtable._offsets(counts)
+    for part in index.parts:
+        flat = wordtable.ragged(ids, offsets, counts, part.word).astype("<u4")
+        cuts = np.concatenate([[0], np.cumsum(counts[part.word])])[part.token_offsets]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield flat[a:b]
+
+
+class Pieces:
+    """The id-to-piece table of a vocabulary, as one byte array."""
+
+    def __init__(self, path: str):
+        table = pieces(path)
+        self.lengths = np.array([len(p) for p in table], dtype=np.int64)
+        self.flat = np.frombuffer(b"".join(table), dtype=np.uint8)
+        self.offsets = wordtable._offsets(self.lengths)
+
+    def text(self, ids: np.ndarray) -> str:
+        """Joins ids to their pieces; ids outside the vocabulary have none, and
+        bytes that are no UTF-8 become replacement characters."""
+        ids = ids[ids < len(self.lengths)].astype(np.int64)
+        return wordtable.ragged(self.flat, self.offsets, self.lengths, ids).tobytes().decode("utf-8", "replace")
+
+
+def _fields(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, ``n_tokens`` and ``ids`` (binary: little-endian
+    unsigned 32-bit integers) of each document."""
+    text, _, special = _specification(path)
 
     def finish(table: pa.Table, index: wordtable.Index, counts: np.ndarray, ids: np.ndarray) -> pa.Table:
-        offsets = wordtable._offsets(counts)
-        sizes, blobs = [], []
-        for part in index.parts:
-            flat = wordtable.ragged(ids, offsets, counts, part.word).astype("<u4")
-            cuts = np.concatenate([[0], np.cumsum(counts[part.word])])[part.token_offsets]
-            sizes.append(np.diff(cuts))
-            blobs += [flat[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        out = table.drop_columns(["_text"])
-        return out.append_column("n_tokens", pa.array(n.astype(np.int64))).append_column(
+        blobs = [x.tobytes() for x in _document_ids(index, counts, ids)]
+        return table.drop_columns(["_text"]).append_column(
+            "n_tokens", pa.array([len(x) // 4 for x in blobs], pa.int64())).append_column(
             "ids", pa.array(blobs, pa.binary()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return wordtable.map_words(docs, encode_words, finish, f"{fields}, n_tokens long, ids binary",
+    return wordtable.map_words(docs, _encoder(text), finish, f"{_fields(docs.select(*keep))}, n_tokens long, ids binary",
                                special=special, text_col=text_col, keep=keep)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids, by a join of ids to pieces;
-    ids outside the vocabulary have no piece, and bytes that are no UTF-8
-    become replacement characters."""
-    table = pieces(path)
-    lengths = np.array([len(p) for p in table], dtype=np.int64)
-    flat = np.frombuffer(b"".join(table), dtype=np.uint8)
-    offsets = wordtable._offsets(lengths)
+    """``encoded`` with the text of its ids, by a join of ids to pieces."""
+    table = Pieces(path)
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for blob in b.column(at).to_pylist():
-                ids = np.frombuffer(blob or b"", "<u4").astype(np.int64)
-                ids = ids[ids < len(lengths)]
-                texts.append(wordtable.ragged(flat, offsets, lengths, ids).tobytes().decode("utf-8", "replace"))
+            texts = [table.text(np.frombuffer(x, "<u4")) if x else "" for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())],
                                              names=[*b.schema.names, text_col])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, `{text_col}` string")
+    return encoded.mapInArrow(run, f"{_fields(encoded)}, `{text_col}` string")
 
 
-def digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode, decode, and reduce both to digests: ``keep`` columns,
-    ``n_tokens, ids_sha256, decoded_sha256``."""
-    both = decode(encode(docs, path, keep=keep), path)
-    return both.select(*keep, "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-                       F.sha2(F.encode(F.col("decoded"), "UTF-8"), 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Encode, decode, and reduce both to digests where they are made, so that
+    ids and texts don't travel: ``keep`` columns, ``n_tokens, ids_sha256,
+    decoded_sha256``."""
+    text, _, special = _specification(path)
+    table = Pieces(path)
+
+    def finish(rows: pa.Table, index: wordtable.Index, counts: np.ndarray, ids: np.ndarray) -> pa.Table:
+        n, of_ids, of_text = [], [], []
+        for x in _document_ids(index, counts, ids):
+            n.append(len(x))
+            of_ids.append(hashlib.sha256(x.tobytes()).hexdigest())
+            of_text.append(hashlib.sha256(table.text(x).encode()).hexdigest())
+        return (rows.drop_columns(["_text"]).append_column("n_tokens", pa.array(n, pa.int64()))
+                .append_column("ids_sha256", pa.array(of_ids, pa.string()))
+                .append_column("decoded_sha256", pa.array(of_text, pa.string())))
+
+    schema = f"{_fields(docs.select(*keep))}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return wordtable.map_words(docs, _encoder(text), finish, schema, special=special, text_col=text_col, keep=keep)

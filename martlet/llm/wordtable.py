@@ -26,20 +26,47 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.llm import pretokens, textkit
 from martlet.llm.common import repeatable, shard_count, text_bytes
 
-CHUNK_CHARS = 32 << 20
-BATCH_CHARS = 2 << 20
+CHUNK_CHARS = 16 << 20
+BATCH_CHARS = 1 << 20
 SHARD_BYTES = 24 << 20
 
 _DICT_SCHEMA = "shard int, chunk long, places binary, lengths binary, words binary"
 _VALUE_SCHEMA = "chunk long, places binary, lengths binary, numbers binary"
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk: its id and its documents, compressed."""
+    for table in chunk_tables(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema,
+                               options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
+            w.write_table(table)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk_id(table)], pa.int64()),
+                                          pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                         names=["chunk", "documents"])
+
+
+PACKED_SCHEMA = "chunk long, documents binary"
+
+
 def chunk_tables(batches: Iterator[pa.RecordBatch], most: int = CHUNK_CHARS) -> Iterator[pa.Table]:
     """Whole rows of one partition in runs of about ``most`` characters of the
     last column; a longer text is a run of its own."""
@@ -114,7 +141,7 @@ def index_chunk(table: pa.Table, special: tuple[str, ...], classes: np.ndarray)
         codes, uniques = pd.factorize(textkit.span_hashes(points, starts, ends))
         at = np.zeros(len(uniques), dtype=np.int64)
         at[codes[::-1]] = np.arange(len(codes))[::-1]
-        parts.append(Part(np.searchsorted(starts, off, side="left"), codes))
+        parts.append(Part(np.searchsorted(starts, off, side="left"), codes.astype(np.int32)))
         spans.append(("".join(texts[i:j]), starts[at], ends[at]))
         found.append(np.asarray(uniques, dtype=np.uint64))
         i = j
@@ -159,39 +186,32 @@ def map_words(docs: DataFrame, evaluate: Callable[[list[str]], tuple[np.ndarray,
             ix = index_chunk(table, special, classes)
             words, chunk = ix.words(), chunk_id(table)
             shard = (shard_of(words, ix.hashes) if shard_of else ix.hashes) % np.uint64(n_shards)
-            encoded = np.array([w.encode() for w in words], dtype=object)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(n_shards + 1, dtype=np.uint64))
             rows = [(s, order[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            columns: list[list] = [[], [], []]
+            for _, o in rows:
+                own = [words[k].encode() for k in o.tolist()]
+                columns[0].append(squeeze(np.diff(o, prepend=0)))
+                columns[1].append(squeeze(np.array([len(w) for w in own])))
+                columns[2].append(zstandard.ZstdCompressor(level=3).compress(b"".join(own)))
             yield pa.RecordBatch.from_arrays([
                 pa.array([s for s, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
-                pa.array([o.astype(np.int32).tobytes() for _, o in rows], pa.binary()),
-                pa.array([np.array([len(w) for w in encoded[o]], np.int32).tobytes() for _, o in rows], pa.binary()),
-                pa.array([b"".join(encoded[o]) for _, o in rows], pa.binary())],
+                *[pa.array(c, pa.binary()) for c in columns]],
                 names=["shard", "chunk", "places", "lengths", "words"])
 
     def value_words(shard: pa.Table) -> pa.Table:
         seen: dict[bytes, int] = {}
         codes = []
         for lengths, data in zip(shard["lengths"].to_pylist(), shard["words"].to_pylist()):
-            ends = np.cumsum(np.frombuffer(lengths, np.int32)).tolist()
+            data, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(unsqueeze(lengths)).tolist()
             codes.append(np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip([0, *ends], ends)], np.int64))
         counts, numbers = evaluate([w.decode() for w in seen])
         counts, offsets = counts.astype(np.int32), _offsets(counts)
         return pa.table({
             "chunk": shard["chunk"], "places": shard["places"],
-            "lengths": pa.array([counts[c].tobytes() for c in codes], pa.binary()),
-            "numbers": pa.array([ragged(numbers, offsets, counts, c).astype("<u4").tobytes() for c in codes],
-                                pa.binary())})
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunk_tables(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk_id(table)], pa.int64()),
-                                              pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                                             names=["chunk", "documents"])
+            "lengths": pa.array([squeeze(counts[c]) for c in codes], pa.binary()),
+            "numbers": pa.array([squeeze(ragged(numbers, offsets, counts, c)) for c in codes], pa.binary())})
 
     def meet(documents: pa.Table, values: pa.Table) -> pa.Table:
         out, by_place = [], None
@@ -205,7 +225,7 @@ def map_words(docs: DataFrame, evaluate: Callable[[list[str]], tuple[np.ndarray,
 
     listed = docs.mapInArrow(list_words, _DICT_SCHEMA)
     values = listed.groupBy("shard").applyInArrow(value_words, _VALUE_SCHEMA)
-    packed = docs.mapInArrow(pack, "chunk long, documents binary")
+    packed = docs.mapInArrow(pack_documents, PACKED_SCHEMA)
     return packed.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(meet, schema)
 
 
@@ -217,10 +237,10 @@ def _by_place(values: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
     for p, c, v in zip(values["places"].to_pylist(), values["lengths"].to_pylist(), values["numbers"].to_pylist()):
         if p is not None and p not in seen:
             seen.add(p)
-            places.append(np.frombuffer(p, np.int32))
-            lengths.append(np.frombuffer(c, np.int32))
-            numbers.append(np.frombuffer(v, "<u4"))
-    place = np.concatenate(places) if places else np.zeros(0, np.int32)
+            places.append(np.cumsum(unsqueeze(p), dtype=np.int64))
+            lengths.append(unsqueeze(c).astype(np.int64))
+            numbers.append(unsqueeze(v))
+    place = np.concatenate(places) if places else np.zeros(0, np.int64)
     if len(place) != n:
         raise RuntimeError(f"a chunk has {n} distinct words, but values came for {len(place)}: its input changed")
     order = np.argsort(place, kind="stable")
