@@ -15,11 +15,11 @@ others share 256 classes; 1 and 2 mark a text's beginning and end.
    documents, compressed, meet them (a cogroup on the chunk): every position
    takes its value, and a document's sum gives its perplexity.
 
-Per language, upper and lower limits come from quantiles of the trusted
-documents' scores; a document outside is rejected. A score is the mean
-negative log-probability, drawn towards the language's median as if the text
-had ``PRIOR_CHARS`` more characters of that mean, so that a few odd words
-don't reject a short text.
+A score is the mean negative log-probability per character, drawn towards the
+language's median as if the text had ``PRIOR_CHARS`` more characters of that
+median, so that a few odd words don't reject a short text. A document is
+rejected if its score is above its language's limit: the ``QUANTILE`` of the
+trusted documents' scores plus ``MARGIN`` times the median.
 
 Scale: what is gathered (n-grams of every chunk) follows the input; an n-gram
 travels once per chunk however frequent it is. No table of the model is
@@ -44,16 +44,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.llm.common import materialise, repeatable
-from martlet.llm.wordtable import chunk_id, chunk_tables
+from martlet.llm.wordtable import PACKED_SCHEMA, chunk_id, chunk_tables, pack_documents
 from martlet.plans.joins import broadcast_if_bounded
 
 ORDER = 4
 BITS = 12
-PRIOR_CHARS = 60
-UPPER, LOWER = 0.995, 0.002
-MARGIN = 0.10
+PRIOR_CHARS = 150
+QUANTILE = 0.99
+MARGIN = 0.05
 LEAST_TRUSTED = 50
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 
 
 def gram_keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,15 +176,6 @@ def score(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER,
     model = materialise(probabilities(types, order), "model")
     values = grams.select("chunk", "gram").join(model, "gram")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunk_tables(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk_id(table)], pa.int64()),
-                                              pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                                             names=["chunk", "documents"])
-
     def meet(documents: pa.Table, known: pa.Table) -> pa.Table:
         gram, at = np.unique(known["gram"].to_numpy(), return_index=True)
         logp = known["logp"].to_numpy()[at].astype(np.float64)
@@ -207,7 +198,45 @@ def score(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER,
         return pa.concat_tables(out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    packed = marked.mapInArrow(pack, "chunk long, documents binary")
+    packed = marked.mapInArrow(pack_documents, PACKED_SCHEMA)
     scored = packed.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(
         meet, f"{fields}, trusted int, n_chars long, log_prob double")
     return scored.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_chars")))
+
+
+def _limits(scored: DataFrame, measure: Column, names: dict[str, float]) -> DataFrame:
+    """Quantiles of the trusted documents per language, with those of all
+    languages beside them: one row per language of the corpus."""
+    def quantiles(prefix: str) -> list[Column]:
+        return [F.percentile_approx(F.when(F.col("trusted") == 1, measure), q, 10_000).alias(prefix + n)
+                for n, q in names.items()]
+
+    own = scored.groupBy("lang").agg(F.sum("trusted").alias("n"), *quantiles("own_"))
+    every = scored.agg(*quantiles("all_")).first()
+    pick = [F.when(F.col("n") >= LEAST_TRUSTED, F.col(f"own_{n}")).otherwise(F.lit(every[f"all_{n}"])).alias(n)
+            for n in names]
+    return own.select(F.col("lang").alias("_lang"), *pick)
+
+
+def judge(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE,
+          margin: float = MARGIN, prior_chars: int = PRIOR_CHARS) -> DataFrame:
+    """Per document: ``doc_id, lang, trusted, n_chars, log_prob, perplexity,
+    score, limit, kept``."""
+    scored = materialise(score(docs, trusted_ids, order), "scored")
+    medians = broadcast_if_bounded(materialise(
+        _limits(scored, -F.col("log_prob") / F.col("n_chars"), {"median": 0.5}), "medians"))
+    rows = scored.join(medians, scored["lang"].eqNullSafe(medians["_lang"])).drop("_lang")
+    rows = rows.withColumn("score", (F.lit(prior_chars) * F.col("median") - F.col("log_prob"))
+                           / (F.col("n_chars") + F.lit(prior_chars)))
+    tops = broadcast_if_bounded(materialise(_limits(rows, F.col("score"), {"top": quantile}), "limits"))
+    rows = rows.join(tops, rows["lang"].eqNullSafe(tops["_lang"])).drop("_lang")
+    limit = F.col("top") + F.lit(margin) * F.col("median")
+    return rows.withColumn("limit", limit).withColumn(
+        "kept", F.coalesce(F.col("score") <= F.col("limit"), F.lit(True))).drop("median", "top")
+
+
+def kept_documents(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
+    """The documents that ``judge`` keeps, with their own columns. Rejected ids
+    are joined away, so rows with a null id, which can't be joined, stay."""
+    gone = judge(docs, trusted_ids, **options).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -219,10 +219,9 @@ def judge(docs: DataFrame, reach: int = REACH, least_docs: int = LEAST_DOCS) ->
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that ``judge`` keeps, with their own columns, by a joined
-    filter on the ids. Rows with the same id are kept if any of them is; rows
-    with a null id are judged but can't be joined, and go."""
-    keep = judge(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    filter on the rejected ids; rows with a null id can't be joined and stay."""
+    gone = judge(docs, **options).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 JUDGE_SQL = r"""
