@@ -36,6 +36,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -73,14 +74,31 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
+class GramFinder:
+    """Finds the known n-grams of a word, each once, in one pass over it."""
+
+    def __init__(self, values: dict[str, float]):
+        self.automaton = ahocorasick.Automaton() if values else None
+        for gram, v in values.items():
+            self.automaton.add_word(gram, (len(gram), gram, v))
+        if values:
+            self.automaton.make_automaton()
+
+    def of(self, word: str) -> dict[str, float]:
+        if self.automaton is None:
+            return {}
+        w = f"<{word}>"
+        # longer n-grams than the sizes are whole words; inside another word they don't count
+        return {g: v for _, (n, g, v) in self.automaton.iter(w) if n <= GRAM_SIZES[-1] or n == len(w)}
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     intercept: float
 
-    def word_weight(self, word: str) -> float:
-        get = self.weights.get
-        return sum(get(g, 0.0) for g in grams_of(word))
+    def finder(self) -> GramFinder:
+        return GramFinder(self.weights)
 
 
 def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -96,26 +114,36 @@ def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _count_grams(sample: DataFrame) -> DataFrame:
-    """``gram, p, u``: texts of P and of U that hold each n-gram."""
+    """``gram, p, u``: texts of P and of U that hold each n-gram. A task
+    expands each distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        place: dict[str, int] = {}
+        of_word: dict[str, tuple[int, ...]] = {}
+        counts = np.zeros((2, 1 << 16), dtype=np.int64)
         for b in batches:
             for positive, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[positive].update(set().union(*map(grams_of, words_of(text))))
-        grams = list(counts[0].keys() | counts[1].keys())
+                held: set[int] = set()
+                for w in words_of(text):
+                    ids = of_word.get(w)
+                    if ids is None:
+                        ids = of_word[w] = tuple(place.setdefault(g, len(place)) for g in grams_of(w))
+                    held.update(ids)
+                while counts.shape[1] < len(place):
+                    counts = np.concatenate([counts, np.zeros_like(counts)], axis=1)
+                counts[1 - positive, np.fromiter(held, np.int64, len(held))] += 1
+        grams = list(place)
         for i in range(0, len(grams), 50_000):
             g = grams[i:i + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g), *[pa.array([c[x] for x in g], pa.int64()) for c in counts[::-1]]],
-                names=["gram", "p", "u"])
+                [pa.array(g), *[pa.array(counts[side, i:i + len(g)]) for side in (0, 1)]], names=["gram", "p", "u"])
 
     return sample.mapInArrow(run, "gram string, p long, u long").groupBy("gram").agg(
         F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
 def _likelihood_ratio(p: Column, u: Column, n_p: int, n_u: int) -> Column:
-    """Log-likelihood ratio of a feature being as common in P as in U."""
+    """Log-likelihood ratio of an n-gram being as common in P as in U."""
     both, share = p + u, F.lit(n_p / (n_p + n_u))
 
     def term(x: Column, expected: Column) -> Column:
@@ -159,14 +187,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model({}, -30.0)
     prior = min(max(prior, 0.001), 0.9)
     sample = materialise(_examples(docs, labels), "toxic-sample")
+    spread = sample.repartition(24)
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
         return Model({}, math.log(prior / (1 - prior)))
-    spread = sample.repartition(24)
-    counts = _count_grams(spread).where("p + u >= 5")
-    ratio = _likelihood_ratio(F.col("p"), F.col("u"), n_p, n_u)
-    best = (counts.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    counted = _count_grams(spread).where("p + u >= 5")
+    best = (counted.withColumn("ratio", _likelihood_ratio(F.col("p"), F.col("u"), n_p, n_u))
+            .where(F.col("ratio") >= LEAST_RATIO)
             .orderBy(F.desc("ratio"), "gram").limit(MOST_FEATURES).select("gram").collect())
     place = {r["gram"]: i for i, r in enumerate(best)}
     if not place:
@@ -174,10 +202,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n_features = len(place)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = GramFinder(place)
         for b in batches:
             found, digests = [], []
             for positive, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = sorted(Counter(place[g] for w in words_of(text) for g in grams_of(w) if g in place).items())
+                c = sorted(Counter(i for w in words_of(text) for i in finder.of(w).values()).items())
                 found.append(([f for f, _ in c], [v for _, v in c]))
                 digests.append(xxhash.xxh64_intdigest(repr((positive, c))) >> 1)
             yield pa.RecordBatch.from_arrays(
@@ -208,6 +237,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
+        finder = model.finder()
         for b in batches:
             out = np.empty(b.num_rows)
             for i, text in enumerate(b.column(b.num_columns - 1)):
@@ -217,7 +247,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
                     if s is None:
                         if len(known) >= CACHED_WORDS:
                             known.clear()
-                        s = known[w] = model.word_weight(w)
+                        s = known[w] = sum(finder.of(w).values())
                     z += s
                 out[i] = 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=[*b.schema.names[:-1], "score"])
