@@ -11,9 +11,13 @@ and a node is split again by the next level's picks until it holds at most
 ``BUCKET`` sets. Two similar sets share at least one picked shingle per level
 on average, so the chance to meet at depth d falls only like 1 / d; the number
 of runs follows from that chance at the last level and the wanted recall
-(``runs_for``). Small nodes are compared pair by pair; nodes that even the
-last level leaves large (groups of near copies) are cut into blocks and every
-pair of blocks is compared in a cell of its own, so nothing is capped.
+(``runs_for``). Small nodes are compared pair by pair. A large node is first
+compared with a few of its sets (``PIVOTS``): if at least half of it is
+similar to the largest group of similar pivots, the node is dense (near
+copies), splitting it would not help, and all of it becomes one candidate
+group, whose pairs the exact check compares once for all runs. Other large
+nodes are split. What even the last level leaves large is cut into blocks and
+every pair of blocks is compared in a cell of its own, so nothing is capped.
 Comparisons inside nodes use 64-byte min-hash sketches with a wide margin and
 give only a spanning forest of each node's similar sets.
 
@@ -45,7 +49,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlet.llm import textkit
@@ -55,8 +59,9 @@ from martlet.plans.joins import broadcast_if_bounded
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
 RECALL = 0.999
-LEVELS = 4
+LEVELS = 3
 BUCKET = 48
+PIVOTS = 8
 BLOCK = 192
 SKETCH = 64
 SKETCH_MARGIN = 0.16
@@ -150,26 +155,89 @@ def _nodes(rows: DataFrame, label: str) -> DataFrame:
     return materialise(rows.join(counts, "node"), label)
 
 
-def chosen_paths(sets: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """``node, k`` of the nodes that are small enough, and ``node, k, n`` of
-    those that the last level leaves large."""
+def _matches(sketch: np.ndarray, size: np.ndarray, others: np.ndarray, other_size: np.ndarray,
+             similarity: Fraction) -> np.ndarray:
+    """Which sets are similar to which others, by sketches and sizes."""
+    least, ratio = (float(similarity) - SKETCH_MARGIN) * SKETCH, float(similarity)
+    out = np.empty((len(sketch), len(others)), dtype=bool)
+    for j in range(len(others)):
+        near = np.minimum(size, other_size[j]) >= ratio * np.maximum(size, other_size[j]) - 1e-9
+        out[:, j] = near & (np.count_nonzero(sketch == others[j], axis=1) >= least)
+    return out
+
+
+def _sketches(column: pa.Array | pa.ChunkedArray | list) -> np.ndarray:
+    blobs = column if isinstance(column, list) else column.to_pylist()
+    return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, SKETCH)
+
+
+def _by_node(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[dict]]]:
+    """Rows of each node of a batch, and the sets in its ``others`` column."""
+    node = batch.column("node").to_numpy()
+    order = np.argsort(node, kind="stable")
+    cuts = [*np.flatnonzero(np.concatenate([[True], np.diff(node[order]) != 0])).tolist(), len(node)]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        yield order[i:j], batch.column("others")[int(order[i])].as_py()
+
+
+def _settle(large: DataFrame, sets: DataFrame, similarity: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Compare large nodes with pivots: ``a, b`` edges of the dense nodes, one
+    per member, and the rows ``node, run, n, k`` of the other nodes."""
+    columns = ["node", "run", "n", "k", "size", "sketch"]
+    members = materialise(large.join(sets.select("k", "size", "sketch"), "k").select(columns), "large")
+
+    def with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, size = b.column("k").to_numpy(), b.column("size").to_numpy()
+            sketch = _sketches(b.column("sketch"))
+            centre, near = np.zeros(len(k), dtype=np.int64), np.zeros(len(k), dtype=bool)
+            for rows, others in _by_node(b):
+                pk, ps = np.array([o["k"] for o in others]), np.array([o["size"] for o in others])
+                pv = _sketches([o["sketch"] for o in others])
+                root = _roots(len(pk), *np.nonzero(np.triu(_matches(pv, ps, pv, ps, similarity), 1)))
+                main = np.bincount(root).argmax()  # the largest group of similar pivots
+                own = root == main
+                centre[rows] = pk[main]
+                near[rows] = _matches(sketch[rows], size[rows], pv[own], ps[own], similarity).any(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c) for c in ("node", "run", "n", "k")], pa.array(centre), pa.array(near)],
+                names=["node", "run", "n", "k", "centre", "near"])
+
+    turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "k"), "k"))
+    pivots = (members.withColumn("turn", turn).where(F.col("turn") <= PIVOTS).groupBy("node")
+              .agg(F.array_sort(F.collect_list(F.struct("k", "size", "sketch"))).alias("others")))
+    beside = members.join(broadcast_if_bounded(materialise(pivots, "pivots")), "node").select(*columns, "others")
+    compared = materialise(beside.mapInArrow(
+        with_pivots, "node long, run tinyint, n long, k long, centre long, near boolean"), "compared")
+    dense = compared.groupBy("node").agg(F.count_if("near").alias("near"), F.count(F.lit(1)).alias("all"))
+    dense = materialise(dense.where(2 * F.col("near") >= F.col("all")).select("node"), "dense")
+    edges = (compared.join(dense, "node", "left_semi").where("centre <> k")
+             .select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct())
+    return materialise(edges, "edges"), compared.join(dense, "node", "left_anti").select("node", "run", "n", "k")
+
+
+def chosen_paths(sets: DataFrame, levels: int = LEVELS,
+                 similarity: Fraction = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``node, k`` of the nodes that are small enough, ``a, b`` edges of the
+    dense nodes, and ``node, k, n`` of those that the last level leaves large."""
     picked = F.explode(F.arrays_zip(F.col("runs1").alias("run"), F.col("picks1").alias("pick"))).alias("p")
     rows = sets.select("k", picked).select(
         "k", F.col("p.run").alias("run"), F.xxhash64(F.col("p.run"), F.col("p.pick")).alias("node"))
-    small = None
+    small = settled = None
     for level in range(1, levels + 1):
         nodes = _nodes(rows, f"paths{level}")
         few = nodes.where(F.col("n") <= BUCKET).select("node", "k")
         small = few if small is None else small.unionByName(few)
-        large = nodes.where(F.col("n") > BUCKET)
+        edges, large = _settle(nodes.where(F.col("n") > BUCKET), sets, similarity)
+        settled = edges if settled is None else settled.unionByName(edges)
         if level == levels:
-            return small, large.select("node", "k", "n")
+            break
         own = sets.select("k", F.arrays_zip(F.col(f"runs{level + 1}").alias("run"),
                                             F.col(f"picks{level + 1}").alias("pick")).alias("own"))
         rows = (large.join(own, "k")
                 .select("k", "run", "node", F.explode(F.filter("own", lambda x: x["run"] == F.col("run"))).alias("p"))
                 .select("k", "run", F.xxhash64("node", F.col("p.pick")).alias("node")))
-    raise AssertionError
+    return small, settled, large.select("node", "k", "n")
 
 
 def _cells(rows: DataFrame, group: str, n: Column, member: str) -> DataFrame:
@@ -243,7 +311,7 @@ def sketch_edges(members: DataFrame, similarity: Fraction = SIMILARITY) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_cell(batches):
             k, size = table["k"].to_numpy(), table["size"].to_numpy()
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+            sketch = _sketches(table["sketch"])
             found = [(np.zeros(0, np.int64),) * 2]
             for a, b in _pairs(table["cell"].to_numpy(), table["side"].to_numpy()):
                 near = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]) - 1e-9
@@ -258,12 +326,24 @@ def sketch_edges(members: DataFrame, similarity: Fraction = SIMILARITY) -> DataF
     return ordered.mapInArrow(run, "a long, b long").where("a <> b")
 
 
+def _contract(edges: DataFrame, label: str) -> DataFrame:
+    """Fewer ``edges(a, b)`` with the same components: each vertex keeps its
+    least smaller neighbour, and its other smaller neighbours are tied to that
+    one instead (many vertices share these ties)."""
+    down = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+                       .where("u < v").distinct(), f"{label}-down")
+    least = down.groupBy("v").agg(F.min("u").alias("m"))
+    ties = down.join(least, "v").where("u > m").select(F.col("m").alias("a"), F.col("u").alias("b"))
+    return materialise(least.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(ties).distinct(),
+                       f"{label}-fewer")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """``k, root`` of every vertex of ``edges(a, b)``: the least vertex of its
-    component, by neighbours' minima with pointer jumping; each round is
-    written once."""
-    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-                       f"{label}-edges")
+    component. The edges are contracted twice, then neighbours' minima spread
+    with pointer jumping; each round is written once."""
+    edges = _contract(_contract(edges, label), label)
+    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{label}-both")
     state = materialise(both.groupBy(F.col("a").alias("k")).agg(F.min(F.least("a", "b")).alias("root")), label)
     while True:
         heard = (both.join(state, both["a"] == state["k"]).groupBy(F.col("b").alias("k"))
@@ -353,10 +433,10 @@ def join(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = SHIN
     """``doc_id, k, class_id, n_links`` of every row of ``docs``; ``k`` is the
     hash of its text."""
     sets = materialise(features(docs, runs_for(recall, levels), levels, similarity, shingle), "sets")
-    small, large = chosen_paths(sets, levels)
+    small, settled, large = chosen_paths(sets, levels, similarity)
     cells = small.withColumn("cell", F.col("node")).withColumn("side", F.lit(0).cast("byte")).select("cell", "side", "k")
     cells = cells.unionByName(_cells(large, "node", F.col("n"), "k").select("cell", "side", "k"))
-    edges = sketch_edges(cells.join(sets.select("k", "size", "sketch"), "k"), similarity)
+    edges = settled.unionByName(sketch_edges(cells.join(sets.select("k", "size", "sketch"), "k"), similarity))
     groups = components(edges, "groups")
 
     rows = materialise(docs.select("doc_id", text_key(F.col("text")).alias("k"),
