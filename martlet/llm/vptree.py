@@ -2,10 +2,11 @@
 
 The vectors are dealt to shards by a hash of their id. In each shard a tree is
 built: a node takes a vantage point, the others are cut at their median
-distance to it, and each half keeps its least and greatest distance. A search
-goes through the tree with the distance of the k-th best so far (tau) and
-skips a half whose distances lie more than ``factor * tau`` away from the
-query's, which the triangle inequality allows for factor one: the search is
+distance to it, and each half keeps its least and greatest distance. All
+queries of a block go through a tree together: each first sees the leaf it
+falls into, which gives it a k-th best distance (tau), then the whole tree,
+skipping halves whose distances lie more than ``factor * tau`` away from the
+query's. The triangle inequality allows that for factor one: the search is
 exact then. A smaller factor skips more and finds less.
 
 Queries are replicated to the shards in blocks; each (shard, block) cell
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 
 from martlet.llm.common import materialise
 
-LEAF = 96
+LEAF = 256
 SHARD_ROWS = 16_384
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 1_024
 FACTOR = 1.0
 
 
@@ -49,13 +50,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def distances(points: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Euclidean distances, components added in order."""
-    total = np.zeros(len(points))
+def distances(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Euclidean distances, a row per query; components are added in order."""
+    total = np.zeros((len(queries), len(points)))
     for j in range(points.shape[1]):
-        d = points[:, j] - q[j]
-        total += d * d
-    return np.sqrt(total)
+        d = points[:, j][None, :] - queries[:, j][:, None]
+        d *= d
+        total += d
+    return np.sqrt(total, out=total)
 
 
 class Tree:
@@ -65,7 +67,7 @@ class Tree:
         self.points, self.ids = np.asfortranarray(points), ids
         self.order = np.arange(len(ids))
         rng = np.random.default_rng(seed)
-        self.nodes: list[tuple] = []  # (begin, end, None) or (vantage row, inner, its bounds, outer, its bounds)
+        self.nodes: list[list] = []  # [begin, end] or [vantage row, inner, its bounds, outer, its bounds]
         todo = [(0, len(ids), None, 0)]
         while todo:
             a, b, parent, slot = todo.pop()
@@ -78,7 +80,7 @@ class Tree:
             rows = self.order[a:b]
             pick = int(rng.integers(b - a))
             rows[0], rows[pick] = rows[pick], rows[0]
-            d = distances(self.points[rows[1:]], self.points[rows[0]])
+            d = distances(self.points[rows[1:]], self.points[rows[:1]])[0]
             rank = np.argsort(d, kind="stable")
             rows[1:] = rows[1:][rank]
             d = d[rank]
@@ -87,30 +89,52 @@ class Tree:
             todo.append((a + 1 + half, b, here, 4))
             todo.append((a + 1, a + 1 + half, here, 1))
 
-    def search(self, q: np.ndarray, own: int, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of the ``k`` best found, nearest first; rows with
-        the id ``own`` are left out."""
-        best_d, best_id = np.full(0, 0.0), np.zeros(0, self.ids.dtype)
-        todo = [(0, 0.0)]
-        while todo:
-            node, gap = todo.pop()
-            tau = best_d[k - 1] if len(best_d) >= k else np.inf
-            if gap > factor * tau:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int,
+               factor: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Distances and ids of the ``k`` best found for each query, nearest
+        first; rows with the query's ``own`` id are left out."""
+        m = len(queries)
+        best = [(np.zeros(0), np.zeros(0, self.ids.dtype)) for _ in range(m)]
+        tau = np.full(m, np.inf)
+
+        def offer(qs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            d = distances(self.points[rows], queries[qs])
+            ids = self.ids[rows]
+            for i in np.flatnonzero((d <= tau[qs][:, None]).any(axis=1)):
+                q = qs[i]
+                use = (d[i] <= tau[q]) & (ids != own[q])
+                all_d, all_id = np.concatenate([best[q][0], d[i][use]]), np.concatenate([best[q][1], ids[use]])
+                top = np.lexsort((all_id, all_d))[:k]
+                best[q] = all_d[top], all_id[top]
+                if len(top) == k:
+                    tau[q] = all_d[top[-1]]
+            return d
+
+        home = np.zeros(m, dtype=np.int64)
+        todo: list[tuple] = [(0, np.arange(m))]
+        while todo:  # the leaf that each query falls into
+            node, qs = todo.pop()
+            n = self.nodes[node]
+            if len(n) == 2:
+                home[qs] = node
+                offer(qs, self.order[n[0]:n[1]])
                 continue
+            inside = distances(self.points[[n[0]]], queries[qs])[:, 0] <= n[3]
+            todo += [(child, part) for child, part in ((n[1], qs[inside]), (n[4], qs[~inside])) if len(part)]
+        todo = [(0, np.arange(m), np.zeros(m))]
+        while todo:  # the rest, as far as the bounds don't exclude it
+            node, qs, gap = todo.pop()
+            qs = qs[gap <= factor * tau[qs]]
             n = self.nodes[node]
-            rows = self.order[n[0]:n[1]] if len(n) == 2 else np.array([n[0]])
-            d = distances(self.points[rows], q)
-            if len(n) == 7:
-                v = d[0]
-                inner = (n[1], max(n[2] - v, v - n[3], 0.0))
-                outer = (n[4], max(n[5] - v, v - n[6], 0.0))
-                todo += [outer, inner] if v <= n[3] else [inner, outer]
-            use = (d <= tau) & (self.ids[rows] != own)
-            if use.any():
-                d, ids = np.concatenate([best_d, d[use]]), np.concatenate([best_id, self.ids[rows[use]]])
-                top = np.lexsort((ids, d))[:k]
-                best_d, best_id = d[top], ids[top]
-        return best_d, best_id
+            if len(n) == 2:
+                qs = qs[home[qs] != node]
+                if len(qs):
+                    offer(qs, self.order[n[0]:n[1]])
+            elif len(qs):
+                v = offer(qs, np.array([n[0]]))[:, 0]
+                for child, low, high in ((n[4], n[5], n[6]), (n[1], n[2], n[3])):
+                    todo.append((child, qs, np.maximum(np.maximum(low - v, v - high), 0.0)))
+        return best
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = FACTOR,
@@ -148,8 +172,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
         if own.num_rows and others.num_rows:
             own = own.sort_by("vec_id")  # the same tree whatever order the rows came in
             tree = Tree(matrix(own["v"]), own["vec_id"].to_numpy())
-            for q, v in zip(others["vec_id"].to_pylist(), matrix(others["v"])):
-                d, ids = tree.search(v, q, k, factor)
+            asked_ids = others["vec_id"].to_numpy()
+            for q, (d, ids) in zip(asked_ids, tree.search(matrix(others["v"]), asked_ids, k, factor)):
                 out.append((np.full(len(d), q, np.int64), ids, d))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
