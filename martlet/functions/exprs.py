@@ -32,11 +32,6 @@ def money(c: ColumnOrName) -> Column:
     return col(c).cast(MONEY)
 
 
-def money_sum(c: ColumnOrName) -> Column:
-    """Exact sum of money values (partial aggregation still applies)."""
-    return F.sum(money(c)).cast(MONEY_TOTAL)
-
-
 def total(c: ColumnOrName) -> Column:
     """Cast any decimal sum/expression to the money-total type."""
     return col(c).cast(MONEY_TOTAL)
@@ -73,9 +68,9 @@ def month_index(ts: ColumnOrName) -> Column:
 
 
 def nan_to_null(c: ColumnOrName) -> Column:
-    """pandas reads NaN as missing; Spark does not. Map it for doubles."""
+    """pandas reads NaN as missing; Spark does not. For floating columns."""
     c = col(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+    return F.when(~F.isnan(c), c)
 
 
 def date_key(ts: ColumnOrName) -> Column:

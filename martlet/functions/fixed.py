@@ -47,10 +47,11 @@ READER_NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN
                      "nan", "null"]
 READER_TRUE = ["True", "TRUE", "true"]
 READER_FALSE = ["False", "FALSE", "false"]
-# Date formats tried in order after the ISO cast (Spark datetime patterns).
-DATE_FORMATS = ["M/d/yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s", "yyyy/M/d", "yyyy/M/d H:m:s",
-                "yyyy-M-d", "yyyy-M-d H:m:s", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
-                "d MMM yyyy", "d MMMM yyyy"]
+# Date formats tried in order after the ISO cast (Spark datetime patterns);
+# a time of day may follow each.
+DATE_FORMATS = ["M/d/yyyy", "yyyy/M/d", "yyyy-M-d", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+                "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM yyyy", "MMMM yyyy",
+                "yyyy M d", "yyyyMMdd", "M.d.yyyy"]
 
 SQL_RESERVED_NAMES = [
     "select", "from", "where", "group", "order", "by", "having", "join", "on",
@@ -62,7 +63,6 @@ SQL_RESERVED_NAMES = [
     "check", "constraint", "column",
 ]
 
-ENCODINGS = ["utf-8", "utf-8-sig", "latin-1", "cp1252", "iso-8859-1"]
 DELIMITERS = [",", "\t", ";", "|"]
 
 # ---- fixed values: question rules --------------------------------------------
@@ -148,3 +148,9 @@ RETURN_APPAREL = 0.05
 RETURN_WEST = 0.01
 RETURN_JANUARY = 0.03
 RETURN_AMOUNT_FACTOR = 0.92
+
+# ---- fixed values: message texts ----------------------------------------------
+CLUSTER_MESSAGE = ("This result has enough numeric density to support customer or region "
+                   "clustering in a follow-up analysis.")
+EMPTY_MESSAGE = ("The query completed successfully, but there were no matching records "
+                 "in the warehouse.")

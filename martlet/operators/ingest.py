@@ -32,9 +32,9 @@ def build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
     """PRF-5: CLN-1..14 -> PRF-1..4 -> fact and dimensions written.
 
     Scans: the input twice (typing aggregate, which also counts the rows
-    read; the deduplicating write, during which the coercion aggregate is
-    observed), the deduplicated rows once (the fact write), the fact once
-    for the profile and once for ALL dimensions together."""
+    read; the deduplicating write), the deduplicated rows for the coercion
+    counts and for the fact write, the fact once for the profile and once for
+    ALL dimensions together."""
     spark = raw.sparkSession
     if not raw.columns:
         raise ValueError("CSV parsed to a table with no columns.")
@@ -42,12 +42,12 @@ def build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
     if kept == 0:
         raise ValueError("No data remains after cleaning — the file may be empty or consist "
                          "entirely of duplicate rows.")
-    fact_tmp = os.path.join(out_dir, "_fact")
-    write_table(cleaned, fact_tmp, "overwrite")
-    fact = spark.read.parquet(fact_tmp)
+    fact_path = os.path.join(out_dir, PR.fact_table_name(prefix))
+    write_table(cleaned, fact_path, "overwrite")
+    fact = spark.read.parquet(fact_path)
     roles = PR.classify_roles(PR.profile_columns(fact))
     bp, _ = PR.build_blueprint(roles, prefix)
-    tables = {bp.fact_table: fact_tmp}
+    tables = {bp.fact_table: fact_path}
     dim_cols = list(bp.dim_tables.values())
     # dimension columns hold <= MAX_DIMENSION_CARDINALITY values (exact
     # profile), so all of them come from one grouping-sets pass

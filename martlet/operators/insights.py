@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlet.functions import fixed
-from martlet.functions.exprs import round6
+from martlet.functions.exprs import nan_to_null, round6
+from martlet.session import cut_lineage
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
@@ -35,8 +36,26 @@ def date_like_columns(df: DataFrame) -> list[str]:
 
 
 def round2_text(c: Column) -> Column:
-    """Round half away from zero to 2 places and print as a decimal."""
-    return (F.round(c.cast("double") * F.lit(100.0)) / F.lit(100.0)).cast("decimal(38,2)").cast("string")
+    """Rounded to 2 places (half away from zero) and printed with at least one
+    place: ``205.0``, ``1.5``, ``1.23``."""
+    two = (F.round(c.cast("double") * F.lit(100.0)) / F.lit(100.0)).cast("decimal(38,2)").cast("string")
+    return F.regexp_replace(two, "0$", "")
+
+
+def raw_text(c: Column, dtype: T.DataType) -> Column:
+    """A single value as it is: integers and decimals by their digits, floating
+    values by their shortest form; ``nan`` when missing."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        d = c.cast("double")
+        plain = F.regexp_replace(d.cast("decimal(38,12)").cast("string"), "(\\.[0-9]+?)0+$", "$1")
+        usual = F.abs(d).between(1e-3, 1e16) | (d == 0)
+        return F.coalesce(F.when(usual, plain).otherwise(d.cast("string")), F.lit("nan"))
+    return F.coalesce(c.cast("string"), F.lit("nan"))
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """A numeric column as a double, NaN as missing."""
+    return nan_to_null(F.col(name).cast("double"))
 
 
 def _label_of(df: DataFrame, metric: str) -> str | None:
@@ -54,7 +73,7 @@ def primary_signal(df: DataFrame, order_col: str | None = None) -> DataFrame:
                      F.lit(" records without a dominant numeric KPI.")).alias("message"))
     metric = nums[0]
     label = _label_of(df, metric)
-    v = F.col(metric).cast("double")
+    v = _number(df, metric)
     lab = F.col(label).cast("string") if label else F.lit(None).cast("string")
     # highest value first; among equal values the smallest order key
     # (rows whose metric is null never win: min_by skips null ordering keys)
@@ -62,9 +81,10 @@ def primary_signal(df: DataFrame, order_col: str | None = None) -> DataFrame:
                                               (F.col(order_col) if order_col else F.lit(0)).alias("o")))
     agg = df.agg(F.count(F.lit(1)).alias("_n"),
                  F.min_by(F.struct(lab.alias("l"), v.alias("v")), rank_key).alias("_top"),
-                 F.first(v, ignorenulls=False).alias("_only"))
+                 F.first(v, ignorenulls=False).alias("_only"),
+                 F.first(raw_text(F.col(metric), df.schema[metric].dataType)).alias("_raw"))
     value = F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("_top.v"))
-    one = F.concat(F.lit(f"The primary metric `{metric}` equals `"), round2_text(F.col("_only")),
+    one = F.concat(F.lit(f"The primary metric `{metric}` equals `"), F.col("_raw"),
                    F.lit("` for the selected slice."))
     if label:
         many = F.concat(F.lit("The strongest result is `"), F.coalesce(F.col("_top.l"), F.lit("None")),
@@ -88,7 +108,7 @@ def detect_anomaly(df: DataFrame, order_col: str, threshold: float = fixed.ANOMA
         return _empty_anomaly(df)
     metric = nums[0]
     label = _label_of(df, metric)
-    v = F.coalesce(F.col(metric).cast("double"), F.lit(0.0))
+    v = F.coalesce(_number(df, metric), F.lit(0.0))
     stats = df.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mu"),
                                F.stddev_pop(v).alias("sd"))).scalar()
     n, mu, sd = stats["n"], stats["mu"], stats["sd"]
@@ -97,13 +117,18 @@ def detect_anomaly(df: DataFrame, order_col: str, threshold: float = fixed.ANOMA
     # rank key: larger |z| first, then earlier order key (min over order)
     best = (df.select(lab.alias("l"), v.alias("v"), z.alias("z"), F.col(order_col).alias("o"))
             .agg(F.max(F.abs(F.col("z"))).alias("_maxz"),
-                 F.min_by(F.struct("l", "v", "z"),
+                 F.min_by(F.struct("l", "v", "z", "o"),
                           F.struct((-F.abs(F.col("z"))).alias("a"), F.col("o").alias("o"))).alias("_b")))
+    named = F.coalesce(F.col("_b.l"), F.lit("None"))
+    if not label:  # the row is named by its place in the order: one value to look up
+        at = best.first()["_b"]
+        place = 1 + df.where(F.col(order_col) < F.lit(at["o"])).count() if at is not None else 1
+        named = F.lit(f"row {place}")
     out = best.filter((F.lit(1) * n >= fixed.ANOMALY_MIN_ROWS) & (sd != 0) & (F.col("_maxz") >= threshold))
     return out.select(
         F.lit("anomaly").alias("kind"), F.col("_b.l").alias("label"), F.lit(metric).alias("metric"),
         F.col("_b.v").alias("value"), round6(F.col("_b.z")).alias("z_score"),
-        F.concat(F.lit("Potential anomaly detected: `"), F.coalesce(F.col("_b.l"), F.lit("None")),
+        F.concat(F.lit("Potential anomaly detected: `"), named,
                  F.lit(f"` deviates sharply on `{metric}` with a z-score of `"),
                  round2_text(F.col("_b.z")), F.lit("`.")).alias("message"))
 
@@ -122,7 +147,7 @@ def detect_trend(df: DataFrame) -> DataFrame:
             [], "kind string, first_period string, last_period string, baseline double, "
                 "latest double, delta_pct double, direction string, message string")
     metric, ts = nums[0], dates[0]
-    v = F.col(metric).cast("double")
+    v = _number(df, metric)
     agg = df.agg(F.count(F.lit(1)).alias("_n"),
                  F.min_by(F.struct(F.col(ts).cast("string").alias("p"), v.alias("v")), F.col(ts)).alias("_f"),
                  F.max_by(F.struct(F.col(ts).cast("string").alias("p"), v.alias("v")), F.col(ts)).alias("_l"))
@@ -138,21 +163,13 @@ def detect_trend(df: DataFrame) -> DataFrame:
                              F.lit("%` from first to latest period.")).alias("message")))
 
 
-CLUSTER_MESSAGE = ("This result has enough numeric density to support customer or region "
-                   "clustering in a follow-up analysis.")
-
-
 def cluster_ready(df: DataFrame) -> DataFrame:
     """ANL-4: one row when there are >= 2 numeric columns and >= 12 rows."""
     k = len(numeric_columns(df))
     agg = df.agg(F.count(F.lit(1)).alias("rows"))
     return (agg.filter((F.col("rows") >= fixed.CLUSTER_MIN_ROWS) & F.lit(k >= fixed.CLUSTER_MIN_NUMERIC))
             .select(F.lit("cluster").alias("kind"), F.lit(k).alias("numeric_columns"), "rows",
-                    F.lit(CLUSTER_MESSAGE).alias("message")))
-
-
-EMPTY_MESSAGE = ("The query completed successfully, but there were no matching records "
-                 "in the warehouse.")
+                    F.lit(fixed.CLUSTER_MESSAGE).alias("message")))
 
 
 def insights(df: DataFrame, intent: str | None, order_col: str) -> DataFrame:
@@ -164,7 +181,6 @@ def insights(df: DataFrame, intent: str | None, order_col: str) -> DataFrame:
     written once to the shared checkpoint folder first: the query that
     produced it (possibly a scan of the whole warehouse) runs once, not once
     per insight. Results are small (capped upstream, LIM-2)."""
-    from martlet.session import cut_lineage
     df = cut_lineage(df)
     parts = [primary_signal(df, order_col).select("kind", "message"),
              detect_anomaly(df, order_col).select("kind", "message"),
@@ -180,19 +196,23 @@ def insights(df: DataFrame, intent: str | None, order_col: str) -> DataFrame:
     rows = u.select(pos_col.cast("int").alias("position"), "kind", "message")
     n = df.select(F.count(F.lit(1))).scalar()
     empty = df.sparkSession.range(1).select(F.lit(1).alias("position"), F.lit("empty").alias("kind"),
-                                            F.lit(EMPTY_MESSAGE).alias("message"))
+                                            F.lit(fixed.EMPTY_MESSAGE).alias("message"))
     return rows.filter(n > 0).unionByName(empty.filter(n == 0))
 
 
 def moving_average(series: DataFrame, period: str, index: str, value: str, k: int = 3) -> DataFrame:
     """ANL-6: average of ``value`` over the last ``k`` calendar periods
-    (those present). Each period is copied to the k periods it contributes
-    to and summed per target: a distributed equi-join, no global window."""
-    contrib = (series.select(F.col(index), F.col(value).cast("decimal(38,2)").alias("_v"))
-               .withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-               .select((F.col(index) + F.col("_off")).alias("_target"), "_v")
-               .groupBy("_target").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("window_periods")))
-    return (series.join(contrib, F.col(index) == F.col("_target"))
+    (those present). Each period is emitted for the k periods it feeds and
+    summed per target in one ``groupBy``: the series is computed once, and
+    there is no join and no global window."""
+    v = F.col("_v")
+    emitted = (series.select(F.col(index).alias("_i"), F.col(period).alias("_p"), F.col(value).alias("_v"))
+               .withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))))
+    own = F.col("_off") == 0
+    met = emitted.groupBy((F.col("_i") + F.col("_off")).alias("_target")).agg(
+        F.max(own).alias("_own"), F.max(F.when(own, F.col("_p"))).alias(period), F.max(F.when(own, v)).alias(value),
+        F.sum(v.cast("decimal(38,2)")).alias("_s"), F.count(F.lit(1)).alias("window_periods"))
+    return (met.where("_own")
             .select(period, value, round6(F.try_divide(F.col("_s").cast("double"),
                                                        F.col("window_periods").cast("double"))).alias("moving_avg"),
                     F.col("window_periods").cast("bigint").alias("window_periods"))
@@ -200,23 +220,25 @@ def moving_average(series: DataFrame, period: str, index: str, value: str, k: in
 
 
 def cluster_entities(df: DataFrame, key: str, features: list[str], k: int = 4,
-                     seed: int = 7) -> DataFrame:
+                     seed: int = 7, max_iter: int = 100) -> DataFrame:
     """ANL-8: k-means segments over standardised numeric features
     (MLlib: each iteration is one distributed pass plus a k-row reduce).
     The feature table (one row per entity) is written once to the shared
     checkpoint folder: the scaler fit, the k-means fit and the assignment
-    all read it, so the query behind it runs once."""
+    all read it, so the query behind it runs once. ``max_iter`` bounds the
+    iterations; a fit that reaches it has not converged and raises."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    from martlet.session import cut_lineage
     clean = cut_lineage(df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                                          for c in features]))
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
-        KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", maxIter=20),
+        KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", maxIter=max_iter),
     ])
     model = pipe.fit(clean)
+    if model.stages[-1].summary.numIter >= max_iter:
+        raise RuntimeError(f"k-means did not converge in {max_iter} iterations")
     return model.transform(clean).select(key, *features, F.col("cluster").cast("int"))

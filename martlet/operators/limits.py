@@ -17,9 +17,15 @@ def limited(df: DataFrame, n: int) -> DataFrame:
 
 def capped(df: DataFrame, cap: int = fixed.EXPORT_CAP) -> DataFrame:
     """LIM-2: at most ``cap`` rows plus an ``overflow`` column that is true
-    when the input had more. The check reads at most ``cap + 1`` rows."""
-    over = df.limit(cap + 1).select(F.count(F.lit(1))).scalar() > F.lit(cap)
-    return df.limit(cap).withColumn("overflow", over)
+    when the input had more. The query runs once: its first ``cap + 1`` rows
+    are written to the shared folder with their positions (a limit leaves one
+    partition, so positions are consecutive), flagged and cut there."""
+    from martlet.session import scratch_path
+    path = scratch_path(df.sparkSession, "capped")
+    df.limit(cap + 1).withColumn("_pos", F.monotonically_increasing_id()).write.parquet(path)
+    top = df.sparkSession.read.parquet(path)
+    over = top.agg(F.count(F.lit(1))).first()[0] > cap
+    return top.where(F.col("_pos") < cap).drop("_pos").withColumn("overflow", F.lit(over))
 
 
 def preview_rows(df: DataFrame, n: int = fixed.PREVIEW_ROWS) -> DataFrame:

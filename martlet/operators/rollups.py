@@ -12,30 +12,57 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlet.functions.exprs import (
-    ColumnOrName, col, mean_of, money, month_of, round6, total,
+    ColumnOrName, col, mean_of, money, month_of, nan_to_null, round6, total,
 )
 from martlet.plans.numbering import with_ordered_ids
 
 
-def _metric_sum(metric: ColumnOrName, as_money: bool) -> Column:
-    return total(F.sum(money(metric))) if as_money else F.sum(col(metric))
+def _is_floating(df: DataFrame, metric: ColumnOrName) -> bool:
+    return isinstance(df.select(col(metric)).schema[0].dataType, (T.FloatType, T.DoubleType))
 
 
-def top_n(df: DataFrame, dim: str, metric: ColumnOrName, n: int = 10,
-          as_money: bool = True, name: str = "total_revenue") -> DataFrame:
-    """SUM(metric) by dim, largest first, first ``n`` (ties by dim)."""
-    return (df.groupBy(dim).agg(_metric_sum(metric, as_money).alias(name))
-            .orderBy(F.col(name).desc(), F.col(dim).asc_nulls_last()).limit(n))
+def _metric_sum(df: DataFrame, metric: ColumnOrName, as_money: bool) -> Column:
+    """Sum by the metric's type: integers and decimals exactly, floating
+    values as a double rounded to 6 places (NaN counts as missing). Only a
+    caller who knows that a metric is money asks for cents."""
+    if as_money:
+        return total(F.sum(money(metric)))
+    if _is_floating(df, metric):
+        return round6(F.sum(nan_to_null(col(metric).cast("double"))))
+    return F.sum(col(metric))
 
 
-def monthly_trend(df: DataFrame, ts: str, metric: ColumnOrName, as_money: bool = True,
+def _metric_values(df: DataFrame, metric: ColumnOrName) -> Column:
+    """Number of values that an average is over (missing ones don't count)."""
+    return F.count(nan_to_null(col(metric)) if _is_floating(df, metric) else col(metric))
+
+
+def _metric_average(df: DataFrame, metric: ColumnOrName, as_money: bool) -> Column:
+    """SQL's AVG: over the values that are there, rounded to 6 places."""
+    c = money(metric) if as_money else col(metric).cast("double")
+    if not as_money and _is_floating(df, metric):
+        c = nan_to_null(c)
+    return mean_of(F.sum(c), _metric_values(df, metric))
+
+
+def top_n(df: DataFrame, dim: str, metric: ColumnOrName, n: int | None = 10,
+          as_money: bool = False, name: str = "total_revenue") -> DataFrame:
+    """SUM(metric) by dim, largest first, first ``n`` (all if None; ties by
+    dim)."""
+    out = (df.groupBy(dim).agg(_metric_sum(df, metric, as_money).alias(name))
+           .orderBy(F.col(name).desc(), F.col(dim).asc_nulls_last()))
+    return out if n is None else out.limit(n)
+
+
+def monthly_trend(df: DataFrame, ts: str, metric: ColumnOrName, as_money: bool = False,
                   name: str = "total_revenue") -> DataFrame:
     """``yyyy-MM`` month of a non-null timestamp, SUM(metric), ascending."""
     return (df.filter(F.col(ts).isNotNull())
             .groupBy(month_of(ts).alias("month"))
-            .agg(_metric_sum(metric, as_money).alias(name))
+            .agg(_metric_sum(df, metric, as_money).alias(name))
             .orderBy("month"))
 
 
@@ -46,20 +73,20 @@ def count_by(df: DataFrame, dim: str, name: str = "record_count") -> DataFrame:
 
 
 def segment_breakdown(df: DataFrame, dim: str, metric: ColumnOrName,
-                      as_money: bool = True) -> DataFrame:
-    """count, sum and average of metric by dim, largest sum first."""
-    s = _metric_sum(metric, as_money)
+                      as_money: bool = False) -> DataFrame:
+    """count, sum and average (over non-null values) of metric by dim, largest
+    sum first."""
     return (df.groupBy(dim)
-            .agg(F.count(F.lit(1)).alias("orders"), s.alias("revenue"))
-            .withColumn("avg_value", mean_of("revenue", "orders"))
+            .agg(F.count(F.lit(1)).alias("orders"), _metric_sum(df, metric, as_money).alias("revenue"),
+                 _metric_average(df, metric, as_money).alias("avg_value"))
             .orderBy(F.col("revenue").desc(), F.col(dim).asc_nulls_last()))
 
 
 def generic_rollup(df: DataFrame, dim: str, metric: ColumnOrName,
-                   as_money: bool = True) -> DataFrame:
+                   as_money: bool = False) -> DataFrame:
     """sum and count of metric by dim, largest sum first."""
     return (df.groupBy(dim)
-            .agg(_metric_sum(metric, as_money).alias("total"),
+            .agg(_metric_sum(df, metric, as_money).alias("total"),
                  F.count(F.lit(1)).alias("records"))
             .orderBy(F.col("total").desc(), F.col(dim).asc_nulls_last()))
 
@@ -76,13 +103,9 @@ def monthly_count(df: DataFrame, ts: str, name: str = "record_count") -> DataFra
 
 
 def avg_by(df: DataFrame, dim: str, metric: ColumnOrName, name: str = "avg_value",
-           as_money: bool = True) -> DataFrame:
-    """Average of metric by dim, highest first. Money is averaged from the
-    exact decimal sum; other metrics from the double sum."""
-    s = F.sum(money(metric)) if as_money else F.sum(col(metric).cast("double"))
-    return (df.groupBy(dim)
-            .agg(s.alias("_s"), F.count(col(metric)).alias("_n"))
-            .select(dim, mean_of("_s", "_n").alias(name))
+           as_money: bool = False) -> DataFrame:
+    """Average of metric by dim, highest first."""
+    return (df.groupBy(dim).agg(_metric_average(df, metric, as_money).alias(name))
             .orderBy(F.col(name).desc_nulls_last(), F.col(dim).asc_nulls_last()))
 
 
@@ -114,7 +137,7 @@ def exact_quantiles(df: DataFrame, metric: str, probs: list[float]) -> list[floa
     proven, the whole column is range-sorted instead; both paths are exact."""
     import math
 
-    v = df.select(F.col(metric).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    v = df.select(nan_to_null(F.col(metric).cast("double")).alias("v")).filter(F.col("v").isNotNull())
     lows = [max(0.0, p - QUANTILE_BRACKET) for p in probs]
     highs = [min(1.0, p + QUANTILE_BRACKET) for p in probs]
     first = v.agg(F.count(F.lit(1)).alias("n"),
@@ -152,7 +175,7 @@ def distribution(df: DataFrame, metric: str, exact: bool = True) -> DataFrame:
     Exact quartiles use a distributed sort (see ``exact_quantiles``);
     ``exact=False`` uses ``percentile_approx`` (a bounded sketch per
     partition, one pass)."""
-    m = F.col(metric).cast("double")
+    m = nan_to_null(F.col(metric).cast("double"))
     if exact:
         q = [F.lit(x).cast("double") for x in exact_quantiles(df, metric, [0.25, 0.5, 0.75])]
     else:
@@ -173,7 +196,7 @@ def histogram(df: DataFrame, metric: str, buckets: int = 10) -> DataFrame:
     """Equal-width bucket counts between the column's min and max. The
     bounds come from ONE one-row scalar subquery (min and max together),
     not a window over all rows."""
-    m = F.col(metric).cast("double")
+    m = nan_to_null(F.col(metric).cast("double"))
     bounds = df.select(F.struct(F.min(m).alias("lo"), F.max(m).alias("hi"))).scalar()
     lo, hi = bounds["lo"], bounds["hi"]
     # width_bucket puts the max itself into bucket n+1; fold it into n

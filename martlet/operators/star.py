@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.exprs import (
-    mean_of, money, month_index, month_of, ratio, round6, total,
+    mean_of, money, month_index, month_of, nan_to_null, quarter_of, ratio, round6, total,
 )
 from martlet.plans.joins import broadcast_if_bounded
 
@@ -110,7 +110,7 @@ def zscore_rows(df: DataFrame, value: str, keep: list[str], threshold: float = 1
     """Row-form z-score of ``value`` over the whole frame. Mean and population
     stddev are one-row scalar subqueries (no global window, no cross join);
     nulls count as 0 like the reference's fillna(0)."""
-    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    v = F.coalesce(nan_to_null(F.col(value).cast("double")), F.lit(0.0))
     stats = df.select(F.struct(F.avg(v).alias("mu"), F.stddev_pop(v).alias("sd"))).scalar()
     mu, sd = stats["mu"], stats["sd"]
     z = F.try_divide(v - mu, F.when(sd != 0, sd))
@@ -127,17 +127,19 @@ def order_value_outliers(lineitem: DataFrame, threshold: float = 1.75) -> DataFr
 
 def _orders_per_customer(orders: DataFrame) -> DataFrame:
     return (orders.groupBy("o_custkey")
-            .agg(F.sum(money("o_totalprice")).alias("_rev"), F.count(F.lit(1)).alias("_n")))
+            .agg(F.sum(money("o_totalprice")).alias("_rev"), F.count(F.lit(1)).alias("_n"),
+                 F.count("o_totalprice").alias("_priced")))
 
 
 def aov_by_segment(orders: DataFrame, customer: DataFrame) -> DataFrame:
-    """Q-6 / Q-9: orders, revenue and average order value per segment."""
+    """Q-6 / Q-9: orders, revenue and average order value (over the orders that
+    have one) per segment."""
     per_cust = _orders_per_customer(orders)
     return (customer.select("c_custkey", "c_mktsegment")
             .join(per_cust, F.col("c_custkey") == F.col("o_custkey"))
             .groupBy("c_mktsegment")
-            .agg(F.sum("_n").cast("bigint").alias("orders"), total(F.sum("_rev")).alias("revenue"))
-            .withColumn("avg_order_value", mean_of("revenue", "orders"))
+            .agg(F.sum("_n").cast("bigint").alias("orders"), total(F.sum("_rev")).alias("revenue"),
+                 mean_of(total(F.sum("_rev")), F.sum("_priced")).alias("avg_order_value"))
             .orderBy(F.col("revenue").desc(), "c_mktsegment"))
 
 
@@ -208,11 +210,19 @@ def sales_and_return_rate(lineitem: DataFrame) -> DataFrame:
 
 def period_over_period(series: DataFrame, period: str, index: str, value: str) -> DataFrame:
     """Q-14 / ANL-7: value beside the previous calendar period's value and the
-    percent change. The previous period is an equi-join on ``index - 1``
-    (series are pre-aggregated, so both sides are small and the join is
-    distributed; no global ``Window.orderBy``)."""
-    prev = series.select((F.col(index) + 1).alias("_next"), F.col(value).alias("previous_value"))
-    return (series.join(prev, F.col(index) == F.col("_next"), "left")
+    percent change. Each period is emitted for itself and for the next one and
+    one ``groupBy`` on the index brings both together: the series is computed
+    once, and there is no join and no global window."""
+    v = F.col(value)
+    emitted = series.select(F.explode(F.array(
+        F.struct(F.col(index).alias("i"), F.lit(True).alias("own"), F.col(period).alias("p"), v.alias("v")),
+        F.struct((F.col(index) + 1).alias("i"), F.lit(False).alias("own"), F.col(period).alias("p"), v.alias("v")),
+    )).alias("e")).select("e.*")
+    own = F.col("own")
+    met = emitted.groupBy("i").agg(
+        F.max(own).alias("own"), F.max(F.when(own, F.col("p"))).alias(period), F.max(F.when(own, F.col("v"))).alias(value),
+        F.max(F.when(~own, F.col("v"))).alias("previous_value"))
+    return (met.where("own")
             .select(period, value, "previous_value",
                     round6(F.try_divide((F.col(value) - F.col("previous_value")).cast("double") * 100,
                                         F.col("previous_value").cast("double"))).alias("growth_pct"))
@@ -233,8 +243,7 @@ def month_over_month(orders: DataFrame) -> DataFrame:
 def quarter_over_quarter(orders: DataFrame) -> DataFrame:
     d = F.col("o_orderdate")
     series = (orders.filter(d.isNotNull())
-              .groupBy(F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string"))
-                       .alias("quarter"),
+              .groupBy(quarter_of(d).alias("quarter"),
                        (F.year(d) * 4 + F.quarter(d) - 1).alias("quarter_idx"))
               .agg(total(F.sum(money("o_totalprice"))).alias("revenue")))
     return period_over_period(series, "quarter", "quarter_idx", "revenue")

@@ -60,32 +60,71 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad == 0 else "ISO-8859-1"
 
 
-def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, str, str]:
+CORRUPT = "_corrupt_record"
+#: The dialect of quoted fields (RFC 4180), shared with ``sinks.export_csv``:
+#: a quote inside a quoted field is doubled.
+QUOTED = {"quote": '"', "escape": '"'}
+
+
+def has_quoted_newlines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """True when a line holds an odd number of quotes, so that a quoted field
+    goes on in the next line. Each task stops at its first such line."""
+    v = F.col("value")
+    odd = (F.length(v) - F.length(F.replace(v, F.lit('"'), F.lit("")))) % 2 == 1
+    return spark.read.option("encoding", encoding).text(path).filter(odd).limit(1).count() > 0
+
+
+def read_delimited(spark: SparkSession, path: str, multi_line: bool | None = None,
+                   sample_lines: int = SAMPLE_LINES) -> tuple[DataFrame, str, str]:
     """SRC-1: all-string DataFrame with the file's header names; returns
-    (df, encoding, delimiter). Raises ValueError on a file without columns."""
+    (df, encoding, delimiter). Raises ValueError on a file without columns.
+
+    Quoted fields follow RFC 4180. ``multi_line`` reads quoted newlines, which
+    stops Spark from splitting a file; by default it is on exactly when the
+    text has lines that need it. ``sample_lines`` bounds the head sample that
+    decides the delimiter. Rows with more or fewer fields than the header are
+    kept as far as they fit; ``malformed_rows`` counts them."""
+    df, encoding, sep = _read_marked(spark, path, multi_line, sample_lines)
+    return df.drop(CORRUPT), encoding, sep
+
+
+def malformed_rows(spark: SparkSession, path: str, multi_line: bool | None = None) -> int:
+    """Number of rows whose field count differs from the header's."""
+    df, _, _ = _read_marked(spark, path, multi_line, SAMPLE_LINES)
+    # the record column alone can't be read without a parsed one
+    return df.select(F.col(f"`{CORRUPT}`").isNotNull().alias("bad"), *[F.col(f"`{c}`") for c in df.columns[:-1]]) \
+        .agg(F.count_if("bad"), *[F.count(F.col(f"`{c}`")) for c in df.columns[:-1]]).first()[0]
+
+
+def _read_marked(spark: SparkSession, path: str, multi_line: bool | None,
+                 sample_lines: int) -> tuple[DataFrame, str, str]:
     encoding = detect_encoding(spark, path)
-    head = [r["value"] for r in spark.read.option("encoding", encoding).text(path).limit(SAMPLE_LINES).collect()]
+    head = [r["value"] for r in spark.read.option("encoding", encoding).text(path).limit(sample_lines).collect()]
     head = [h for h in head if h.strip()]
     if not head:
         raise ValueError("CSV parsed to a table with no columns.")
-    head[0] = head[0].lstrip("﻿")
+    head[0] = head[0].lstrip("\ufeff")
     sep = sniff_delimiter(head)
     header = next(csv.reader(io.StringIO(head[0]), delimiter=sep))
     if not header or all(not h.strip() for h in header):
         raise ValueError("CSV parsed to a table with no columns.")
     names = pandas_style_names([h.strip() if h.strip() else f"Unnamed: {i}" for i, h in enumerate(header)])
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep)
-          .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
-    return df.toDF(*names), encoding, sep
+    if multi_line is None:
+        multi_line = has_quoted_newlines(spark, path, encoding)
+    schema = ", ".join([f"c{i} string" for i in range(len(names))] + [f"{CORRUPT} string"])
+    df = (spark.read.schema(schema).options(**QUOTED).option("header", True).option("sep", sep)
+          .option("encoding", encoding).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    return df.toDF(*names, CORRUPT), encoding, sep
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-2: parquet when the path ends in ``.parquet``, else CSV with a
-    header row (all strings)."""
+    """SRC-2: parquet when the path ends in ``.parquet``, else a delimited file
+    with a header row, typed as a reader types it (CLN-12)."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.option("header", True).csv(path)
+    from martlet.operators.clean import infer_column_types
+    return infer_column_types(read_delimited(spark, path)[0])
 
 
 def scan(spark: SparkSession, table: str) -> DataFrame:

@@ -21,8 +21,10 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """SNK-2: result rows with a header line, no index column."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """SNK-2: result rows with a header line, no index column; fields are quoted
+    as SRC-1 reads them (RFC 4180)."""
+    from martlet.sources.files import QUOTED
+    df.write.mode("overwrite").options(**QUOTED).option("header", True).csv(path)
 
 
 def export_summary(insights: DataFrame, sql_text: str) -> DataFrame:

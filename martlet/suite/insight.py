@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from martlet.functions import fixed
 from martlet.functions.exprs import money, month_index, month_of, total
 from martlet.operators import charts as C
 from martlet.operators import insights as I
@@ -17,7 +18,8 @@ from martlet.suite.sales import _SEG_SQL, money_sum_sql, r6
 
 def txt2(x: str) -> str:
     """Oracle twin of ``insights.round2_text``."""
-    return f"CAST(CAST(ROUND(CAST({x} AS DOUBLE) * CAST(100 AS DOUBLE)) / CAST(100 AS DOUBLE) AS DECIMAL(38,2)) AS VARCHAR)"
+    two = f"CAST(CAST(ROUND(CAST({x} AS DOUBLE) * CAST(100 AS DOUBLE)) / CAST(100 AS DOUBLE) AS DECIMAL(38,2)) AS VARCHAR)"
+    return f"regexp_replace({two}, '0$', '')"
 
 
 MONTHLY_SQL = f"""SELECT strftime(o_orderdate, '%Y-%m') AS month, {money_sum_sql('o_totalprice')} AS total_revenue
@@ -25,7 +27,7 @@ FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1"""
 
 
 def _monthly(spark, sf):
-    return R.monthly_trend(Warehouse(spark, sf).orders, "o_orderdate", "o_totalprice")
+    return R.monthly_trend(Warehouse(spark, sf).orders, "o_orderdate", "o_totalprice", as_money=True)
 
 
 def _segments(spark, sf):
@@ -98,7 +100,7 @@ def insight_trend(spark, sf):
 
 @register("insight_cluster_ready", f"""
 SELECT 'cluster' AS kind, 2 AS numeric_columns, COUNT(*) AS rows,
-       '{I.CLUSTER_MESSAGE}' AS message
+       '{fixed.CLUSTER_MESSAGE}' AS message
 FROM ({PER_CUSTOMER_SQL}) t HAVING COUNT(*) >= 12""")
 def insight_cluster_ready(spark, sf):
     return I.cluster_ready(_per_customer(spark, sf).select("total_spend", "orders"))
@@ -117,6 +119,58 @@ def insights_all(spark, sf):
     return I.insights(_monthly(spark, sf), intent="trend", order_col="month")
 
 
+def _spread(spark, sf):
+    """Order values with a NaN and a missing one: both count as 0 in a z-score
+    and are left out of everything else."""
+    ev = Warehouse(spark, sf).events
+    v = F.when(F.col("event_type") == "error", F.lit(float("nan"))).when(F.col("event_type") != "signup", F.col("value"))
+    return ev.groupBy("user_id").agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n")), ev.withColumn("value", v)
+
+
+@register("zscore_with_gaps", f"""
+WITH e AS (SELECT event_id, CASE WHEN event_type IN ('error', 'signup') THEN 0.0 ELSE value END AS v,
+                  CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE value END AS value FROM events),
+     s AS (SELECT AVG(v) AS mu, STDDEV_POP(v) AS sd FROM e)
+SELECT event_id, value, {r6('(v - mu) / sd')} AS z_score FROM e, s WHERE ABS((v - mu) / sd) >= 1.75""")
+def zscore_with_gaps(spark, sf):
+    out = S.zscore_rows(_spread(spark, sf)[1], "value", ["event_id"])
+    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+@register("distribution_with_gaps", f"""
+WITH e AS (SELECT CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS v FROM events)
+SELECT COUNT(v) AS n, MIN(v) AS min_value, MAX(v) AS max_value, {r6('AVG(v)')} AS mean_value,
+       {r6('STDDEV_POP(v)')} AS stddev_value, {r6('QUANTILE_CONT(v, 0.25)')} AS p25,
+       {r6('QUANTILE_CONT(v, 0.5)')} AS median, {r6('QUANTILE_CONT(v, 0.75)')} AS p75 FROM e""")
+def distribution_with_gaps(spark, sf):
+    return R.distribution(_spread(spark, sf)[1], "value")
+
+
+@register("insights_segmentation", f"""
+WITH t AS ({PER_CUSTOMER_SQL}), top AS (SELECT * FROM t ORDER BY o_custkey DESC LIMIT 1),
+     s AS (SELECT AVG(CAST(o_custkey AS DOUBLE)) AS mu, STDDEV_POP(CAST(o_custkey AS DOUBLE)) AS sd, COUNT(*) AS n FROM t),
+     z AS (SELECT total_spend, o_custkey, (CAST(o_custkey AS DOUBLE) - mu) / sd AS z, n, sd FROM t, s),
+     b AS (SELECT * FROM z ORDER BY ABS(z) DESC, o_custkey LIMIT 1)
+SELECT 1 AS position, 'primary' AS kind, 'The strongest result is `' || CAST(total_spend AS VARCHAR)
+       || '` with `o_custkey` = `' || {txt2('o_custkey')} || '`.' AS message FROM top
+UNION ALL
+SELECT 2, 'anomaly', 'Potential anomaly detected: `' || CAST(total_spend AS VARCHAR)
+       || '` deviates sharply on `o_custkey` with a z-score of `' || {txt2('z')} || '`.'
+FROM b WHERE n >= 5 AND sd <> 0 AND ABS(z) >= 1.75
+UNION ALL
+SELECT 4, 'cluster', '{fixed.CLUSTER_MESSAGE}' FROM t HAVING COUNT(*) >= 12""")
+def insights_segmentation(spark, sf):
+    return I.insights(_per_customer(spark, sf), intent="segmentation", order_col="o_custkey")
+
+
+@register("insights_empty", f"""
+SELECT 1 AS position, 'empty' AS kind, '{fixed.EMPTY_MESSAGE}' AS message
+FROM (SELECT COUNT(*) AS n FROM orders WHERE o_totalprice < 0) WHERE n = 0""")
+def insights_empty(spark, sf):
+    none = Warehouse(spark, sf).orders.where("o_totalprice < 0")
+    return I.insights(R.monthly_trend(none, "o_orderdate", "o_totalprice", as_money=True), "trend", "month")
+
+
 @register("moving_average_3m", f"""
 WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS month,
                   CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS idx,
@@ -154,6 +208,11 @@ def capped_result(spark, sf):
     return L.capped(Warehouse(spark, sf).orders.orderBy("o_orderkey"), 10000)
 
 
+@register("preview_result", f"SELECT * FROM ({PER_CUSTOMER_SQL}) ORDER BY o_custkey LIMIT {fixed.PREVIEW_ROWS}")
+def preview_result(spark, sf):
+    return L.preview_rows(_per_customer(spark, sf).orderBy("o_custkey"))
+
+
 # ---------------------------------------------------------------- charts
 
 @register("chart_points_bar", f"""
@@ -198,6 +257,25 @@ SELECT 'bar' AS chart_type, 'p_brand' AS x_field, 'total_revenue' AS y_field, p_
 FROM (SELECT p_brand, {money_sum_sql('p_retailprice')} AS total_revenue FROM part GROUP BY p_brand
       ORDER BY total_revenue DESC, p_brand LIMIT 20)""")
 def chart_bar_points(spark, sf):
-    by_brand = R.top_n(Warehouse(spark, sf).part, "p_brand", "p_retailprice", 1_000_000)
-    return C.chart_points(by_brand, hint="bar", sample=20,
+    by_brand = R.top_n(Warehouse(spark, sf).part, "p_brand", "p_retailprice", None, as_money=True)
+    return C.chart_points(by_brand, hint="bar", sample=fixed.CHART_SAMPLE_ROWS,
                           order=[F.col("total_revenue").desc(), F.col("p_brand")])
+
+
+@register("chart_table", """
+SELECT 'table' AS chart_type, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def chart_table(spark, sf):
+    wh = Warehouse(spark, sf)
+    named = wh.nation.join(wh.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return C.chart_points(named.select("n_name", "r_name"))
+
+
+@register("chart_month_names", f"""
+SELECT 'line' AS chart_type, 'month_name' AS x_field, 'revenue' AS y_field, strftime(o_orderdate, '%B') AS x,
+       {r6('SUM(o_totalprice) / 1000')} AS y FROM orders GROUP BY 4""")
+def chart_month_names(spark, sf):
+    """Month names are no dates: a line over them keeps its rows."""
+    o = Warehouse(spark, sf).orders
+    by_name = o.groupBy(F.date_format("o_orderdate", "MMMM").alias("month_name")).agg(
+        (F.sum("o_totalprice") / 1000).alias("revenue"))
+    return C.chart_points(by_name)

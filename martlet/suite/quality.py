@@ -92,6 +92,29 @@ def src_csv_roundtrip(spark, sf):
     return CL.infer_column_types(df)
 
 
+QUOTED_SQL = """SELECT doc_id, lang, '"' || source || '", ' || substr(text, 1, 200) || chr(10) || '"' || lang || '"; end' AS note
+FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'"""
+
+
+@register("src_csv_quoted", QUOTED_SQL)
+def src_csv_quoted(spark, sf):
+    """Text with quotes, commas and newlines, written and read back equal."""
+    d = Warehouse(spark, sf).documents.where(~F.contains("text", F.lit("\r")))
+    note = F.concat(F.lit('"'), "source", F.lit('", '), F.substring("text", 1, 200), F.lit('\n"'), "lang", F.lit('"; end'))
+    path = scratch_path(spark, "quoted")
+    SNK.export_csv(d.select("doc_id", "lang", note.alias("note")), path)
+    df, _, _ = SRC.read_delimited(spark, path)
+    return df.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+@register("src_split_csv", """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+def src_split_csv(spark, sf):
+    path = scratch_path(spark, "split")
+    SNK.export_csv(Warehouse(spark, sf).customer, path)
+    return SRC.read_split(spark, path)
+
+
 @register("src_parquet_scan", """
 SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01'""")
 def src_parquet_scan(spark, sf):
@@ -157,7 +180,7 @@ UNION ALL SELECT 'insight_' || CAST(s.k AS VARCHAR), COALESCE(i.message, '') FRO
 
 @register("export_summary_rows", _export_summary_sql()[1])
 def export_summary_rows(spark, sf):
-    monthly = R.monthly_trend(Warehouse(spark, sf).orders, "o_orderdate", "o_totalprice")
+    monthly = R.monthly_trend(Warehouse(spark, sf).orders, "o_orderdate", "o_totalprice", as_money=True)
     return SNK.export_summary(I.insights(monthly, "trend", "month"), _export_summary_sql()[0])
 
 
@@ -198,6 +221,20 @@ def session_log_append(spark, sf):
                       *[c for c in log.columns if c not in ("session_id", "created_at")])
 
 
+@register("recent_sessions", """
+SELECT CAST(event_id AS VARCHAR) AS session_id, ts AS created_at, 'Show the monthly ' || event_type || ' trend' AS question,
+       CAST(trunc(value) AS INTEGER) AS row_count,
+       CASE WHEN event_type IN ('view', 'click') THEN 'line' WHEN event_type = 'purchase' THEN 'bar' ELSE 'table' END
+         AS chart_type, CAST(NULL AS VARCHAR) AS csv_path, CAST(NULL AS VARCHAR) AS xlsx_path,
+       CAST(NULL AS VARCHAR) AS pdf_path
+FROM events ORDER BY ts DESC, session_id LIMIT 10""")
+def recent_sessions(spark, sf):
+    path = scratch_path(spark, "sessions")
+    SNK.append_sessions(_session_batch(Warehouse(spark, sf)), path)
+    return (SNK.recent_sessions(spark.read.parquet(path))
+            .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
+
+
 @register("session_stats", """
 SELECT CASE WHEN event_type IN ('view', 'click') THEN 'line' WHEN event_type = 'purchase' THEN 'bar' ELSE 'table' END
          AS chart_type, COUNT(*) AS sessions, CAST(SUM(CAST(trunc(value) AS INTEGER)) AS BIGINT) AS total_rows,
@@ -252,9 +289,9 @@ def clean_drop_empty_rows(spark, sf):
     return CL.drop_empty_rows(_messy_named(spark, sf))
 
 
-@register("clean_drop_duplicates", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+@register("clean_drop_duplicates", f"WITH {MESSY_SQL} SELECT DISTINCT {_named('', CLEAN_NAMES)} FROM messy")
 def clean_drop_duplicates(spark, sf):
-    return CL.drop_exact_duplicates(Warehouse(spark, sf).orders.select("o_orderstatus", "o_orderpriority"))
+    return CL.drop_exact_duplicates(_messy_named(spark, sf))
 
 
 @register("clean_drop_all_null_columns", f"""WITH {MESSY_SQL}
@@ -322,6 +359,37 @@ def coerce_dates(spark, sf):
     return coerced
 
 
+# One spelling of the same moment per priority, each read as a zone-less timestamp.
+MORE_DATES = [("1-URGENT", "yyyyMMdd", "%Y%m%d"), ("2-HIGH", "M.d.yyyy", "%-m.%-d.%Y"),
+              ("3-MEDIUM", "MMMM d yyyy", "%B %-d %Y"), ("4-NOT SPECIFIED", "yyyy M d", "%Y %-m %-d"),
+              ("5-LOW", "M/d/yyyy", "%-m/%-d/%Y")]
+
+
+@register("coerce_more_dates", """
+SELECT o_orderkey, o_orderdate + INTERVAL 14 HOUR + INTERVAL 5 MINUTE AS order_date FROM orders""")
+def coerce_more_dates(spark, sf):
+    """Further date spellings with 12-hour times."""
+    o = Warehouse(spark, sf).orders
+    text = F.lit(None).cast("string")
+    for pri, fmt, _ in MORE_DATES:
+        text = F.when(F.col("o_orderpriority") == pri, F.date_format("o_orderdate", fmt)).otherwise(text)
+    coerced, _ = CL.coerce_types(o.select("o_orderkey", F.concat(text, F.lit(" 2:05 PM")).alias("order_date")))
+    return coerced
+
+
+@register("infer_wide_integers", """
+SELECT o_orderkey, '99999' || lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS account, o_custkey AS padded,
+       CAST(o_totalprice AS DOUBLE) AS price FROM orders""")
+def infer_wide_integers(spark, sf):
+    """Integers beyond 64 bits stay text; blanks around numbers don't count."""
+    o = Warehouse(spark, sf).orders
+    return CL.infer_column_types(o.select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        F.concat(F.lit("99999"), F.lpad(F.col("o_orderkey").cast("string"), 18, "0")).alias("account"),
+        F.concat(F.lit("  "), F.col("o_custkey").cast("string"), F.lit(" ")).alias("padded"),
+        F.concat(F.lit(" "), F.format_string("%.2f", "o_totalprice")).alias("price")))
+
+
 @register("coerce_numbers", """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0.1 AND l_returnflag = 'R' THEN NULL ELSE l_quantity END AS qty
 FROM lineitem""")
@@ -444,6 +512,27 @@ def star_build_counts(spark, sf):
     return IG.star_counts(res, spark)
 
 
+@register("star_build_fact", COERCED_SQL)
+def star_build_fact(spark, sf):
+    """The written fact table's contents."""
+    res = IG.build_star(messy_orders(Warehouse(spark, sf)), "orders_upload", scratch_path(spark, "star"))
+    return spark.read.parquet(res.tables[res.blueprint.fact_table])
+
+
+@register("dim_bought_names", """
+SELECT ROW_NUMBER() OVER (ORDER BY bought) AS id, bought
+FROM (SELECT DISTINCT p_name || ' / ' || CAST(o_custkey AS VARCHAR) AS bought
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)""")
+def dim_bought_names(spark, sf):
+    """Numbering of a column with far more values than a dimension has."""
+    wh = Warehouse(spark, sf)
+    bought = (wh.lineitem.select("l_orderkey", "l_partkey")
+              .join(wh.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(wh.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+              .select(F.concat("p_name", F.lit(" / "), F.col("o_custkey").cast("string")).alias("bought")))
+    return PR.extract_dimension(bought, "bought")
+
+
 LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -477,6 +566,19 @@ def check_fk_violations(spark, sf):
     return PR.check_foreign_key(wh.lineitem, "l_orderkey", parent, "o_orderkey")
 
 
+@register("check_fk_null_keys", """
+WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN l_orderkey END AS ref FROM lineitem)
+SELECT * FROM c WHERE ref IS NOT NULL AND ref NOT IN
+  (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01')""")
+def check_fk_null_keys(spark, sf):
+    """A null key refers to nothing and is no violation."""
+    wh = Warehouse(spark, sf)
+    child = wh.lineitem.select("l_orderkey", "l_linenumber",
+                               F.when(F.col("l_returnflag") != "R", F.col("l_orderkey")).alias("ref"))
+    parent = wh.orders.filter(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    return PR.check_foreign_key(child, "ref", parent, "o_orderkey")
+
+
 def _warehouse(spark, sf):
     wh = Warehouse(spark, sf)
     return PR.warehouse_profile({t: getattr(wh, t) for t in TABLES})
@@ -530,27 +632,32 @@ def warehouse_profile(spark, sf):
 
 @register("key_candidates", f"SELECT table_name, column_name FROM ({_warehouse_sql()}) WHERE is_key_candidate")
 def key_candidates(spark, sf):
-    return _warehouse(spark, sf).filter("is_key_candidate").select("table_name", "column_name")
+    wh = Warehouse(spark, sf)
+    return PR.key_candidates({t: getattr(wh, t) for t in TABLES})
+
 
+def _rollup(kind):
+    return lambda spark, sf: PR.auto_rollup(Warehouse(spark, sf).orders, kind, as_money=True)
 
-@register("auto_rollup_orders", f"""
+
+register("auto_rollup_orders", f"""
 SELECT o_orderstatus, COUNT(*) AS orders, {money_sum_sql('o_totalprice')} AS revenue,
-       {r6(f"CAST({money_sum_sql('o_totalprice')} AS DOUBLE) / COUNT(*)")} AS avg_value
-FROM orders GROUP BY o_orderstatus""")
-def auto_rollup_orders(spark, sf):
-    o = Warehouse(spark, sf).orders
-    metric, _date, dim = PR.pick_rollup_columns(o)
-    return R.segment_breakdown(o, dim, metric)
+       {r6('AVG(CAST(o_totalprice AS DECIMAL(12,2)))')} AS avg_value
+FROM orders GROUP BY o_orderstatus""")(_rollup("segments"))
+register("auto_rollup_top", f"""
+SELECT o_orderstatus, {money_sum_sql('o_totalprice')} AS total_revenue FROM orders GROUP BY o_orderstatus""")(_rollup("top"))
+register("auto_rollup_trend", MONTHLY_SQL)(_rollup("trend"))
+register("auto_rollup_count", """
+SELECT o_orderstatus, COUNT(*) AS return_count FROM orders GROUP BY o_orderstatus""")(_rollup("count"))
+register("auto_rollup_generic", f"""
+SELECT o_orderstatus, {money_sum_sql('o_totalprice')} AS total, COUNT(*) AS records
+FROM orders GROUP BY o_orderstatus""")(_rollup("generic"))
 
 
 @register("auto_compare_orders", f"""
-SELECT o_orderstatus, {money_sum_sql('o_totalprice')} AS total, COUNT(*) AS records
-FROM orders GROUP BY o_orderstatus""")
+SELECT 'o_orderstatus' AS dimension, o_orderstatus AS value, {money_sum_sql('o_totalprice')} AS total,
+       COUNT(*) AS records FROM orders GROUP BY o_orderstatus
+UNION ALL
+SELECT 'o_orderpriority', o_orderpriority, {money_sum_sql('o_totalprice')}, COUNT(*) FROM orders GROUP BY o_orderpriority""")
 def auto_compare_orders(spark, sf):
-    o = Warehouse(spark, sf).orders
-    roles = PR.classify_roles(PR.profile_columns(o)).select("position", "name", "role").collect()
-    roles = sorted(roles, key=lambda r: r["position"])
-    measures = [r["name"] for r in roles if r["role"] == "measure"]
-    dims = [r["name"] for r in roles if r["role"] == "dimension"]
-    metric, dim1 = PR.best_metric(measures), PR.best_dimension(dims)
-    return R.generic_rollup(o, dim1, metric)
+    return PR.auto_compare(Warehouse(spark, sf).orders, as_money=True)

@@ -29,14 +29,14 @@ def money_sum_sql(x: str) -> str:
 SELECT p_brand, {money_sum_sql('p_retailprice')} AS total_revenue
 FROM part GROUP BY p_brand ORDER BY total_revenue DESC, p_brand LIMIT 10""")
 def top_n_parts(spark, sf):
-    return R.top_n(Warehouse(spark, sf).part, "p_brand", "p_retailprice", 10)
+    return R.top_n(Warehouse(spark, sf).part, "p_brand", "p_retailprice", 10, as_money=True)
 
 
 @register("monthly_trend", f"""
 SELECT strftime(o_orderdate, '%Y-%m') AS month, {money_sum_sql('o_totalprice')} AS total_revenue
 FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 1""")
 def monthly_trend(spark, sf):
-    return R.monthly_trend(Warehouse(spark, sf).orders, "o_orderdate", "o_totalprice")
+    return R.monthly_trend(Warehouse(spark, sf).orders, "o_orderdate", "o_totalprice", as_money=True)
 
 
 @register("count_by_returnflag", """
@@ -48,17 +48,72 @@ def count_by_returnflag(spark, sf):
 
 @register("segment_breakdown", f"""
 SELECT o_orderstatus, COUNT(*) AS orders, {money_sum_sql('o_totalprice')} AS revenue,
-       {r6(f"CAST({money_sum_sql('o_totalprice')} AS DOUBLE) / COUNT(*)")} AS avg_value
+       {r6("AVG(CAST(o_totalprice AS DECIMAL(12,2)))")} AS avg_value
 FROM orders GROUP BY o_orderstatus""")
 def segment_breakdown(spark, sf):
-    return R.segment_breakdown(Warehouse(spark, sf).orders, "o_orderstatus", "o_totalprice")
+    return R.segment_breakdown(Warehouse(spark, sf).orders, "o_orderstatus", "o_totalprice", as_money=True)
 
 
 @register("generic_rollup", f"""
 SELECT l_linestatus, {money_sum_sql('l_extendedprice')} AS total, COUNT(*) AS records
 FROM lineitem GROUP BY l_linestatus""")
 def generic_rollup(spark, sf):
-    return R.generic_rollup(Warehouse(spark, sf).lineitem, "l_linestatus", "l_extendedprice")
+    return R.generic_rollup(Warehouse(spark, sf).lineitem, "l_linestatus", "l_extendedprice", as_money=True)
+
+
+# Rates with many decimals and gaps: sums and averages follow the column's type
+# and skip what is missing (a NaN counts as missing).
+RATES_SQL = """SELECT l_returnflag, l_shipdate, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount / 7 END AS rate
+FROM lineitem"""
+
+
+def _rates(spark, sf):
+    li = Warehouse(spark, sf).lineitem
+    gap = F.when(F.col("l_orderkey") % 2 == 0, F.lit(None).cast("double")).otherwise(F.lit(float("nan")))
+    return li.select("l_returnflag", "l_shipdate",
+                     F.when(F.col("l_linenumber") == 1, gap).otherwise(F.col("l_discount") / 7).alias("rate"))
+
+
+@register("rates_top", f"""
+SELECT l_returnflag, {r6('SUM(rate)')} AS total_revenue FROM ({RATES_SQL}) GROUP BY l_returnflag""")
+def rates_top(spark, sf):
+    return R.top_n(_rates(spark, sf), "l_returnflag", "rate", None)
+
+
+@register("rates_trend", f"""
+SELECT strftime(l_shipdate, '%Y-%m') AS month, {r6('SUM(rate)')} AS total_revenue FROM ({RATES_SQL}) GROUP BY 1""")
+def rates_trend(spark, sf):
+    return R.monthly_trend(_rates(spark, sf), "l_shipdate", "rate")
+
+
+@register("rates_breakdown", f"""
+SELECT l_returnflag, COUNT(*) AS orders, {r6('SUM(rate)')} AS revenue, {r6('AVG(rate)')} AS avg_value
+FROM ({RATES_SQL}) GROUP BY l_returnflag""")
+def rates_breakdown(spark, sf):
+    return R.segment_breakdown(_rates(spark, sf), "l_returnflag", "rate")
+
+
+@register("rates_average", f"""
+SELECT l_returnflag, {r6('AVG(rate)')} AS avg_value FROM ({RATES_SQL}) GROUP BY l_returnflag""")
+def rates_average(spark, sf):
+    return R.avg_by(_rates(spark, sf), "l_returnflag", "rate")
+
+
+@register("counts_rollup", """
+SELECT p_type, CAST(SUM(p_size) AS BIGINT) AS total, COUNT(*) AS records FROM part GROUP BY p_type""")
+def counts_rollup(spark, sf):
+    return R.generic_rollup(Warehouse(spark, sf).part, "p_type", "p_size")
+
+
+@register("segment_aov_gaps", f"""
+WITH o AS (SELECT o_custkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice END AS price FROM orders)
+SELECT c_mktsegment, COUNT(*) AS orders, {money_sum_sql('price')} AS revenue,
+       {r6('AVG(CAST(price AS DECIMAL(12,2)))')} AS avg_order_value
+FROM o JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
+def segment_aov_gaps(spark, sf):
+    wh = Warehouse(spark, sf)
+    priced = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice"))
+    return S.aov_by_segment(wh.orders.withColumn("o_totalprice", priced), wh.customer)
 
 
 @register("top_orders_by_value", """
@@ -78,7 +133,7 @@ def monthly_count(spark, sf):
 SELECT o_orderpriority, {r6(f"CAST({money_sum_sql('o_totalprice')} AS DOUBLE) / COUNT(o_totalprice)")} AS avg_value
 FROM orders GROUP BY o_orderpriority""")
 def avg_by_priority(spark, sf):
-    return R.avg_by(Warehouse(spark, sf).orders, "o_orderpriority", "o_totalprice")
+    return R.avg_by(Warehouse(spark, sf).orders, "o_orderpriority", "o_totalprice", as_money=True)
 
 
 @register("value_distribution", f"""
@@ -111,7 +166,7 @@ FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMEST
 GROUP BY 1""")
 def trend_one_year(spark, sf):
     o = Warehouse(spark, sf).orders
-    return R.monthly_trend(R.in_year(o, "o_orderdate", 1998), "o_orderdate", "o_totalprice")
+    return R.monthly_trend(R.in_year(o, "o_orderdate", 1998), "o_orderdate", "o_totalprice", as_money=True)
 
 
 @register("top_parts_last_month", f"""
@@ -194,7 +249,7 @@ def q_order_value_outliers(spark, sf):
 
 _SEG_SQL = f"""
 SELECT c_mktsegment, COUNT(*) AS orders, {money_sum_sql('o_totalprice')} AS revenue,
-       {r6(f"CAST({money_sum_sql('o_totalprice')} AS DOUBLE) / COUNT(*)")} AS avg_order_value
+       {r6(f"CAST({money_sum_sql('o_totalprice')} AS DOUBLE) / COUNT(o_totalprice)")} AS avg_order_value
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
 
 

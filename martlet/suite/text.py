@@ -254,7 +254,7 @@ SELECT CAST((SELECT COUNT(*) FROM a) AS BIGINT) AS rows_a, CAST((SELECT COUNT(*)
        AND (SELECT COUNT(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) = 0 AS same""")
 def result_match(spark, sf):
     wh = Warehouse(spark, sf)
-    a = R.monthly_trend(wh.orders, "o_orderdate", "o_totalprice")
+    a = R.monthly_trend(wh.orders, "o_orderdate", "o_totalprice", as_money=True)
     wh.register_views()
     b = spark.sql("""SELECT date_format(o_orderdate, 'yyyy-MM') AS month,
                             CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS total_revenue
