@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -17,10 +18,18 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
 
+#: Rows that go to a Python worker at once; texts can be long.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: once per
-    application its source files go to the executors through Spark."""
+    application its source files go to the executors through Spark. Where the
+    session has Spark's default number of rows per Arrow batch, a smaller one
+    is set, which bounds the workers' memory on long texts."""
+    name, default, smaller = ARROW_ROWS
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, smaller)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -54,7 +63,7 @@ def repeatable(docs: DataFrame) -> DataFrame:
     without a shuffle below it); otherwise a written copy. Operators that read
     their input twice and must see the same partitions use this."""
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    return materialise(docs, "input") if "Exchange" in plan else docs
+    return materialise(docs, "input") if re.search(r"(?<!Broadcast)Exchange", plan) else docs
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:

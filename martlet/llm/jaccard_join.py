@@ -65,7 +65,7 @@ PIVOTS = 8
 BLOCK = 192
 SKETCH = 64
 SKETCH_MARGIN = 0.16
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 

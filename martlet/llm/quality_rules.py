@@ -47,7 +47,7 @@ LEAST_DOCS = 200
 LEAST_SPREAD = {"symbols": 60, "dup_lines": 200, "repeats": 200, "shouting": 150}
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _COUNT_SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                  "n_repeat_words long, n_lines long, n_upper long, n_letters long")

@@ -34,7 +34,7 @@ from martlet.llm import pretokens, textkit
 from martlet.llm.common import repeatable, shard_count, text_bytes
 
 CHUNK_CHARS = 16 << 20
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 512 << 10
 SHARD_BYTES = 24 << 20
 
 _DICT_SCHEMA = "shard int, chunk long, places binary, lengths binary, words binary"
