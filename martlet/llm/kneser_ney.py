@@ -53,7 +53,7 @@ PRIOR_CHARS = 150
 QUANTILE = 0.99
 MARGIN = 0.05
 LEAST_TRUSTED = 50
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 512 << 10
 
 
 def gram_keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +165,8 @@ def score(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER,
     """``keep`` columns, ``trusted``, ``n_chars``, ``log_prob`` and
     ``perplexity`` of each document. ``trusted_ids(doc_id)``: the documents
     that train the model."""
-    ids = broadcast_if_bounded(trusted_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct())
+    ids = trusted_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    ids = broadcast_if_bounded(materialise(ids, "trusted"))
     marked = docs.select(*keep, F.col("doc_id").alias("_doc"), F.col(text_col).alias("_text"))
     marked = marked.join(ids, F.col("_doc") == F.col("_id"), "left").select(
         *keep, F.col("_id").isNotNull().cast("int").alias("trusted"), "_text")
@@ -239,4 +240,5 @@ def kept_documents(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFr
     """The documents that ``judge`` keeps, with their own columns. Rejected ids
     are joined away, so rows with a null id, which can't be joined, stay."""
     gone = judge(docs, trusted_ids, **options).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    gone = broadcast_if_bounded(materialise(gone, "gone"))  # else the texts would move
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -221,6 +221,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that ``judge`` keeps, with their own columns, by a joined
     filter on the rejected ids; rows with a null id can't be joined and stay."""
     gone = judge(docs, **options).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    gone = broadcast_if_bounded(materialise(gone, "gone"))  # else the texts would move
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
