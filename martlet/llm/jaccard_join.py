@@ -8,10 +8,11 @@ Candidates (chosen-path join). In each of several independent runs every set
 picks, level by level, each of its shingles with probability
 ``1 / (SIMILARITY * size)``; sets that picked the same shingle share a node,
 and a node is split again by the next level's picks until it holds at most
-``BUCKET`` sets. Two similar sets share at least one picked shingle per level
-on average, so the chance to meet at depth d falls only like 1 / d; the number
-of runs follows from that chance at the last level and the wanted recall
-(``runs_for``). Small nodes are compared pair by pair. A large node is first
+``BUCKET`` sets. A pick depends on the whole path to its node, so every node
+draws anew. Two similar sets share at least one picked shingle per node on
+average, so the chance to meet at depth d falls only like 1 / d; the number of
+runs follows from that chance at the last level, the sketches' own loss and
+the wanted recall (``runs_for``). Small nodes are compared pair by pair. A large node is first
 compared with a few of its sets (``PIVOTS``): if at least half of it is
 similar to the largest group of similar pivots, the node is dense (near
 copies), splitting it would not help, and all of it becomes one candidate
@@ -66,17 +67,30 @@ BLOCK = 192
 SKETCH = 64
 SKETCH_MARGIN = 0.16
 BATCH_BYTES = 512 << 10
+DRAWS = 256 << 10
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def runs_for(recall: float = RECALL, levels: int = LEVELS) -> int:
-    """Runs so that a pair at the similarity meets with probability ``recall``
-    although it may have to meet on every level: at one level the number of
-    common picks is about Poisson with mean at least one."""
+def sketch_loss(similarity: Fraction = SIMILARITY) -> float:
+    """Chance that the sketches of a pair at the similarity agree in too few
+    positions: equal minima, or different ones with equal bytes."""
+    agree = float(similarity) + (1 - float(similarity)) / 256
+    least = math.ceil((float(similarity) - SKETCH_MARGIN) * SKETCH)
+    return sum(math.comb(SKETCH, i) * agree ** i * (1 - agree) ** (SKETCH - i) for i in range(least))
+
+
+def runs_for(recall: float = RECALL, levels: int = LEVELS, similarity: Fraction = SIMILARITY) -> int:
+    """Runs so that a pair at the similarity meets and its sketches agree with
+    probability ``recall`` although it may have to meet on every level: each
+    shared node has about a Poisson number of common picks with mean at least
+    one, drawn independently of other nodes."""
     p = 1.0
     for _ in range(levels):
         p = 1 - math.exp(-p)
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+    missed = 1 - recall / (1 - sketch_loss(similarity))
+    if missed <= 0:
+        raise ValueError(f"sketches of {SKETCH} bytes can't give a recall of {recall}")
+    return math.ceil(math.log(missed) / math.log(1 - p))
 
 
 def text_key(text: Column) -> Column:
@@ -110,16 +124,35 @@ def _multipliers(n: int, salt: int) -> np.ndarray:
     return textkit.mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) | np.uint64(1)
 
 
+def _draw(h: np.ndarray, before: np.ndarray, bound: np.ndarray, owner: np.ndarray,
+          node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What sets pick at their nodes: for each pick the place in ``owner, node``
+    and that of the shingle in ``h``, in order. ``before`` and ``bound`` are by set."""
+    sizes, by = np.diff(before)[owner], textkit.mix64(node) | np.uint64(1)
+    ends = np.cumsum(sizes)
+    found, i = [(np.zeros(0, np.int64),) * 2], 0
+    while i < len(owner):
+        base = ends[i] - sizes[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + DRAWS, side="right")))
+        n, upto, own = sizes[i:j], ends[i:j] - base, owner[i:j]
+        at = np.arange(upto[-1]) + np.repeat(before[own] - (upto - n), n)
+        hit = np.flatnonzero(h[at] * np.repeat(by[i:j], n) < np.repeat(bound[own], n))
+        found.append((i + np.searchsorted(upto, hit, side="right"), at[hit]))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def features(docs: DataFrame, runs: int, levels: int = LEVELS, similarity: Fraction = SIMILARITY,
              shingle: int = SHINGLE) -> DataFrame:
     """One row per distinct text with a word: ``k, size, sketch`` and for each
-    level the picks as parallel arrays ``runs<l>, picks<l>``."""
+    level the nodes of its picks ``nodes<l>``; ``from<l>`` beside them is the
+    place in ``nodes<l-1>`` of the node that a pick splits."""
     rows = docs.select(text_key(F.col("text")).alias("k"), F.col("text")).where(F.col("text").rlike(_HAS_WORD))
-    names = [f"{n}{level}" for level in range(1, levels + 1) for n in ("runs", "picks")]
+    names = ["nodes1", *[f"{n}{level}" for level in range(2, levels + 1) for n in ("from", "nodes")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies inside one task are one row
-        pick_by, sketch_by = _multipliers(runs * levels, 11), _multipliers(SKETCH, 23)
+        roots, sketch_by = _multipliers(runs, 11), _multipliers(SKETCH, 23)
         for b in batches:
             keys = b.column(0).to_pylist()
             fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
@@ -127,29 +160,28 @@ def features(docs: DataFrame, runs: int, levels: int = LEVELS, similarity: Fract
             for first, data, off in textkit.utf8_batches(texts, BATCH_BYTES):
                 h, before = shingle_sets(data, off, shingle)
                 sizes = np.diff(before)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                bound = np.minimum(2.0 ** 64 / (float(similarity) * sizes), float(2 ** 64 - 2048)).astype(np.uint64)[owner]
+                bound = np.minimum(2.0 ** 64 / (float(similarity) * sizes), float(2 ** 64 - 2048)).astype(np.uint64)
                 out: list[pa.Array] = [pa.array(keys[first:first + len(sizes)], pa.int64()), pa.array(sizes, pa.int32())]
                 sketch = np.stack([np.minimum.reduceat((h ^ (m >> np.uint64(7))) * m >> np.uint64(32), before[:-1])
                                    for m in sketch_by], axis=1).astype(np.uint8)
                 out.append(pa.array([s.tobytes() for s in sketch], pa.binary()))
+                owner, node = np.repeat(np.arange(len(sizes)), runs), np.tile(roots, len(sizes))
                 for level in range(levels):
-                    hit = [np.flatnonzero(h * pick_by[level * runs + r] < bound) for r in range(runs)]
-                    which = np.concatenate(hit)
-                    run_of = np.repeat(np.arange(runs, dtype=np.int8), [len(x) for x in hit])
-                    order = np.argsort(owner[which], kind="stable")
-                    which, run_of = which[order], run_of[order]
-                    cuts = pa.array(np.searchsorted(owner[which], np.arange(len(sizes) + 1)), pa.int32())
-                    out.append(pa.ListArray.from_arrays(cuts, pa.array(run_of)))
-                    out.append(pa.ListArray.from_arrays(cuts, pa.array(h[which].view(np.int64))))
+                    path, at = _draw(h, before, bound, owner, node)
+                    place = path - np.searchsorted(owner, owner[path])
+                    owner, node = owner[path], textkit.mix64(node[path] * np.uint64(0x9E3779B97F4A7C15) + h[at])
+                    cuts = pa.array(np.searchsorted(owner, np.arange(len(sizes) + 1)), pa.int32())
+                    if level:
+                        out.append(pa.ListArray.from_arrays(cuts, pa.array(place, pa.int32())))
+                    out.append(pa.ListArray.from_arrays(cuts, pa.array(node.view(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=["k", "size", "sketch", *names])
 
-    picks = ", ".join(f"runs{x} array<tinyint>, picks{x} array<bigint>" for x in range(1, levels + 1))
+    picks = ", ".join(f"{n} array<{'int' if n.startswith('from') else 'bigint'}>" for n in names)
     return rows.mapInArrow(run, f"k long, size int, sketch binary, {picks}").dropDuplicates(["k"])
 
 
 def _nodes(rows: DataFrame, label: str) -> DataFrame:
-    """``run, node, k, n`` of the nodes with company; counts combine on the map
+    """``node, at, k, n`` of the nodes with company; counts combine on the map
     side, and a node with very many sets is a skewed join that Spark splits."""
     counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return materialise(rows.join(counts, "node"), label)
@@ -182,8 +214,8 @@ def _by_node(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[dict]]]:
 
 def _settle(large: DataFrame, sets: DataFrame, similarity: Fraction) -> tuple[DataFrame, DataFrame]:
     """Compare large nodes with pivots: ``a, b`` edges of the dense nodes, one
-    per member, and the rows ``node, run, n, k`` of the other nodes."""
-    columns = ["node", "run", "n", "k", "size", "sketch"]
+    per member, and the rows ``node, at, n, k`` of the other nodes."""
+    columns = ["node", "at", "n", "k", "size", "sketch"]
     members = materialise(large.join(sets.select("k", "size", "sketch"), "k").select(columns), "large")
 
     def with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,29 +232,27 @@ def _settle(large: DataFrame, sets: DataFrame, similarity: Fraction) -> tuple[Da
                 centre[rows] = pk[main]
                 near[rows] = _matches(sketch[rows], size[rows], pv[own], ps[own], similarity).any(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in ("node", "run", "n", "k")], pa.array(centre), pa.array(near)],
-                names=["node", "run", "n", "k", "centre", "near"])
+                [*[b.column(c) for c in ("node", "at", "n", "k")], pa.array(centre), pa.array(near)],
+                names=["node", "at", "n", "k", "centre", "near"])
 
     turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "k"), "k"))
     pivots = (members.withColumn("turn", turn).where(F.col("turn") <= PIVOTS).groupBy("node")
               .agg(F.array_sort(F.collect_list(F.struct("k", "size", "sketch"))).alias("others")))
     beside = members.join(broadcast_if_bounded(materialise(pivots, "pivots")), "node").select(*columns, "others")
     compared = materialise(beside.mapInArrow(
-        with_pivots, "node long, run tinyint, n long, k long, centre long, near boolean"), "compared")
+        with_pivots, "node long, at int, n long, k long, centre long, near boolean"), "compared")
     dense = compared.groupBy("node").agg(F.count_if("near").alias("near"), F.count(F.lit(1)).alias("all"))
     dense = materialise(dense.where(2 * F.col("near") >= F.col("all")).select("node"), "dense")
     edges = (compared.join(dense, "node", "left_semi").where("centre <> k")
              .select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct())
-    return materialise(edges, "edges"), compared.join(dense, "node", "left_anti").select("node", "run", "n", "k")
+    return materialise(edges, "edges"), compared.join(dense, "node", "left_anti").select("node", "at", "n", "k")
 
 
 def chosen_paths(sets: DataFrame, levels: int = LEVELS,
                  similarity: Fraction = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``node, k`` of the nodes that are small enough, ``a, b`` edges of the
     dense nodes, and ``node, k, n`` of those that the last level leaves large."""
-    picked = F.explode(F.arrays_zip(F.col("runs1").alias("run"), F.col("picks1").alias("pick"))).alias("p")
-    rows = sets.select("k", picked).select(
-        "k", F.col("p.run").alias("run"), F.xxhash64(F.col("p.run"), F.col("p.pick")).alias("node"))
+    rows = sets.select("k", F.posexplode("nodes1").alias("at", "node"))
     small = settled = None
     for level in range(1, levels + 1):
         nodes = _nodes(rows, f"paths{level}")
@@ -232,11 +262,11 @@ def chosen_paths(sets: DataFrame, levels: int = LEVELS,
         settled = edges if settled is None else settled.unionByName(edges)
         if level == levels:
             break
-        own = sets.select("k", F.arrays_zip(F.col(f"runs{level + 1}").alias("run"),
-                                            F.col(f"picks{level + 1}").alias("pick")).alias("own"))
-        rows = (large.join(own, "k")
-                .select("k", "run", "node", F.explode(F.filter("own", lambda x: x["run"] == F.col("run"))).alias("p"))
-                .select("k", "run", F.xxhash64("node", F.col("p.pick")).alias("node")))
+        below, splits = F.col(f"nodes{level + 1}"), F.col(f"from{level + 1}")
+        own = F.transform(below, lambda x, i: F.struct(F.get(splits, i).alias("from"), i.alias("at"), x.alias("node")))
+        rows = (large.join(sets.select("k", own.alias("own")), "k")
+                .select("k", F.explode(F.filter("own", lambda x: x["from"] == F.col("at"))).alias("p"))
+                .select("k", "p.at", "p.node"))
     return small, settled, large.select("node", "k", "n")
 
 
@@ -432,7 +462,7 @@ def join(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = SHIN
          levels: int = LEVELS) -> DataFrame:
     """``doc_id, k, class_id, n_links`` of every row of ``docs``; ``k`` is the
     hash of its text."""
-    sets = materialise(features(docs, runs_for(recall, levels), levels, similarity, shingle), "sets")
+    sets = materialise(features(docs, runs_for(recall, levels, similarity), levels, similarity, shingle), "sets")
     small, settled, large = chosen_paths(sets, levels, similarity)
     cells = small.withColumn("cell", F.col("node")).withColumn("side", F.lit(0).cast("byte")).select("cell", "side", "k")
     cells = cells.unionByName(_cells(large, "node", F.col("n"), "k").select("cell", "side", "k"))

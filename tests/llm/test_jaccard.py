@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import odd_rows
 from conftest_paths import SF
@@ -102,3 +103,27 @@ def test_odd_rows(spark):
 
 def test_runs_follow_the_recall():
     assert jaccard_join.runs_for(0.9, 1) < jaccard_join.runs_for(0.999, 1) < jaccard_join.runs_for(0.999, 4)
+
+
+def test_pairs_at_the_similarity_meet_on_the_last_level(spark, monkeypatch):
+    """No node is small or dense, as where pairs share only hot passages, so
+    each pair must share a node of the last level."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 0)
+    monkeypatch.setattr(jaccard_join, "_settle", lambda large, sets, similarity: (
+        spark.createDataFrame([], "a long, b long"), large))
+    texts = []
+    for i in range(4000):  # 16 shingles, all of them among the other's 20
+        words = [f"p{i}w{j}" for j in range(24)]
+        texts += [(2 * i, " ".join(words[:20])), (2 * i + 1, " ".join(words))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = jaccard_join.materialise(jaccard_join.features(docs, jaccard_join.runs_for()), "sets")
+    _, _, large = jaccard_join.chosen_paths(sets)
+    met = large.select("node", "k").groupBy("node").agg(F.min("k").alias("a"), F.max("k").alias("b"))
+    found = met.where("a < b").select("a", "b").distinct().count()
+    assert 4000 - found <= 4000 * (1 - jaccard_join.RECALL), f"{4000 - found} of 4000 pairs never meet"
+
+
+def test_runs_count_the_loss_of_sketches():
+    assert 0 < jaccard_join.sketch_loss() < 0.001
+    with pytest.raises(ValueError):
+        jaccard_join.runs_for(1 - jaccard_join.sketch_loss() / 2)
