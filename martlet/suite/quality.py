@@ -107,6 +107,18 @@ def src_csv_quoted(spark, sf):
     return df.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
+@register("src_csv_whole_texts", """
+SELECT doc_id, lang, '"' || source || '", ' || text || chr(10) || '"' || lang || '"; end' AS note FROM documents""")
+def src_csv_whole_texts(spark, sf):
+    """The whole text of every document, carriage returns included, between
+    quotes and commas, written and read back equal; a null note stays null."""
+    note = F.concat(F.lit('"'), "source", F.lit('", '), "text", F.lit('\n"'), "lang", F.lit('"; end'))
+    path = scratch_path(spark, "whole")
+    SNK.export_csv(Warehouse(spark, sf).documents.select("doc_id", "lang", note.alias("note")), path)
+    df, _, _ = SRC.read_delimited(spark, path)
+    return df.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 @register("src_split_csv", """
 SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def src_split_csv(spark, sf):
