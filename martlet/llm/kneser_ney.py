@@ -15,20 +15,26 @@ others share 256 classes; 1 and 2 mark a text's beginning and end.
    documents, compressed, meet them (a cogroup on the chunk): every position
    takes its value, and a document's sum gives its perplexity.
 
-A score is the mean negative log-probability per character, drawn towards the
-language's median as if the text had ``PRIOR_CHARS`` more characters of that
-median, so that a few odd words don't reject a short text. A document is
-rejected if its score is above its language's limit: the ``QUANTILE`` of the
-trusted documents' scores plus ``MARGIN`` times the median.
+Limits are taken from trusted documents that did not train the model: about
+one text in ``HELD_OUT``, chosen by its hash (copies together), stays out of
+the counts. A score is the mean negative log-probability per character, drawn
+towards the language's median as if the text had ``PRIOR_CHARS`` more
+characters of that median, so that a few odd words don't reject a short text.
+A document is rejected if its score is above its language's limit: the
+``QUANTILE`` of the held-out documents' scores plus ``MARGIN`` times the
+median. A language with fewer than ``LEAST_TRUSTED`` held-out documents has the
+median of all its own documents, trusted or not, and takes the quantile of all
+held-out documents' scores relative to their language's median: the model may
+know it badly, so its level is always its own.
 
 Scale: what is gathered (n-grams of every chunk) follows the input; an n-gram
 travels once per chunk however frequent it is. No table of the model is
 collected or broadcast; the driver sees the counts of counts (20 numbers).
 
 Defined cases: a null text counts as empty; an empty text has only the end
-mark to score; null language is a group of its own; a language with fewer
-than ``LEAST_TRUSTED`` trusted documents takes the limits of all. Without any
-trusted document every probability is uniform and all documents are kept.
+mark to score; null language is a group of its own. Without any trusted
+document every probability is uniform, and without any held-out one there is
+no limit: all documents are kept.
 Repeated rows are scored alike. An empty table gives an empty result.
 """
 
@@ -53,6 +59,7 @@ PRIOR_CHARS = 150
 QUANTILE = 0.99
 MARGIN = 0.05
 LEAST_TRUSTED = 50
+HELD_OUT = 4
 BATCH_CHARS = 512 << 10
 
 
@@ -88,11 +95,11 @@ def _text_runs(table: pa.Table) -> Iterator[tuple[int, int, list[str]]]:
 
 def list_grams(docs: DataFrame, order: int) -> DataFrame:
     """``chunk, gram, n``: the distinct n-grams of each chunk of
-    ``docs(..., trusted, text)`` and their number in its trusted documents."""
+    ``docs(..., trusted, text)`` and their number in its documents with 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunk_tables(batches):
-            trusted = table["trusted"].to_numpy().astype(bool)
+            trusted = table["trusted"].to_numpy() == 1
             keys, counts = [], []
             for i, j, texts in _text_runs(table):
                 key, before = gram_keys(texts, order)
@@ -161,15 +168,17 @@ def probabilities(types: DataFrame, order: int) -> DataFrame:
 
 
 def score(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER,
-          keep: tuple[str, ...] = ("doc_id", "lang"), text_col: str = "text") -> DataFrame:
+          keep: tuple[str, ...] = ("doc_id", "lang"), text_col: str = "text", held_out: int | None = None) -> DataFrame:
     """``keep`` columns, ``trusted``, ``n_chars``, ``log_prob`` and
     ``perplexity`` of each document. ``trusted_ids(doc_id)``: the documents
-    that train the model."""
+    that train the model; with ``held_out`` about one text in so many of them
+    has ``trusted = 2`` and doesn't train."""
     ids = trusted_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     ids = broadcast_if_bounded(materialise(ids, "trusted"))
     marked = docs.select(*keep, F.col("doc_id").alias("_doc"), F.col(text_col).alias("_text"))
-    marked = marked.join(ids, F.col("_doc") == F.col("_id"), "left").select(
-        *keep, F.col("_id").isNotNull().cast("int").alias("trusted"), "_text")
+    held = F.lit(False) if held_out is None else F.pmod(F.xxhash64(F.coalesce("_text", F.lit("")), F.lit(17)), F.lit(held_out)) == 0
+    trusted = F.when(F.col("_id").isNull(), 0).when(held, 2).otherwise(1)
+    marked = marked.join(ids, F.col("_doc") == F.col("_id"), "left").select(*keep, trusted.alias("trusted"), "_text")
     marked = repeatable(marked)
 
     grams = materialise(list_grams(marked, order), "grams")
@@ -205,35 +214,37 @@ def score(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER,
     return scored.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_chars")))
 
 
-def _limits(scored: DataFrame, measure: Column, names: dict[str, float]) -> DataFrame:
-    """Quantiles of the trusted documents per language, with those of all
-    languages beside them: one row per language of the corpus."""
-    def quantiles(prefix: str) -> list[Column]:
-        return [F.percentile_approx(F.when(F.col("trusted") == 1, measure), q, 10_000).alias(prefix + n)
-                for n, q in names.items()]
-
-    own = scored.groupBy("lang").agg(F.sum("trusted").alias("n"), *quantiles("own_"))
-    every = scored.agg(*quantiles("all_")).first()
-    pick = [F.when(F.col("n") >= LEAST_TRUSTED, F.col(f"own_{n}")).otherwise(F.lit(every[f"all_{n}"])).alias(n)
-            for n in names]
-    return own.select(F.col("lang").alias("_lang"), *pick)
-
-
 def judge(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE,
           margin: float = MARGIN, prior_chars: int = PRIOR_CHARS) -> DataFrame:
-    """Per document: ``doc_id, lang, trusted, n_chars, log_prob, perplexity,
-    score, limit, kept``."""
-    scored = materialise(score(docs, trusted_ids, order), "scored")
-    medians = broadcast_if_bounded(materialise(
-        _limits(scored, -F.col("log_prob") / F.col("n_chars"), {"median": 0.5}), "medians"))
+    """Per document: ``doc_id, lang, trusted, held_out, n_chars, log_prob,
+    perplexity, score, limit, kept``."""
+    scored = materialise(score(docs, trusted_ids, order, held_out=HELD_OUT), "scored")
+    held = F.col("trusted") == 2
+
+    def quantile_of(measure: Column, q: float) -> Column:
+        return F.percentile_approx(measure, q, 10_000)
+
+    rate = -F.col("log_prob") / F.col("n_chars")
+    medians = scored.groupBy(F.col("lang").alias("_lang")).agg(
+        F.count_if(held).alias("n_held"), quantile_of(F.when(held, rate), 0.5).alias("held_median"),
+        quantile_of(rate, 0.5).alias("any_median"))
+    enough = F.col("n_held") >= LEAST_TRUSTED
+    medians = medians.select("_lang", enough.alias("enough"),
+                             F.when(enough, F.col("held_median")).otherwise(F.col("any_median")).alias("median"))
+    medians = broadcast_if_bounded(materialise(medians, "medians"))
     rows = scored.join(medians, scored["lang"].eqNullSafe(medians["_lang"])).drop("_lang")
     rows = rows.withColumn("score", (F.lit(prior_chars) * F.col("median") - F.col("log_prob"))
                            / (F.col("n_chars") + F.lit(prior_chars)))
-    tops = broadcast_if_bounded(materialise(_limits(rows, F.col("score"), {"top": quantile}), "limits"))
+    every = rows.agg(quantile_of(F.when(held, F.try_divide("score", "median")), quantile)).first()[0]
+    tops = rows.groupBy(F.col("lang").alias("_lang")).agg(
+        quantile_of(F.when(held, F.col("score")), quantile).alias("top"))
+    tops = broadcast_if_bounded(materialise(tops, "limits"))
     rows = rows.join(tops, rows["lang"].eqNullSafe(tops["_lang"])).drop("_lang")
-    limit = F.col("top") + F.lit(margin) * F.col("median")
-    return rows.withColumn("limit", limit).withColumn(
-        "kept", F.coalesce(F.col("score") <= F.col("limit"), F.lit(True))).drop("median", "top")
+    top = F.when(F.col("enough"), F.col("top")).otherwise(F.lit(every).cast("double") * F.col("median"))
+    kept = F.coalesce(F.col("score") <= F.col("limit"), F.lit(True))
+    return rows.withColumn("limit", top + F.lit(margin) * F.col("median")).select(
+        "doc_id", "lang", F.least("trusted", F.lit(1)).alias("trusted"), held.alias("held_out"), "n_chars", "log_prob",
+        "perplexity", "score", "limit", kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:

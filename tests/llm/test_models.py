@@ -80,6 +80,27 @@ def test_quality_query_agrees_with_labels(spark):
     assert got.count() == 1000
 
 
+def test_a_rare_language_keeps_its_clean_documents(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(c) for c in rng.integers(0x430, 0x450, rng.integers(2, 9))) for _ in range(300)]
+    rare = [(-i, " ".join(rng.choice(words, 80)), lang) for i, lang in enumerate(["ru"] * 20 + [None] * 15 + ["xx"], 1)]
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", "lang").unionByName(
+        spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    labels = spark.read.parquet(f"{SF_CHECK}/labels.parquet")
+    got = kneser_ney.judge(docs, labels.where("quality = 1").select("doc_id"))
+    assert [r.doc_id for r in got.where("doc_id < 0 AND NOT kept").collect()] == []
+
+
+def test_held_out_documents_do_not_train(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trusted = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    got = kneser_ney.materialise(kneser_ney.judge(docs, trusted), "judged")
+    held = got.where("held_out").select("doc_id")
+    assert 0 < held.count() < trusted.count() and got.where("held_out AND trusted = 0").count() == 0
+    alone = {r.doc_id: r.log_prob for r in kneser_ney.score(docs, trusted.join(held, "doc_id", "left_anti")).collect()}
+    assert {r.doc_id: r.log_prob for r in got.collect()} == pytest.approx(alone)
+
+
 def test_quality_odd_rows(spark):
     docs, labels = odd_rows.documents(spark), odd_rows.labels(spark)
     trusted = labels.where("quality = 1").select("doc_id")
