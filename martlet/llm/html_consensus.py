@@ -1,16 +1,19 @@
 """Main-text extraction by consensus paths per host.
 
 1. Every page is parsed and its containers are scored: characters of ordinary
-   text inside, less characters of links and of parts that are no article
-   text (menus, headers, footers, sidebars, notices, adverts, forms,
-   comments). The page votes for the best container's path, which is its tags
-   and classes from the root, digits generalised.
+   text inside, less characters of links. Parts that are no article text
+   (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
+   dropped from the text and count nowhere. The best container is the one with
+   the best score of those that hold at least ``NEARLY_ALL`` of the page's
+   ordinary text; the page votes for its path, which is its tags and classes
+   from the root, digits generalised.
 2. Spark counts the votes per host and path; a host's winning paths are those
    with at least ``LEAST_SHARE`` of its votes.
 3. Every page is parsed again and the text is taken from the containers on its
    host's winning paths, most votes first. A page without such a container,
-   or where it holds less than ``LEAST_PART`` of the page's best score, takes
-   its own best.
+   or where it holds less than ``LEAST_PART`` of the ordinary text of the
+   page's best or ``NEARLY_ALL`` of that of the articles around it, takes its
+   own best.
 
 The text of a container is its blocks in page order without the parts named
 above; character references are decoded, white space inside a block becomes
@@ -44,6 +47,7 @@ from martlet.plans.joins import broadcast_if_bounded
 
 LEAST_SHARE = 0.10
 LEAST_PART = 0.25
+NEARLY_ALL = 0.9
 
 # HTML elements by the role they have here.
 NOT_TEXT = frozenset("script style template noscript iframe svg canvas object video audio head title".split())
@@ -80,11 +84,12 @@ class Container:
     begin: int  # of its pieces
     end: int = 0
     good: int = 0
-    bad: int = 0
+    links: int = 0
+    article: Container | None = None  # the outermost article or main around it
 
     @property
     def score(self) -> int:
-        return self.good - self.bad
+        return self.good - self.links
 
 
 @dataclass
@@ -94,7 +99,11 @@ class Page:
     containers: list[Container] = field(default_factory=list)
 
     def best(self) -> Container:
-        return max(self.containers, key=lambda c: (c.score, c.depth, -c.begin))
+        root = self.containers[0]
+        if not root.good:  # nothing but links: as much of them as there is
+            return max(self.containers, key=lambda c: (c.links, c.depth, -c.begin))
+        whole = [c for c in self.containers if c.good >= NEARLY_ALL * root.good]
+        return max(whole, key=lambda c: (c.score, c.depth, -c.begin))
 
     def text(self, containers: list[Container]) -> str:
         blocks: list[str] = []
@@ -146,7 +155,7 @@ def parse(source: str) -> Page:
                 e.container.end = len(page.pieces)
                 outer = next(x.container for x in reversed(stack) if x.container is not None)
                 outer.good += e.container.good
-                outer.bad += e.container.bad
+                outer.links += e.container.links
 
     def last(tags: set[str], stop: frozenset[str]) -> int:
         for i in range(len(stack) - 1, 0, -1):
@@ -162,10 +171,10 @@ def parse(source: str) -> Page:
         text = html.unescape(raw) if "&" in raw else raw
         top = stack[-1]
         size = len("".join(text.split()))
-        if size:
+        if size and not top.side:
             inner = next(x.container for x in reversed(stack) if x.container is not None)
-            if top.side or top.link:
-                inner.bad += size
+            if top.link:
+                inner.links += size
             else:
                 inner.good += size
         if not top.side:
@@ -212,6 +221,7 @@ def parse(source: str) -> Page:
             classes = ".".join(sorted(_DIGITS.sub("#", attributes.get("class", "").lower()).split()))
             container = Container(f"{outer.path}>{tag}" + (f".{classes}" if classes else ""), outer.depth + 1,
                                   len(page.pieces))
+            container.article = outer.article or (container if tag in ("article", "main") else None)
             page.containers.append(container)
         stack.append(_Element(tag, side, parent.link or tag == "a", container))
     add(source[at:])
@@ -228,7 +238,9 @@ def winning_text(page: Page, paths: list[str]) -> str:
         for c in page.containers:
             if c.path == path and not (found and c.begin < found[-1].end):
                 found.append(c)
-        if found and sum(c.score for c in found) >= LEAST_PART * best.score:
+        good = sum(c.good for c in found)
+        around = {id(c.article): c.article.good for c in found if c.article is not None}
+        if found and good >= LEAST_PART * best.good and good >= NEARLY_ALL * sum(around.values()):
             return page.text(found)
     return page.text([best])
 

@@ -35,6 +35,25 @@ def test_small_pages(source, want):
     assert text(source) == want
 
 
+STORY, LONGER = "the story goes on", "and on " * 30
+
+
+@pytest.mark.parametrize("source, want", [
+    (f"<article><p>{STORY}</p><div class=byline>By X</div><section id=comments>{LONGER}</section></article>", f"{STORY} By X"),
+    (f"<article><p>{STORY} <a href=x>{LONGER}</a></p><div class=byline>B</div></article>", f"{STORY} {LONGER.strip()} B"),
+    (f"<article><p><a href=x>{STORY}</a></p></article><div></div>", STORY),
+    (f"<body><p>{STORY}</p><div><a href=x>{LONGER}</a></div><div>By X</div></body>", f"{STORY} {LONGER.strip()} By X"),
+])
+def test_no_story_is_lost_to_what_is_beside_it(source, want):
+    assert text(source) == want
+
+
+def test_a_winning_path_does_not_take_a_part_of_an_article():
+    page = f"<html><body><article><p>{LONGER}</p><section><p>{LONGER}</p></section></article></body></html>"
+    got = html_consensus.winning_text(html_consensus.parse(page), [">html>body>article>section"])
+    assert got == " ".join((LONGER * 2).split())
+
+
 def test_consensus_beats_an_odd_page(spark):
     page = "<body><div class=post><p>{}</p></div><div class=extra><p>{}</p></div></body>"
     links = "<a href=x>other pages</a>"
