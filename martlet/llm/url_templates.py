@@ -10,7 +10,10 @@ generalised level by level from the root:
    of all of them together (within ``DEVIATION`` standard deviations) merge
    into the branch ``~``; a branch without labels can't be told either.
 
-Levels from ``DEPTH`` on are one segment ``**``. A template is rejected when
+The first ``DEPTH`` levels always add to the template. Deeper ones are walked
+the same way as far as paths go, but add to the templates below a branch only
+where labels tell its branches apart. A branch whose labels can't differ enough
+for that (``_can_split``) ends there, which changes no result. A template is rejected when
 its purity, the share of good labels smoothed towards its host's (itself
 smoothed towards that of all pages), is below ``LEAST_PURITY``. Fixed rules
 for hosts and path beginnings come first; the longest fitting rule decides.
@@ -70,10 +73,15 @@ def _shape(segment: Column) -> Column:
     return F.when(segment.rlike("[0-9]"), F.regexp_replace(segment, "[0-9]+", "#")).otherwise(F.lit("*"))
 
 
-def _segments(path: Column, depth: int) -> Column:
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
-    return F.when(F.size(parts) < depth, parts).otherwise(
-        F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("**"))))
+def _segments(path: Column) -> Column:
+    return F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+
+
+def _can_split(labelled: Column, good: Column, deviation: float) -> Column:
+    """Whether some part of so many labels can differ from all of them: the
+    part that differs most is all the good ones, or all the others."""
+    bad = labelled - good
+    return (good > 0) & (bad > 0) & (F.greatest(good, bad) > F.lit(deviation * deviation))
 
 
 def _sums(*more: Column) -> list[Column]:
@@ -84,15 +92,27 @@ def templates(paths: DataFrame, depth: int = DEPTH, least_share: float = LEAST_S
               least_pages: int = LEAST_PAGES, deviation: float = DEVIATION) -> DataFrame:
     """``host, path, template`` and the counts of ``paths(host, path, n,
     labelled, good)``."""
-    state = materialise(paths.withColumn("segments", _segments(F.col("path"), depth))
-                        .withColumn("branch", F.lit("")), "paths")
-    for level in range(depth):
+    state = materialise(paths.withColumn("segments", _segments(F.col("path"))).withColumn("branch", F.lit("")), "paths")
+    done, level = None, 0
+    while True:
+        if level >= depth:  # only branches that can still split go on
+            more = state.where(F.size("segments") > level)
+            can = more.groupBy("host", "branch").agg(*_sums()).where(
+                _can_split(F.col("labelled"), F.col("good"), deviation)).select("host", "branch")
+            can = materialise(can.withColumn("goes_on", F.lit(True)), "going")
+            marked = state.join(can, ["host", "branch"], "left")
+            goes_on = F.col("goes_on").isNotNull() & (F.size("segments") > level)
+            ended = marked.where(~goes_on).drop("goes_on", "segments")
+            done = ended if done is None else done.unionByName(ended)
+            state = marked.where(goes_on).drop("goes_on")
+            if can.isEmpty():
+                break
         segment = F.when(F.size("segments") > level, F.get("segments", F.lit(level)))
         here = state.withColumn("segment", segment)
         open_ = here.where("segment IS NOT NULL")
         nodes = open_.groupBy("host", "branch", "segment").agg(*_sums())
         parents = nodes.groupBy("host", "branch").agg(F.sum("n").alias("pages"))
-        stays = ((F.col("n") >= least_share * F.col("pages")) & (F.col("n") >= least_pages)) | F.col("segment").isin("", "**")
+        stays = ((F.col("n") >= least_share * F.col("pages")) & (F.col("n") >= least_pages)) | (F.col("segment") == "")
         nodes = nodes.join(parents, ["host", "branch"]).withColumn(
             "general", F.when(stays, F.col("segment")).otherwise(_shape(F.col("segment")))).drop("pages")
         branches = nodes.groupBy("host", "branch", "general").agg(*_sums())
@@ -103,10 +123,15 @@ def templates(paths: DataFrame, depth: int = DEPTH, least_share: float = LEAST_S
         similar = off * off <= F.lit(deviation * deviation) * F.col("labelled") * share * (1 - share)
         merged = branches.join(pooled, ["host", "branch"]).select(
             "host", "branch", "general", F.when(similar, F.lit("~")).otherwise(F.col("general")).alias("next"))
+        if level >= depth:
+            apart = merged.groupBy("host", "branch").agg(F.bool_or(F.col("next") != "~").alias("apart"))
+            merged = merged.join(apart, ["host", "branch"]).where("apart").drop("apart")
         step = nodes.join(merged, ["host", "branch", "general"]).select(
             "host", "branch", "segment", F.concat("branch", F.lit("/"), "next").alias("longer"))
         moved = here.join(step, ["host", "branch", "segment"], "left")
         state = materialise(moved.withColumn("branch", F.coalesce("longer", "branch")).drop("segment", "longer"), "level")
+        level += 1
+    state = materialise(done, "templates")
     return state.select("host", "path", "n", "labelled", "good", F.col("branch").alias("template"))
 
 

@@ -129,3 +129,24 @@ def test_templates_equal_the_tree_by_hand(spark):
     assert {(r.host, r.path): r.template for r in rows} == want
     assert {r.verdict for r in rows if r.path.startswith("/tag/")} == {"block"}
     assert {r.verdict for r in rows if r.path.startswith("/news/")} == {"allow"}
+
+
+def test_sections_below_the_first_levels_get_their_own_verdict(spark):
+    pages = [(f"/a/b/c/{k}/{i}", int(k == "docs")) for k in ("docs", "forum") for i in range(40)]
+    pages += [(f"/x/1/2/3/4/5/6/{k}/y/{i}", int(k == "docs")) for k in ("docs", "forum") for i in range(40)]
+    pages += [("/a/b/c", 1), ("/a/b/c/", 1), ("/x/1/2/3/4/5/6", 0)]
+    df = spark.createDataFrame([(i, f"http://h.com{p}", x) for i, (p, x) in enumerate(pages)],
+                               "page_id long, url string, label int")
+    got = {r.path: r.verdict for r in url_templates.judge(df, rules=()).collect()}
+    assert len(got) == len(pages)
+    assert {v for p, v in got.items() if "docs" in p} == {"allow"}
+    assert {v for p, v in got.items() if "forum" in p} == {"block"}
+
+
+def test_a_branch_that_ends_can_not_split():
+    for good in range(0, 7):
+        for bad in range(0, 7):
+            total, share = good + bad, good / max(good + bad, 1)
+            splits = any((g - (g + b) * share) ** 2 > 4 * (g + b) * share * (1 - share) + 1e-9
+                         for g in range(good + 1) for b in range(bad + 1))
+            assert not splits or good and bad and max(good, bad) > 4, (good, bad, total)
