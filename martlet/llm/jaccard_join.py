@@ -460,8 +460,9 @@ def _with_shingles(rows: DataFrame, size: int) -> DataFrame:
 
 def join(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = SHINGLE, recall: float = RECALL,
          levels: int = LEVELS) -> DataFrame:
-    """``doc_id, k, class_id, n_links`` of every row of ``docs``; ``k`` is the
-    hash of its text."""
+    """``doc_id, k, root, class_id, n_links`` of every row of ``docs``; ``k`` is
+    the hash of its text, ``root`` the least ``k`` of its class (null for a text
+    without a word)."""
     sets = materialise(features(docs, runs_for(recall, levels, similarity), levels, similarity, shingle), "sets")
     small, settled, large = chosen_paths(sets, levels, similarity)
     cells = small.withColumn("cell", F.col("node")).withColumn("side", F.lit(0).cast("byte")).select("cell", "side", "k")
@@ -488,26 +489,27 @@ def join(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = SHIN
                        F.coalesce("links", F.lit(0)).alias("links")))
     least = classed.groupBy("root").agg(F.min("rid").alias("class_id"))
     answers = materialise(classed.join(least, "root").select(
-        F.col("k").alias("_k"), "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "answers")
+        F.col("k").alias("_k"), "root", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "answers")
     out = rows.join(answers, (rows["k"] == answers["_k"]) & rows["has_word"], "left")
-    return out.select("doc_id", "k", F.when(F.col("has_word"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+    return out.select("doc_id", "k", "root", F.when(F.col("has_word"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class: the one with the least ``doc_id``
-    (of equal ids the least text hash). Rows with a null id, and texts without
-    a word, stay."""
+    (of equal ids the least text hash). Classes with the same id are told apart
+    by their text. Rows with a null id, and texts without a word, stay."""
     judged = materialise(join(docs, **options), "judged")
-    keep = judged.where("doc_id = class_id").groupBy("doc_id").agg(
-        F.min("k").alias("k"), F.count(F.lit(1)).alias("n"))
-    keep = materialise(keep, "keep")
-    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"),
+    rows = judged.where("root IS NOT NULL AND doc_id = class_id").groupBy("root", "doc_id", "k").agg(
+        F.count(F.lit(1)).alias("n"))
+    keep = rows.groupBy("root").agg(F.min(F.struct("k", "doc_id", "n")).alias("first")).select("first.*")
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"),
                          text_key(F.col("text")).alias("_k"))
-    bounded = broadcast_if_bounded(keep)
-    kept = packed.join(bounded, (F.col("_id") == F.col("doc_id")) & (F.col("_k") == F.col("k")))
+    bounded = broadcast_if_bounded(materialise(keep, "keep"))
+    wordy = F.coalesce(F.col("_text").rlike(_HAS_WORD), F.lit(False))
+    kept = packed.where(wordy).join(bounded, (F.col("_id") == F.col("doc_id")) & (F.col("_k") == F.col("k")))
     single = kept.where("n = 1").select("_doc.*")
-    # ids that occur more than once: the copies of the kept row go
+    # rows that occur more than once: the copies of the kept row go
     repeated = kept.where("n > 1").dropDuplicates(["_id", "_k"]).select("_doc.*")
-    unnamed = packed.where("_id IS NULL").select("_doc.*")
-    return single.unionByName(repeated).unionByName(unnamed)
+    others = packed.where(F.col("_id").isNull() | ~wordy).select("_doc.*")
+    return single.unionByName(repeated).unionByName(others)

@@ -218,7 +218,12 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile:
           margin: float = MARGIN, prior_chars: int = PRIOR_CHARS) -> DataFrame:
     """Per document: ``doc_id, lang, trusted, held_out, n_chars, log_prob,
     perplexity, score, limit, kept``."""
-    scored = materialise(score(docs, trusted_ids, order, held_out=HELD_OUT), "scored")
+    return _judged(docs, trusted_ids, ("doc_id", "lang"), order, quantile, margin, prior_chars)
+
+
+def _judged(docs: DataFrame, trusted_ids: DataFrame, keep: tuple[str, ...], order: int = ORDER,
+            quantile: float = QUANTILE, margin: float = MARGIN, prior_chars: int = PRIOR_CHARS) -> DataFrame:
+    scored = materialise(score(docs, trusted_ids, order, keep, held_out=HELD_OUT), "scored")
     held = F.col("trusted") == 2
 
     def quantile_of(measure: Column, q: float) -> Column:
@@ -243,13 +248,17 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile:
     top = F.when(F.col("enough"), F.col("top")).otherwise(F.lit(every).cast("double") * F.col("median"))
     kept = F.coalesce(F.col("score") <= F.col("limit"), F.lit(True))
     return rows.withColumn("limit", top + F.lit(margin) * F.col("median")).select(
-        "doc_id", "lang", F.least("trusted", F.lit(1)).alias("trusted"), held.alias("held_out"), "n_chars", "log_prob",
+        *keep, F.least("trusted", F.lit(1)).alias("trusted"), held.alias("held_out"), "n_chars", "log_prob",
         "perplexity", "score", "limit", kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
-    """The documents that ``judge`` keeps, with their own columns. Rejected ids
-    are joined away, so rows with a null id, which can't be joined, stay."""
-    gone = judge(docs, trusted_ids, **options).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """The documents that ``judge`` keeps, with their own columns. A document
+    is known by its id, language and text together, nulls included."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    judged = _judged(docs.select("doc_id", "lang", "text", key.alias("_key")), trusted_ids, ("doc_id", "lang", "_key"), **options)
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("lang").alias("_gone_lang"), "_key").distinct()
     gone = broadcast_if_bounded(materialise(gone, "gone"))  # else the texts would move
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & docs["lang"].eqNullSafe(gone["_gone_lang"]) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_key"])
+    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

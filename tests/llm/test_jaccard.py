@@ -89,6 +89,14 @@ def test_one_of_each_class_stays(spark, hot_rows):
     assert sorted(r.doc_id for r in jaccard_join.one_of_each(docs).collect()) == sorted(want)
 
 
+def test_classes_with_the_same_id_both_stay(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (1, two), (2, one), (3, two + " c"), (1, one), (4, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (1, two), (4, ""), (4, None)], key=str)
+
+
 def test_odd_rows(spark):
     docs = odd_rows.documents(spark)
     got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in jaccard_join.join(docs).collect())

@@ -101,6 +101,15 @@ def test_held_out_documents_do_not_train(spark):
     assert {r.doc_id: r.log_prob for r in got.collect()} == pytest.approx(alone)
 
 
+def test_a_rejected_row_takes_no_other_with_its_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    good, bad = docs.join(labels, "doc_id").where("lang = 'en'").first().text, "zqxj#vk%wq " * 60
+    odd = spark.createDataFrame([(-1, good, "en"), (-1, bad, "en"), (None, bad, "en")], docs.schema)
+    kept = kneser_ney.kept_documents(docs.unionByName(odd), labels).where("doc_id = -1 OR doc_id IS NULL").collect()
+    assert [(r.doc_id, r.text) for r in kept] == [(-1, good)]
+
+
 def test_quality_odd_rows(spark):
     docs, labels = odd_rows.documents(spark), odd_rows.labels(spark)
     trusted = labels.where("quality = 1").select("doc_id")
