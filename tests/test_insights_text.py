@@ -215,7 +215,7 @@ def test_cluster_customers_query_is_a_kmeans_fixed_point(spark):
     standardised mean is nearest."""
     import duckdb
     import numpy as np
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from martlet.suite import QUERIES
     out = QUERIES["cluster_customers"](spark, SF_SMALL).toPandas()
     want = duckdb.connect().execute(

@@ -3,7 +3,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _keys():

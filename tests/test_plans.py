@@ -3,7 +3,7 @@ bounded dimensions, no Python evaluation in any registered query."""
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from martlet.suite import QUERIES
 
 

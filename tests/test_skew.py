@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 HOT_KEYS = [
     "q_top_products", "q_return_rate_by_region", "q_return_anomaly_by_region", "q_aov_by_part_type",

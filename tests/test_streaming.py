@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from martlet.session import Warehouse
 from martlet.streaming import start_session_log_stream
 from martlet.suite.quality import _session_batch

@@ -169,7 +169,7 @@ def test_periods_need_one_scan_and_no_join(spark, tmp_path, make):
 
 
 def test_profile_reads_and_shuffles_once(spark):
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from martlet.session import Warehouse
     df = PR.distinct_summary(Warehouse(spark, SF_SMALL).orders)
     df.collect()
