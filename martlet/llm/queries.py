@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import (bpe, html_consensus, jaccard_join, kneser_ney, mixing, quality_rules, token_counts,
+from martlet.llm import (bpe, chunk_recipes, html_consensus, jaccard_join, kneser_ney, mixing, quality_rules, token_counts,
                          toxicity, url_templates, vptree)
 from martlet.llm.common import read_table, ship_package
 
@@ -95,3 +95,8 @@ def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op6_main_text")
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.extract(read_table(spark, sf_dir, "pages"))
+
+
+@_register("op13_chunk_recipes", chunk_recipes.DEDUP_SQL)
+def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_recipes.classes(read_table(spark, sf_dir, "documents"))
