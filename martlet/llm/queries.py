@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import (bpe, chunk_recipes, html_consensus, jaccard_join, kneser_ney, mixing, quality_rules, token_counts,
-                         toxicity, url_templates, vptree)
+from martlet.llm import (bpe, chunk_recipes, html_consensus, importance, jaccard_join, kneser_ney, mixing, quality_rules,
+                         spelling, token_counts, toxicity, url_templates, vptree)
 from martlet.llm.common import read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,13 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op13_chunk_recipes", chunk_recipes.DEDUP_SQL)
 def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.classes(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op11_importance", importance.RESAMPLE_SQL)
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@_register("op12_spelling", spelling.VARIANT_SQL)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ from array operations over it. No text is cut; a batch holds whole texts."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,11 +79,13 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray,
+               outside: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text of a batch: byte starts, byte ends, and the number of
-    words before each text (length: texts + 1)."""
+    words before each text (length: texts + 1). ``outside`` tells of each of the
+    256 byte values whether it separates words."""
     n = len(data)
-    inside = ~_IS_SPACE[data] if n else np.zeros(0, bool)
+    inside = ~outside[data] if n else np.zeros(0, bool)
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
     starts_at = inside.copy()
@@ -112,3 +115,42 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = mix64(out + h[k:k + n] + np.uint64((k + 1) * int(_ODD) % (1 << 64)))
     return out
+
+
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)  # fixed value: the CRC-32 polynomial
+    return t
+
+
+_CRC = _crc_table()
+
+
+def crc32_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """CRC-32 (unsigned) of ``data[starts[i]:ends[i]]``, as if the bytes with the
+    CRC-32 ``before[i]`` stood in front of it. All spans advance by one byte
+    together, the longer ones first; spans of over 64 bytes go to zlib."""
+    lengths = ends - starts
+    state = np.zeros(len(starts), np.uint32) if before is None else before.astype(np.uint32)
+    out = np.empty(len(starts), np.uint32)
+    long = np.flatnonzero(lengths > 64)
+    for i in long.tolist():
+        out[i] = zlib.crc32(data[starts[i]:ends[i]], int(state[i]))
+    order = np.argsort(np.minimum(lengths, 65).astype(np.uint8) ^ 0xFF, kind="stable")[len(long):]
+    at, crc = starts[order], ~state[order]
+    active = len(order) - np.cumsum(np.bincount(lengths[order], minlength=1))
+    for k, m in enumerate(active.tolist()):
+        if not m:
+            break
+        crc[:m] = _CRC[(crc[:m] ^ data[at[:m] + k]) & 255] ^ (crc[:m] >> 8)
+    out[order] = ~crc
+    return out
+
+
+#: SQL: the table of CRC-32 by its rule; bytes are then taken one after the other.
+CRC_SQL = """
+crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t)
+"""
