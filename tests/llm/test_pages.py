@@ -48,6 +48,35 @@ def test_no_story_is_lost_to_what_is_beside_it(source, want):
     assert text(source) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    (f"<div class='layout has-sidebar'><article><p>{STORY}</p></article></div>", STORY),
+    (f"<div class='no-header'><main><p>{STORY}</p></main><div class=site-footer>foot</div></div>", STORY),
+    (f"<article><p>{STORY}</p><div class='market-share'><p>more</p></div><section class=discussion>and</section></article>", f"{STORY} more and"),
+    (f"<div class=sidebar><article><p>{STORY}</p></article></div>", STORY),
+    (f"<article><p>{STORY}</p></article><div id=comments><article class=comment-body><p>{LONGER}</p></article></div>", STORY),
+    (f"<article><p>{STORY}</p><div class='post-share-buttons'>share it</div><div class='cookie-notice-2'>ok</div></article>", STORY),
+    (f"<p>{STORY} <a title=\"open>x</a>", f"{STORY} x"), (f"<p>{STORY} <b", f"{STORY} <b"),
+])
+def test_parts_go_by_whole_names(source, want):
+    assert text(source) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<a \"", "</x>", "<b>x", "<p><b>", "<!x", "<div class=x><p>", "<li><b>", "<script>", "&amp;<",
+                                   "<div class=ad>", "<main>"])
+def test_time_follows_the_length(piece):
+    import time
+    began = time.time()
+    html_consensus.winning_text(html_consensus.parse(f"<p>{STORY}</p>" + piece * 60_000), [">html>body"])
+    assert time.time() - began < 4
+
+
+def test_a_page_of_megabytes():
+    import time
+    page = "<html><body><article>" + "<div class=part><p>words &amp; <b>more</b> words</p></div>" * 100_000 + "</article></body></html>"
+    began = time.time()
+    assert text(page) == " ".join(["words & more words"] * 100_000) and time.time() - began < 10
+
+
 def test_a_winning_path_does_not_take_a_part_of_an_article():
     page = f"<html><body><article><p>{LONGER}</p><section><p>{LONGER}</p></section></article></body></html>"
     got = html_consensus.winning_text(html_consensus.parse(page), [">html>body>article>section"])
