@@ -47,11 +47,6 @@ READER_NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN
                      "nan", "null"]
 READER_TRUE = ["True", "TRUE", "true"]
 READER_FALSE = ["False", "FALSE", "false"]
-# Date formats tried in order after the ISO cast (Spark datetime patterns);
-# a time of day may follow each.
-DATE_FORMATS = ["M/d/yyyy", "yyyy/M/d", "yyyy-M-d", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
-                "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM yyyy", "MMMM yyyy",
-                "yyyy M d", "yyyyMMdd", "M.d.yyyy"]
 
 SQL_RESERVED_NAMES = [
     "select", "from", "where", "group", "order", "by", "having", "join", "on",

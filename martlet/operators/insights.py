@@ -10,7 +10,7 @@ Numbers inside messages are rounded to 2 places and printed as decimals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,24 +201,38 @@ def insights(df: DataFrame, intent: str | None, order_col: str) -> DataFrame:
 
 
 def moving_average(series: DataFrame, period: str, index: str, value: str, k: int = 3) -> DataFrame:
-    """ANL-6: average of ``value`` over the last ``k`` calendar periods
-    (those present). Each period is emitted for the k periods it feeds and
-    summed per target in one ``groupBy``: the series is computed once, and
-    there is no join and no global window."""
+    """ANL-6: average of ``value`` over the last ``k`` calendar periods: of
+    those that have one; ``window_periods`` counts the periods present. Each
+    period is emitted for the k periods it feeds and summed per target in one
+    ``groupBy``: the series is computed once, and there is no join and no global
+    window. Sums follow the type: decimals and integers are exact."""
+    kind = series.schema[value].dataType
+    typed = "decimal(38,6)" if isinstance(kind, T.DecimalType) and kind.scale > 2 else \
+        "decimal(38,2)" if isinstance(kind, T.DecimalType) else "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "decimal(38,0)"
     v = F.col("_v")
     emitted = (series.select(F.col(index).alias("_i"), F.col(period).alias("_p"), F.col(value).alias("_v"))
                .withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))))
     own = F.col("_off") == 0
+    there = nan_to_null(v) if typed == "double" else v
     met = emitted.groupBy((F.col("_i") + F.col("_off")).alias("_target")).agg(
         F.max(own).alias("_own"), F.max(F.when(own, F.col("_p"))).alias(period), F.max(F.when(own, v)).alias(value),
-        F.sum(v.cast("decimal(38,2)")).alias("_s"), F.count(F.lit(1)).alias("window_periods"))
+        F.sum(there.cast(typed)).alias("_s"), F.count(there).alias("_n"), F.count(F.lit(1)).alias("window_periods"))
     return (met.where("_own")
-            .select(period, value, round6(F.try_divide(F.col("_s").cast("double"),
-                                                       F.col("window_periods").cast("double"))).alias("moving_avg"),
+            .select(period, value, round6(F.try_divide(F.col("_s").cast("double"), F.col("_n").cast("double"))).alias("moving_avg"),
                     F.col("window_periods").cast("bigint").alias("window_periods"))
             .orderBy(period))
 
 
+def cluster_summary(clustered: DataFrame, features: list[str]) -> DataFrame:
+    """ANL-8's segments: per cluster its entities and the mean of every feature,
+    clusters numbered by their first feature's mean (ties by the next)."""
+    means = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("entities"),
+                                             *[F.avg(f).alias(f"mean_{f}") for f in features])
+    # one row per cluster: the window sees k rows
+    nth = F.row_number().over(Window.orderBy(*[f"mean_{f}" for f in features], "entities"))
+    return means.select(nth.alias("segment"), "entities", *[round6(f"mean_{f}").alias(f"mean_{f}") for f in features])
+
+
 def cluster_entities(df: DataFrame, key: str, features: list[str], k: int = 4,
                      seed: int = 7, max_iter: int = 100) -> DataFrame:
     """ANL-8: k-means segments over standardised numeric features

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from martlet.functions.exprs import (
     ColumnOrName, col, mean_of, money, month_of, nan_to_null, round6, total,
 )
+from martlet.plans.joins import broadcast_if_bounded
 from martlet.plans.numbering import with_ordered_ids
 
 
@@ -192,6 +193,101 @@ def distribution(df: DataFrame, metric: str, exact: bool = True) -> DataFrame:
     )
 
 
+KLL_K = 2_000
+#: A quantile is looked for this far to either side of its rank (4 errors of a sketch of KLL_K).
+KLL_BRACKET = 0.008
+_PROBS = (0.25, 0.5, 0.75)
+
+
+def distribution_by(df: DataFrame, dims: list[str], metric: str, exact: bool = True) -> DataFrame:
+    """AGG-9 per group of ``dims``: count, min, max, mean, population stddev and
+    quartiles, for any number and size of groups.
+
+    One aggregate keeps a KLL sketch per group (merged on the map side, so a
+    group with a third of all rows is one row per task). ``exact=False`` reads
+    the quartiles off it. Otherwise the sketch brackets them: a second pass
+    counts, per group, the values below and inside each bracket, which proves it
+    or not; only bracketed values (of a group whose bracket is not proven, all)
+    are range-sorted and numbered, and the two values next to each rank are
+    taken by position. No group is sorted in one task."""
+    from martlet.session import scratch_path
+    spark = df.sparkSession
+    rows = df.select(*[F.col(d).alias(f"_d{i}") for i, d in enumerate(dims)], nan_to_null(F.col(metric).cast("double")).alias("v"))
+    keys = [f"_d{i}" for i in range(len(dims))]
+    v = F.col("v")
+    sketch = rows.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), round6(F.avg(v)).alias("mean_value"),
+        round6(F.stddev_pop(v)).alias("stddev_value"), F.kll_sketch_agg_double(v, KLL_K).alias("k"))
+
+    def at(p: float) -> Column:
+        return F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("k", F.lit(p)))
+
+    ends = [(at(max(0.0, p - KLL_BRACKET)), at(min(1.0, p + KLL_BRACKET)), at(p)) for p in _PROBS]
+    path = scratch_path(spark, "group-sketches")
+    sketch.select("*", *[c.alias(f"{n}{i}") for i, e in enumerate(ends) for n, c in zip(("lo", "hi", "q"), e)]).drop("k") \
+        .write.parquet(path)
+    groups = spark.read.parquet(path)
+    names = [F.col(f"_d{i}").alias(d) for i, d in enumerate(dims)]
+    stats = ["n", "min_value", "max_value", "mean_value", "stddev_value"]
+    if not exact:
+        return groups.select(*names, *stats, *[round6(f"q{i}").alias(q) for i, q in enumerate(("p25", "median", "p75"))])
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        out = F.lit(True)
+        for k in keys:
+            out = out & a[k].eqNullSafe(b[f"{k}_"])
+        return out
+
+    def joined(other: DataFrame, cols: list) -> DataFrame:
+        other = broadcast_if_bounded(other.select(*[F.col(k).alias(f"{k}_") for k in keys], *cols))
+        return rows.where("v IS NOT NULL").join(other, same(rows, other)).drop(*[f"{k}_" for k in keys])
+
+    k = range(len(_PROBS))
+    within = [(v >= F.col(f"lo{i}")) & (v <= F.col(f"hi{i}")) for i in k]
+    counted = joined(groups, [f"{x}{i}" for i in k for x in ("lo", "hi")]).groupBy(*keys).agg(
+        *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in k], *[F.count_if(within[i]).alias(f"w{i}") for i in k])
+    held = [F.col(k).alias(f"{k}_") for k in keys]
+    counted = counted.select(*held, *[f"{x}{i}" for i in k for x in ("b", "w")])
+    proof = groups.join(broadcast_if_bounded(counted), same(groups, counted), "left")
+    spots = [((F.col("n") - 1) * F.lit(p)) for p in _PROBS]
+    proven = F.lit(True)
+    for i in k:
+        proven = proven & (F.col(f"b{i}") <= F.floor(spots[i])) & (F.col(f"b{i}") + F.col(f"w{i}") > F.ceil(spots[i]))
+    path = scratch_path(spark, "group-brackets")
+    proof.select(*keys, *stats, *[F.when(proven, F.col(f"lo{i}")).otherwise(F.col("min_value")).alias(f"lo{i}") for i in k],
+                 *[F.when(proven, F.col(f"hi{i}")).otherwise(F.col("max_value")).alias(f"hi{i}") for i in k],
+                 *[F.when(proven, F.col(f"b{i}")).otherwise(0).alias(f"b{i}") for i in k]).write.parquet(path)
+    groups = spark.read.parquet(path)
+    picked = joined(groups, [f"{x}{i}" for i in k for x in ("lo", "hi")])
+    tags = F.filter(F.array(*[F.when(within[i], F.lit(i)) for i in k]), lambda x: x.isNotNull())
+    tagged = picked.select(*keys, "v", F.explode(tags).alias("_q"), F.monotonically_increasing_id().alias("_t"))
+    ranked = with_ordered_ids(tagged, [*[F.col(x) for x in keys], F.col("_q"), F.col("v"), F.col("_t")], "pos", start=0)
+    path = scratch_path(spark, "bracketed")
+    ranked.select(*keys, "_q", "v", "pos").write.parquet(path)
+    ranked = spark.read.parquet(path)
+    begin = ranked.groupBy(*keys, "_q").agg(F.min("pos").alias("begin"))
+    want = F.explode(F.array(*[F.struct(F.lit(i).alias("_q"), (spots[i] - F.floor(spots[i])).alias("part"),
+                                        (F.floor(spots[i]) - F.col(f"b{i}")).alias("a"),
+                                        (F.ceil(spots[i]) - F.col(f"b{i}")).alias("z")) for i in k]))
+    wanted = groups.where("n > 0").select(*keys, want.alias("s")).select(*held, "s.*")
+    wanted = begin.join(wanted, same(begin, wanted) & (begin["_q"] == wanted["_q"])).select(
+        "begin", "part", begin["_q"].alias("q"), (F.col("begin") + F.col("a")).alias("a"), (F.col("begin") + F.col("z")).alias("z"),
+        *[F.col(x) for x in keys])
+    # positions are global: each is wanted by at most two places of one group
+    places = wanted.select(*held, "q", "part", F.explode(F.array(F.struct(F.col("a").alias("pos"), (1 - F.col("part")).alias("w")),
+                                                                 F.struct(F.col("z").alias("pos"), F.col("part").alias("w")))).alias("p"))
+    places = broadcast_if_bounded(places.select(*[f"{x}_" for x in keys], "q", "p.pos", "p.w"))
+    both = ranked.select("pos", "v").join(places, "pos").groupBy(*[f"{x}_" for x in keys]).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("q") == i, F.struct("pos", "v", "w")))).alias(f"x{i}") for i in k])
+
+    def between(x: Column) -> Column:
+        lo, hi = F.get(x, F.lit(0)), F.get(x, F.lit(1))
+        return lo["v"] + (F.when(lo["pos"] == hi["pos"], 0.0).otherwise(hi["w"])) * (hi["v"] - lo["v"])
+
+    out = groups.join(broadcast_if_bounded(both), same(groups, both), "left")
+    return out.select(*names, *stats, *[round6(between(F.col(f"x{i}"))).alias(q) for i, q in enumerate(("p25", "median", "p75"))])
+
+
 def histogram(df: DataFrame, metric: str, buckets: int = 10) -> DataFrame:
     """Equal-width bucket counts between the column's min and max. The
     bounds come from ONE one-row scalar subquery (min and max together),

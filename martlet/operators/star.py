@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from martlet.functions.exprs import (
     mean_of, money, month_index, month_of, nan_to_null, quarter_of, ratio, round6, total,
 )
+from martlet.plans.hot_keys import hot_join
 from martlet.plans.joins import broadcast_if_bounded
 
 
@@ -169,7 +170,7 @@ def aov_by_category(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
     bought it. The distinct count is a two-level aggregate: first to
     (category, order), then to category."""
     typed = (lineitem.select("l_orderkey", "l_partkey", line_revenue().alias("_r"))
-             .join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+             .transform(hot_join, part.select("p_partkey", "p_type"), "l_partkey", "p_partkey")
              .groupBy("p_type", "l_orderkey").agg(F.sum("_r").alias("_rev")))
     typed = typed.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"),
                        "left_semi")
@@ -306,7 +307,8 @@ def star_wide(lineitem, orders, customer, nation, region, part, supplier) -> Dat
     reordering by default): the order side is widened first (orders x
     customer x geography, ten times fewer rows than items), so the item
     table is shuffled once on the order key instead of being re-shuffled on
-    the customer key after the fact-to-fact join."""
+    the customer key after the fact-to-fact join. Parts and suppliers that very
+    many items share are joined apart (``hot_join``)."""
     geo = _geo(nation, region)
     cust = (customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
             .join(geo, F.col("c_nationkey") == F.col("n_nationkey")))
@@ -314,10 +316,9 @@ def star_wide(lineitem, orders, customer, nation, region, part, supplier) -> Dat
                    .join(cust, F.col("o_custkey") == F.col("c_custkey")))
     return (lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                             "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+            .transform(hot_join, part.select("p_partkey", "p_name", "p_type", "p_brand"), "l_partkey", "p_partkey")
+            .transform(hot_join, supplier.select("s_suppkey", "s_name"), "l_suppkey", "s_suppkey")
             .join(wide_orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(part.select("p_partkey", "p_name", "p_type", "p_brand"),
-                  F.col("l_partkey") == F.col("p_partkey"))
-            .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
             .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                     "l_extendedprice", "l_discount", "l_returnflag",
                     month_of("o_orderdate").alias("order_month"), "o_orderpriority",

@@ -1,10 +1,10 @@
 """Sources: delimited files with delimiter and encoding detection, parquet
 or CSV by suffix, and named tables.
 
-The delimited reader stays on Spark's splittable CSV source. Detection
-reads a bounded head sample (the first lines) plus ONE validity pass over
-the text (stopping at the first invalid line); no file is loaded through
-the driver.
+The delimited reader stays on Spark's splittable CSV source, and on split
+lines where quoted fields hold newlines (``quoted``). Detection reads a bounded
+head sample (the first lines) plus ONE scan that counts, per split, the lines
+that aren't UTF-8 and the quotes; no file is loaded through the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.functions import fixed
+from martlet.sources import quoted
 
 SAMPLE_LINES = 50
 
@@ -52,26 +53,19 @@ def pandas_style_names(header: list[str]) -> list[str]:
     return out
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else latin-1, which decodes any
-    byte. One job; each task stops at its first invalid line (a valid file
-    is necessarily read whole)."""
-    bad = spark.read.text(path).filter(~F.is_valid_utf8(F.col("value"))).limit(1).count()
-    return "UTF-8" if bad == 0 else "ISO-8859-1"
-
-
 CORRUPT = "_corrupt_record"
 #: The dialect of quoted fields (RFC 4180), shared with ``sinks.export_csv``:
 #: a quote inside a quoted field is doubled.
 QUOTED = {"quote": '"', "escape": '"'}
 
 
-def has_quoted_newlines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
-    """True when a line holds an odd number of quotes, so that a quoted field
-    goes on in the next line. Each task stops at its first such line."""
-    v = F.col("value")
-    odd = (F.length(v) - F.length(F.replace(v, F.lit('"'), F.lit("")))) % 2 == 1
-    return spark.read.option("encoding", encoding).text(path).filter(odd).limit(1).count() > 0
+def detect(spark: SparkSession, path: str) -> tuple[str, bool, DataFrame]:
+    """Encoding (UTF-8 when every line is valid UTF-8, else latin-1, which
+    decodes any byte), whether a quoted field goes on in the next line (a line
+    holds an odd number of quotes), and the counts of each split, from one scan."""
+    found = quoted.splits(spark, path)
+    seen = found.agg(F.sum("not_utf8").alias("bad"), F.sum("odd_lines").alias("odd")).first()
+    return ("ISO-8859-1" if seen["bad"] else "UTF-8"), bool(seen["odd"]), found
 
 
 def read_delimited(spark: SparkSession, path: str, multi_line: bool | None = None,
@@ -79,9 +73,10 @@ def read_delimited(spark: SparkSession, path: str, multi_line: bool | None = Non
     """SRC-1: all-string DataFrame with the file's header names; returns
     (df, encoding, delimiter). Raises ValueError on a file without columns.
 
-    Quoted fields follow RFC 4180. ``multi_line`` reads quoted newlines, which
-    stops Spark from splitting a file; by default it is on exactly when the
-    text has lines that need it. ``sample_lines`` bounds the head sample that
+    Quoted fields follow RFC 4180. Where they hold newlines, records are put
+    together from split lines (``quoted``); ``multi_line=True`` takes Spark's
+    multi-line reader instead, one task a file, and False reads each line as a
+    record. ``sample_lines`` bounds the head sample that
     decides the delimiter. Rows with more or fewer fields than the header are
     kept as far as they fit; ``malformed_rows`` counts them."""
     df, encoding, sep = _read_marked(spark, path, multi_line, sample_lines)
@@ -98,8 +93,9 @@ def malformed_rows(spark: SparkSession, path: str, multi_line: bool | None = Non
 
 def _read_marked(spark: SparkSession, path: str, multi_line: bool | None,
                  sample_lines: int) -> tuple[DataFrame, str, str]:
-    encoding = detect_encoding(spark, path)
-    head = [r["value"] for r in spark.read.option("encoding", encoding).text(path).limit(sample_lines).collect()]
+    encoding, newlines, found = detect(spark, path)
+    first = spark.read.text(path).select(quoted.decoded(F.col("value"), encoding).alias("value"))
+    head = [r["value"] for r in first.limit(sample_lines).collect()]
     head = [h for h in head if h.strip()]
     if not head:
         raise ValueError("CSV parsed to a table with no columns.")
@@ -109,12 +105,13 @@ def _read_marked(spark: SparkSession, path: str, multi_line: bool | None,
     if not header or all(not h.strip() for h in header):
         raise ValueError("CSV parsed to a table with no columns.")
     names = pandas_style_names([h.strip() if h.strip() else f"Unnamed: {i}" for i, h in enumerate(header)])
-    if multi_line is None:
-        multi_line = has_quoted_newlines(spark, path, encoding)
     schema = ", ".join([f"c{i} string" for i in range(len(names))] + [f"{CORRUPT} string"])
-    df = (spark.read.schema(schema).options(**QUOTED).option("header", True).option("sep", sep)
-          .option("encoding", encoding).option("multiLine", multi_line).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    options = {**QUOTED, "sep": sep, "columnNameOfCorruptRecord": CORRUPT}
+    if multi_line is None and newlines:
+        df = quoted.read_records(spark, path, encoding, found, schema, options)
+    else:
+        df = (spark.read.schema(schema).options(**options).option("header", True).option("encoding", encoding)
+              .option("multiLine", bool(multi_line)).option("mode", "PERMISSIVE").csv(path))
     return df.toDF(*names, CORRUPT), encoding, sep
 
 

@@ -5,9 +5,13 @@ rewrites only its own files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martlet.plans.joins import broadcast_if_bounded
+
 SESSION_SCHEMA = ("session_id string, created_at timestamp, question string, approved_sql string, "
                   "row_count int, chart_type string, csv_path string, xlsx_path string, "
                   "pdf_path string, warnings string")
@@ -20,6 +24,55 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+#: The column, and folder level, that tells the batches of an append apart.
+BATCH = "batch_id"
+
+
+def append_batch(df: DataFrame, path: str, batch_id: str) -> None:
+    """SNK-1 / SNK-4, idempotent append: the batch lands once however often it is
+    tried. Its rows are a partition of their own, which a retry replaces as a
+    whole (dynamic partition overwrite) without touching other batches."""
+    (df.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(BATCH).parquet(path))
+
+
+def append_new_batches(df: DataFrame, path: str, batch_col: str) -> None:
+    """Append the rows of those batches of ``df`` that ``path`` doesn't hold yet:
+    an anti-join with the written batch ids, which are folder names."""
+    spark = df.sparkSession
+    rows = df.withColumnRenamed(batch_col, BATCH).withColumn(BATCH, F.col(BATCH).cast("string"))
+    if _exists(spark, path):
+        known = spark.read.schema(f"{BATCH} string").parquet(path).select(F.col(BATCH).alias("_known")).distinct()
+        rows = rows.join(broadcast_if_bounded(known), F.col(BATCH) == F.col("_known"), "left_anti")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All appended rows, without the batch ids."""
+    return spark.read.parquet(path).drop(BATCH)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """SNK-1, replace: the new rows are written beside the table and take its
+    place when they are complete, so ``df`` may read the table it replaces, and a
+    failed write leaves the old rows."""
+    spark = df.sparkSession
+    staged, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    df.write.parquet(staged.toString())
+    now = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(now)
+    if had and not fs.rename(now, old) or not fs.rename(staged, now):
+        raise OSError(f"could not move the new rows to {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """SNK-2: result rows with a header line, no index column; fields are quoted
     as SRC-1 reads them (RFC 4180)."""
@@ -62,8 +115,12 @@ def session_rows(batch: DataFrame) -> DataFrame:
         json_list_text(F.coalesce(w, F.array().cast("array<string>"))).alias("warnings"))
 
 
-def append_sessions(batch: DataFrame, path: str) -> None:
-    write_table(session_rows(batch), path, "append")
+def append_sessions(batch: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """SNK-4; with ``batch_id`` a retried batch lands once (``append_batch``)."""
+    if batch_id is None:
+        write_table(session_rows(batch), path, "append")
+    else:
+        append_batch(session_rows(batch), path, batch_id)
 
 
 def recent_sessions(log: DataFrame, limit: int = 10) -> DataFrame:

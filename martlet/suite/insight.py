@@ -194,6 +194,32 @@ def cluster_customers(spark, sf):
     return I.cluster_entities(feats, "c_custkey", ["total_spend", "orders", "c_acctbal"], k=4)
 
 
+@register("cluster_segments", f"""
+WITH f AS (SELECT c_custkey, c_acctbal + 1000000 * (c_custkey % 4) AS balance, CAST(c_custkey % 4 AS DOUBLE) AS level FROM customer)
+SELECT CAST(c_custkey % 4 + 1 AS INTEGER) AS segment, COUNT(*) AS entities, {r6('AVG(balance)')} AS mean_balance,
+       {r6('AVG(level)')} AS mean_level
+FROM f GROUP BY c_custkey % 4""")
+def cluster_segments(spark, sf):
+    """Customers in four segments far apart, found again by k-means."""
+    c = Warehouse(spark, sf).customer
+    feats = c.select("c_custkey", (F.col("c_acctbal") + 1_000_000 * (F.col("c_custkey") % 4)).alias("balance"),
+                     (F.col("c_custkey") % 4).cast("double").alias("level"))
+    return I.cluster_summary(I.cluster_entities(feats, "c_custkey", ["balance", "level"], k=4), ["balance", "level"])
+
+
+@register("moving_average_with_gaps", f"""
+WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS idx,
+                  CASE WHEN month(o_orderdate) % 5 <> 0 THEN SUM(CAST(o_totalprice AS DECIMAL(12,2))) / 1e9 END AS share
+           FROM orders WHERE o_orderdate IS NOT NULL GROUP BY month, idx, month(o_orderdate))
+SELECT a.month, a.share, {r6('SUM(b.share) / COUNT(b.share)')} AS moving_avg, COUNT(*) AS window_periods
+FROM t a JOIN t b ON b.idx BETWEEN a.idx - 2 AND a.idx GROUP BY a.month, a.share""")
+def moving_average_with_gaps(spark, sf):
+    """Values far below a cent, some months without any."""
+    series = S.monthly_revenue_series(Warehouse(spark, sf).orders)
+    share = F.when(F.substring("month", 6, 2).cast("int") % 5 != 0, F.col("revenue").cast("double") / F.lit(1e9))
+    return I.moving_average(series.withColumn("share", share).select("month", "month_idx", "share"), "month", "month_idx", "share", 3)
+
+
 # ---------------------------------------------------------------- limits
 
 @register("limit_wrapped", f"SELECT * FROM ({MONTHLY_SQL} ORDER BY month) LIMIT 5")

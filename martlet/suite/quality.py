@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from martlet.functions import fixed
 from martlet.functions.exprs import round6
 from martlet.operators import clean as CL
+from martlet.operators import inclusion as INC
 from martlet.operators import ingest as IG
 from martlet.operators import insights as I
 from martlet.operators import profile as PR
@@ -24,6 +25,7 @@ from martlet.operators import rollups as R
 from martlet.operators import star as S
 from martlet.session import TABLES, Warehouse, scratch_path
 from martlet.sources import files as SRC
+from martlet.sources import profile_store as STORE
 from martlet.sources import sinks as SNK
 from martlet.suite.insight import ANOMALY_SQL, MONTHLY_SQL, TREND_SQL, txt2
 from martlet.suite.registry import register
@@ -164,6 +166,30 @@ def sink_append_roundtrip(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("sink_append_once", """
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag IN ('A', 'R')
+UNION ALL SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'N'""")
+def sink_append_once(spark, sf):
+    """Batches that are sent twice land once; a batch's retry replaces it."""
+    li = Warehouse(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    batch = lambda flag: li.where(F.col("l_returnflag") == flag).drop("l_returnflag")
+    path = scratch_path(spark, "batches")
+    SNK.append_batch(batch("A"), path, "A")
+    SNK.append_batch(batch("R").limit(1), path, "R")
+    SNK.append_batch(batch("R"), path, "R")
+    SNK.append_new_batches(li, path, "l_returnflag")  # only N is new
+    return SNK.read_batches(spark, path)
+
+
+@register("sink_replace", "SELECT n_regionkey, COUNT(*) AS nations FROM nation GROUP BY n_regionkey")
+def sink_replace(spark, sf):
+    """A table replaced by rows made from itself."""
+    path = scratch_path(spark, "replaced")
+    SNK.replace_table(Warehouse(spark, sf).nation, path)
+    SNK.replace_table(spark.read.parquet(path).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("nations")), path)
+    return spark.read.parquet(path)
+
+
 @register("sink_csv_roundtrip", f"""
 SELECT p_name, CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))))
        AS DECIMAL(38,2)) AS total_revenue
@@ -306,6 +332,13 @@ def clean_drop_duplicates(spark, sf):
     return CL.drop_exact_duplicates(_messy_named(spark, sf))
 
 
+@register("clean_drop_wide_duplicates", """
+SELECT DISTINCT text, lang, source FROM documents""")
+def clean_drop_wide_duplicates(spark, sf):
+    """Whole texts: only rows whose fingerprint repeats are shuffled in full."""
+    return CL.drop_exact_duplicates(Warehouse(spark, sf).documents.select("text", "lang", "source"), wide=True)
+
+
 @register("clean_drop_all_null_columns", f"""WITH {MESSY_SQL}
 SELECT {_named('', [n for n in CLEAN_NAMES if n != 'empty'], [f'c{i}' for i in range(11) if i != 8])} FROM messy""")
 def clean_drop_all_null_columns(spark, sf):
@@ -389,6 +422,28 @@ def coerce_more_dates(spark, sf):
     return coerced
 
 
+# Spellings that need the column's shapes: by day of the month, and an offset.
+CENSUS_DATES = ["M/d/yy", "d/M/yyyy", "MM-dd-yyyy", "yyyy.MM.dd", "EEEE, MMMM d, yyyy", "d MMM yy", "d-MMM-yy", "yyyyMMdd'T'HHmmss",
+                "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'"]
+
+
+@register("coerce_census_dates", f"""
+WITH o AS (SELECT o_orderkey, o_orderdate, CAST(o_orderkey % {len(CENSUS_DATES)} AS INTEGER) AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k = 1 AND day(o_orderdate) <= 12
+                        THEN CAST(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) AS TIMESTAMP)
+                        WHEN k = 9 THEN o_orderdate - INTERVAL 2 HOUR ELSE o_orderdate END AS order_date
+FROM o""")
+def coerce_census_dates(spark, sf):
+    """Ten spellings in one column: ambiguous ones are month first where that is
+    a date, offsets become the UTC time."""
+    o = Warehouse(spark, sf).orders
+    text = F.lit(None).cast("string")
+    for k, fmt in enumerate(CENSUS_DATES):
+        text = F.when(F.col("o_orderkey") % len(CENSUS_DATES) == k, F.date_format("o_orderdate", fmt)).otherwise(text)
+    coerced, _ = CL.coerce_types(o.select("o_orderkey", text.alias("order_date")))
+    return coerced
+
+
 @register("infer_wide_integers", """
 SELECT o_orderkey, '99999' || lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS account, o_custkey AS padded,
        CAST(o_totalprice AS DOUBLE) AS price FROM orders""")
@@ -562,6 +617,13 @@ def check_unique_lineitem(spark, sf):
     return PR.check_unique(Warehouse(spark, sf).lineitem, ["l_orderkey", "l_linenumber"])
 
 
+@register("check_unique_custkey", """
+SELECT o_custkey, COUNT(*) AS occurrences FROM orders GROUP BY o_custkey HAVING COUNT(*) > 1""")
+def check_unique_custkey(spark, sf):
+    """One dense integer key: by bitmaps."""
+    return PR.check_unique(Warehouse(spark, sf).orders, ["o_custkey"])
+
+
 @register("check_fk_orders", """
 SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
 def check_fk_orders(spark, sf):
@@ -648,6 +710,71 @@ def key_candidates(spark, sf):
     return PR.key_candidates({t: getattr(wh, t) for t in TABLES})
 
 
+_CLASS_OF = {"int": "integer", "bigint": "integer", "string": "text", "timestamp_ntz": "time"}
+
+
+def _foreign_keys_sql() -> str:
+    """All distinct values of all columns in one table; a column is contained in
+    a key if as many of its values as it has meet one of the key's."""
+    parts = [f"SELECT '{_CLASS_OF[typ]}' AS kind, '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v, COUNT(*) AS n "
+             f"FROM {t} GROUP BY {c}" for t, cols in TABLE_SCHEMAS.items() for c, typ in cols if typ in _CLASS_OF]
+    return f"""WITH vals AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+cols AS (SELECT kind, t, c, COUNT(v) AS n_values, SUM(n) = COUNT(v) AND COUNT(*) = COUNT(v) AS is_key FROM vals GROUP BY kind, t, c),
+met AS (SELECT x.t AS ct, x.c AS cc, y.t AS pt, y.c AS pc, COUNT(*) AS n
+        FROM vals x JOIN vals y ON x.kind = y.kind AND x.v = y.v JOIN cols k ON y.t = k.t AND y.c = k.c AND k.is_key
+        WHERE x.t <> y.t OR x.c <> y.c GROUP BY ALL)
+SELECT ct AS child_table, cc AS child_column, pt AS parent_table, pc AS parent_column, n AS child_values, p.n_values AS parent_values
+FROM met JOIN cols c ON c.t = ct AND c.c = cc AND c.n_values = met.n JOIN cols p ON p.t = pt AND p.c = pc"""
+
+
+@register("foreign_key_candidates", _foreign_keys_sql())
+def foreign_key_candidates(spark, sf):
+    """PRF-9: inclusions of columns in keys, over all tables."""
+    wh = Warehouse(spark, sf)
+    return INC.foreign_keys({t: getattr(wh, t) for t in TABLES})
+
+
+def _store_sql() -> str:
+    cols = [("o_orderkey", "measure"), ("o_custkey", "measure"), ("o_orderstatus", None), ("o_totalprice", "measure"),
+            ("o_orderdate", "date"), ("o_orderpriority", None)]
+    parts = [f"SELECT {i} AS position, '{c}' AS name, COUNT(*) AS rows, COUNT({c}) AS non_null, COUNT(DISTINCT {c}) AS u, "
+             f"CASE WHEN '{kind or ''}' <> '' THEN '{kind or ''}' WHEN COUNT(DISTINCT {c}) <= 50 THEN 'dimension' ELSE 'text' END AS role "
+             f"FROM orders" for i, (c, kind) in enumerate(cols)]
+    return f"""SELECT position, name, rows, non_null, CASE WHEN u <= 4096 OR u = rows THEN u END AS n_unique, role,
+       u = rows AND non_null = rows AS is_key FROM ({' UNION ALL '.join(parts)})"""
+
+
+@register("profile_store_update", _store_sql())
+def profile_store_update(spark, sf):
+    """The profile of a table that grew: its first files were sketched before,
+    only the later ones are scanned."""
+    orders = Warehouse(spark, sf).orders
+    table, store = scratch_path(spark, "grown"), scratch_path(spark, "store")
+    SNK.write_table(orders.where("o_orderkey % 3 <> 0"), table)
+    STORE.update(spark, table, store)
+    SNK.write_table(orders.where("o_orderkey % 3 = 0"), table, "append")
+    STORE.update(spark, table, store)
+    n = F.when(F.col("is_exact"), F.col("n_unique"))
+    return STORE.profile(spark, table, store).select("position", "name", "rows", "non_null", n.alias("n_unique"), "role", "is_key")
+
+
+@register("key_wide_decimals", """
+SELECT 'o_orderkey' AS name, COUNT(DISTINCT o_orderkey) AS n_unique, TRUE AS is_key FROM orders
+UNION ALL SELECT 'near_one', COUNT(DISTINCT o_orderkey), TRUE FROM orders
+UNION ALL SELECT 'o_custkey', COUNT(DISTINCT o_custkey), COUNT(DISTINCT o_custkey) = COUNT(*) FROM orders""")
+def key_wide_decimals(spark, sf):
+    """Decimals that differ only beyond a double's digits are told apart, by the
+    profile and by the key search."""
+    big = F.lit("90000000000000000000000000000").cast("decimal(38,0)")
+    orders = Warehouse(spark, sf).orders.select(
+        (big + F.col("o_orderkey")).cast("decimal(38,0)").alias("o_orderkey"),
+        (F.lit(1) + F.col("o_orderkey").cast("decimal(38,30)") / F.lit("1" + "0" * 22).cast("decimal(38,0)")).cast("decimal(38,30)").alias("near_one"),
+        (big + F.col("o_custkey")).cast("decimal(38,0)").alias("o_custkey"))
+    keys = PR.key_candidates({"orders": orders}).select(F.col("column_name").alias("name"), F.lit(True).alias("is_key"))
+    profile = PR.profile_columns(orders).select("name", "n_unique")
+    return profile.join(F.broadcast(keys), "name", "left").withColumn("is_key", F.coalesce("is_key", F.lit(False)))
+
+
 def _rollup(kind):
     return lambda spark, sf: PR.auto_rollup(Warehouse(spark, sf).orders, kind, as_money=True)
 

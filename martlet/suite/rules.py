@@ -8,6 +8,7 @@ from martlet.functions import fixed
 from martlet.functions.exprs import date_key, money, month_of
 from martlet.operators import star as S
 from martlet.operators import transforms as X
+from martlet.plans.hot_keys import hot_join
 from martlet.plans.joins import broadcast_if_bounded
 from martlet.session import Warehouse
 from martlet.suite.registry import register
@@ -74,9 +75,9 @@ def seasonal_adjusted(spark, sf):
 
 def _price_lines(wh):
     lines = (wh.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount")
+             .transform(hot_join, wh.part.select("p_partkey", "p_type"), "l_partkey", "p_partkey")
              .join(wh.orders.select("o_orderkey", "o_orderdate", "o_orderpriority"),
-                   F.col("l_orderkey") == F.col("o_orderkey"))
-             .join(wh.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")))
+                   F.col("l_orderkey") == F.col("o_orderkey")))
     m = F.month("o_orderdate")
     cols = X.price_line("l_extendedprice", "l_discount",
                         (F.col("p_type") == "PROMO") & m.isin(11, 12),
@@ -135,37 +136,28 @@ SELECT r_name, COUNT(*) AS items, CAST(SUM(p) AS DECIMAL(38,4)) AS expected_retu
        CAST(SUM(ret) AS BIGINT) AS actual_returns FROM l GROUP BY r_name""")
 def return_rate_rule(spark, sf):
     """Expected returns per region from the probability rule, beside the
-    actual returns. Probabilities are summed at the coarsest grain that
-    still determines them: (order) -> (customer, January?) -> nation."""
+    actual returns. Items are counted at the grain that determines their
+    probability, (category?, region, January?), level by level: per order, per
+    customer, per nation."""
     wh = Warehouse(spark, sf)
-    cat = (F.col("p_type") == "LARGE").cast("int")
+    counts = [F.sum(c).alias(c) for c in ("items", "returned")]
     per_order = (wh.lineitem.select("l_orderkey", "l_partkey", "l_returnflag")
-                 .join(wh.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-                 .groupBy("l_orderkey")
-                 .agg(F.count(F.lit(1)).alias("items"), F.sum(cat).alias("cat_items"),
-                      F.sum(S.is_return()).alias("returned")))
-    per_cust = (wh.orders.select("o_orderkey", "o_custkey", F.month("o_orderdate").alias("_m"))
+                 .transform(hot_join, wh.part.select("p_partkey", "p_type"), "l_partkey", "p_partkey")
+                 .groupBy("l_orderkey", (F.col("p_type") == "LARGE").alias("is_category"))
+                 .agg(F.count(F.lit(1)).alias("items"), F.sum(S.is_return()).alias("returned")))
+    january = F.when(F.month("o_orderdate") == 1, 1).otherwise(2)
+    per_cust = (wh.orders.select("o_orderkey", "o_custkey", january.alias("month"))
                 .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
-                .groupBy("o_custkey")
-                .agg(F.sum("items").alias("items"), F.sum("cat_items").alias("cat_items"),
-                     F.sum(F.when(F.col("_m") == 1, F.col("items")).otherwise(0)).alias("jan_items"),
-                     F.sum("returned").alias("returned")))
+                .groupBy("o_custkey", "is_category", "month").agg(*counts))
     per_nat = (wh.customer.select("c_custkey", "c_nationkey")
                .join(per_cust, F.col("c_custkey") == F.col("o_custkey"))
-               .groupBy("c_nationkey")
-               .agg(*[F.sum(c).alias(c) for c in ("items", "cat_items", "jan_items", "returned")]))
+               .groupBy("c_nationkey", "is_category", "month").agg(*counts))
     geo = S._geo(wh.nation, wh.region)
-    per_reg = (per_nat.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
-               .groupBy("r_name")
-               .agg(*[F.sum(c).alias(c) for c in ("items", "cat_items", "jan_items", "returned")]))
-    # sum of per-line probabilities, expanded term by term (exact decimals)
-    d = lambda x: F.lit(str(x)).cast("decimal(6,4)")
-    expected = (F.col("items") * d(fixed.RETURN_BASE) + F.col("cat_items") * d(fixed.RETURN_APPAREL)
-                + F.when(F.col("r_name") == "AMERICA", F.col("items") * d(fixed.RETURN_WEST)).otherwise(0)
-                + F.col("jan_items") * d(fixed.RETURN_JANUARY))
-    return per_reg.select("r_name", F.col("items").cast("bigint").alias("items"),
-                          expected.cast("decimal(38,4)").alias("expected_returns"),
-                          F.col("returned").cast("bigint").alias("actual_returns"))
+    chance = X.return_probability(F.col("is_category"), F.col("r_name") == "AMERICA", "month")
+    return (per_nat.join(geo, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name")
+            .agg(F.sum("items").cast("bigint").alias("items"),
+                 F.sum(F.col("items") * chance).cast("decimal(38,4)").alias("expected_returns"),
+                 F.sum("returned").cast("bigint").alias("actual_returns")))
 
 
 @register("return_amounts", """

@@ -146,6 +146,16 @@ def value_distribution(spark, sf):
     return R.distribution(Warehouse(spark, sf).lineitem, "l_extendedprice")
 
 
+@register("distribution_by_flag", f"""
+SELECT l_returnflag, l_linenumber, COUNT(l_extendedprice) AS n, MIN(l_extendedprice) AS min_value, MAX(l_extendedprice) AS max_value,
+       {r6('AVG(l_extendedprice)')} AS mean_value, {r6('STDDEV_POP(l_extendedprice)')} AS stddev_value,
+       {r6('QUANTILE_CONT(l_extendedprice, 0.25)')} AS p25, {r6('QUANTILE_CONT(l_extendedprice, 0.5)')} AS median,
+       {r6('QUANTILE_CONT(l_extendedprice, 0.75)')} AS p75
+FROM lineitem GROUP BY l_returnflag, l_linenumber""")
+def distribution_by_flag(spark, sf):
+    return R.distribution_by(Warehouse(spark, sf).lineitem, ["l_returnflag", "l_linenumber"], "l_extendedprice")
+
+
 @register("value_histogram", """
 WITH b AS (SELECT MIN(value) AS lo, MAX(value) AS hi FROM events)
 SELECT CAST(LEAST(FLOOR((value - lo) * 10 / (hi - lo)) + 1, 10) AS INTEGER) AS bucket,
