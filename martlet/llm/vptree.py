@@ -24,7 +24,8 @@ Defined cases: vectors that are null, empty, zero, or hold a null or a
 non-finite component take no part as query or candidate; only vectors of
 equal length are compared (each length has trees of its own). Repeated ids
 are candidates of their own, except that a query never finds a row with its
-own id. A null id takes no part. An empty table gives an empty result.
+own id. Equal query rows ask once; an id that asks with several vectors has a
+list for each. A null id takes no part. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -148,7 +149,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
         return (rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
                 .where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v")))
 
-    vectors, queries = materialise(ready(vectors), "vectors"), materialise(ready(queries), "queries")
+    vectors = materialise(ready(vectors), "vectors")
+    # equal rows ask once; one id with several vectors asks for each of them
+    queries = materialise(ready(queries).dropDuplicates(["vec_id", "v"]).withColumn("asks", F.xxhash64("v")), "queries")
     shards = max(1, -(-vectors.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
     salt = F.xxhash64("vec_id", "v")  # equal ids and equal vectors spread alike
@@ -161,7 +164,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     points = (vectors.withColumn("own", F.pmod(salt, F.lit(shards))).withColumn("other", each_block)
               .select(cell(F.col("own"), F.col("other")).alias("cell"), "vec_id", "v"))
     asked = (queries.withColumn("own", F.pmod(salt, F.lit(blocks))).withColumn("other", each_shard)
-             .select(cell(F.col("other"), F.col("own")).alias("cell"), "vec_id", "v"))
+             .select(cell(F.col("other"), F.col("own")).alias("cell"), "vec_id", "asks", "v"))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         flat = column.combine_chunks()
@@ -173,14 +176,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
             own = own.sort_by("vec_id")  # the same tree whatever order the rows came in
             tree = Tree(matrix(own["v"]), own["vec_id"].to_numpy())
             asked_ids = others["vec_id"].to_numpy()
-            for q, (d, ids) in zip(asked_ids, tree.search(matrix(others["v"]), asked_ids, k, factor)):
-                out.append((np.full(len(d), q, np.int64), ids, d))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
+            found = tree.search(matrix(others["v"]), asked_ids, k, factor)
+            for q, asks, (d, ids) in zip(asked_ids, others["asks"].to_pylist(), found):
+                out.append((np.full(len(d), q, np.int64), np.full(len(d), asks, np.int64), ids, d))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "asks", "vec_id", "score"), columns)))
 
     found = points.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(
-        run, "query_id long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        run, "query_id long, asks long, vec_id long, score double")
+    best = F.row_number().over(Window.partitionBy("query_id", "asks").orderBy("score", "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -194,7 +198,8 @@ pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(c.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))),
                           lambda a, b: a + b)) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM pairs)
+             , q.e AS asks
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, asks ORDER BY score, vec_id)::INT AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """

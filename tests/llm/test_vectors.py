@@ -65,6 +65,19 @@ def test_odd_vectors(spark):
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_a_repeated_query_loses_no_neighbour(spark):
+    import duckdb
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(100, [0.0, 1.0])] * 5 + [(200, [0.0, 2.0]), (200, [9.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cell", vptree.F.lit("x")).repartition(3)
+    got = sorted(tuple(r) for r in vptree.nearest(df, df.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score").collect())
+    assert [r[2] for r in got if r[0] == 100] == [1, 200, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert len([r for r in got if r[0] == 200]) == 20
+    con = duckdb.connect()
+    con.register("embeddings", df.select("vec_id", "embedding").toArrow())
+    want = con.execute(vptree.NEAREST_SQL).fetchall()
+    assert [(q, k, v, pytest.approx(s)) for q, k, v, s in sorted(want)] == got
+
+
 def test_many_equal_vectors():
     points = np.ones((1000, 3))
     d, ids = vptree.Tree(points, np.arange(1000)).search(points[:1], np.array([0]), 10, 1.0)[0]
