@@ -12,18 +12,22 @@ to the true level and falls after it, so the level is the maximum of
 
 A document of a source with repetition rate ``r = target / words`` is taken
 ``floor(r)`` times plus once more if its seeded hash, as a number in [0, 1),
-is below the fraction of ``r``. The hash is md5 of seed and id, so reruns and
-other engines agree.
+is below the fraction of ``r``. The hash is md5 of seed, id and the text's md5,
+so reruns and other engines agree. ``n`` equal rows (id, source and text) draw
+together for ``n * r`` copies, which are dealt out to them evenly, so that a
+source meets its target however often its rows repeat.
 
 Scale: the text is read for its word count once; per-source sums combine on
 the map side, so a source with a third of all rows is one partial row per
 task; the per-source table (one row per source) is the only thing that meets
-in one task and is broadcast only when a probe proves it small.
+in one task and is broadcast only when a probe proves it small. Rows that occur
+once stay where they are; equal ones are numbered by a range sort that cuts
+through them, so a row repeated without end loads no task more than others.
 
 Defined cases: null or empty text has size 0; a null source is a source of
 its own, ranked last; a source without any word has target 0 and its rows are
-not taken; rows with null ids draw by the md5 of their text; repeated rows
-are each taken by the same draw; an empty table gives an empty result. Other
+not taken; a null id counts as the empty string in the draw; repeated rows share
+a draw as above; an empty table gives an empty result. Other
 columns are ignored, or kept by ``mixed``.
 """
 
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 
 from martlet.llm.common import WORD_PATTERN, materialise
 from martlet.plans.joins import broadcast_if_bounded
+from martlet.plans.numbering import with_ordered_ids
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -45,9 +50,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
 
 
-def draw(doc_id: Column, text_digest: Column, seed: int) -> Column:
-    """A number in [0, 1) from seed and id (from the text where the id is null)."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), text_digest))
+def draw(doc_id: Column, digest: Column, seed: int) -> Column:
+    """A number in [0, 1) from seed, id and the text's digest."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest)
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -72,15 +77,45 @@ def source_rates(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: f
         F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
+_ROW = ("doc_id", "source", "digest")
+
+
 def _sized(docs: DataFrame) -> DataFrame:
-    digest = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("digest"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                       F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
+
+
+def _same_row(rows: DataFrame, other: DataFrame) -> Column:
+    return (rows["doc_id"].eqNullSafe(other["_doc_id"]) & rows["source"].eqNullSafe(other["_source"])
+            & (rows["digest"] == other["_digest"]))
 
 
-def _copies(rate: Column, doc_id: Column, digest: Column, seed: int) -> Column:
-    whole = F.floor(rate)
-    extra = draw(doc_id, digest, seed) < rate - whole
-    return (whole + extra.cast("bigint")).cast("bigint")
+def _copied(rows: DataFrame, counted: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """``rows(doc_id, source, digest, ...)`` with ``copies`` and their source's
+    ``source_size, target``. ``counted`` is a written table of all rows' keys."""
+    small = broadcast_if_bounded(rates.withColumnRenamed("source", "_source"))
+    rows = rows.join(small, rows["source"].eqNullSafe(small["_source"]), "inner").drop("_source")
+    u = draw(F.col("doc_id"), F.col("digest"), seed)
+
+    def total(n: Column) -> Column:
+        """Copies of ``n`` equal rows."""
+        whole = F.floor(n * F.col("rate"))
+        return (whole + (u < n * F.col("rate") - whole).cast("bigint")).cast("bigint")
+
+    several = counted.groupBy(*_ROW).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    several = materialise(several.select(*[F.col(c).alias(f"_{c}") for c in _ROW], "_n"), "repeated")
+    if several.first() is None:
+        return rows.withColumn("copies", total(F.lit(1).cast("bigint")))
+    several = broadcast_if_bounded(several)
+    once = rows.join(several, _same_row(rows, several), "left_anti").withColumn("copies", total(F.lit(1).cast("bigint")))
+    again = rows.join(several, _same_row(rows, several)).drop(*[f"_{c}" for c in _ROW]).withColumn("_t", F.monotonically_increasing_id())
+    again = with_ordered_ids(again, [*[F.col(c) for c in _ROW], F.col("_t")], "_at").drop("_t")
+    begin = again.groupBy(*_ROW).agg(F.min("_at").alias("_first"))
+    begin = broadcast_if_bounded(materialise(begin.select(*[F.col(c).alias(f"_{c}") for c in _ROW], "_first"), "firsts"))
+    again = again.join(begin, _same_row(again, begin)).drop(*[f"_{c}" for c in _ROW])
+    again = again.withColumn("_all", total(F.col("_n"))).withColumn("_nth", F.col("_at") - F.col("_first"))
+    dealt = F.floor(F.col("_all") / F.col("_n")) + (F.col("_nth") < F.col("_all") % F.col("_n")).cast("bigint")
+    return once.unionByName(again.withColumn("copies", dealt.cast("bigint")).drop("_n", "_at", "_first", "_all", "_nth"))
 
 
 def mix_sizes(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
@@ -89,12 +124,8 @@ def mix_sizes(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     taken`` (words the mix takes, repeats counted)."""
     sized = materialise(_sized(docs), "sizes")
     rates = materialise(source_rates(sized, weights, share, cap), "rates")
-    small = broadcast_if_bounded(rates.withColumnRenamed("source", "_source"))
-    rows = sized.join(small, sized["source"].eqNullSafe(small["_source"]), "inner")
-    n = _copies(F.col("rate"), F.col("doc_id"), F.col("digest"), seed)
-    return rows.withColumn("copies", n).select(
-        "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("size") * F.col("copies")).alias("taken"))
+    return _copied(sized, sized, rates, seed).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
@@ -102,13 +133,11 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     """The documents themselves, each repeated as often as the mix takes it,
     with their own columns (kept in a struct meanwhile, so that no name can
     clash)."""
-    rates = materialise(source_rates(_sized(docs).drop("digest"), weights, share, cap), "rates")
-    small = broadcast_if_bounded(rates)
-    packed = docs.select(F.struct("*").alias("_doc"))
-    rows = packed.join(small, F.col("_doc.source").eqNullSafe(small["source"]), "inner")
-    digest = F.when(F.col("_doc.doc_id").isNull(), F.md5(F.coalesce(F.col("_doc.text"), F.lit(""))))
-    n = _copies(F.col("rate"), F.col("_doc.doc_id"), digest, seed)
-    return (rows.select("_doc", n.alias("n")).where("n > 0")
+    sized = materialise(_sized(docs), "sizes")
+    rates = materialise(source_rates(sized, weights, share, cap), "rates")
+    packed = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
+    rows = _copied(packed, sized, rates, seed)
+    return (rows.select("_doc", F.col("copies").alias("n")).where("n > 0")
             .select("_doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("n"))
             .select("_doc.*"))
 
@@ -116,7 +145,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS digest
+         md5(coalesce(text, '')) AS digest
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -134,12 +163,14 @@ rates AS (
   FROM levels),
 drawn AS (
   SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.rate,
-         ('0x' || substr(md5('17:' || coalesce(s.doc_id::VARCHAR, s.digest)), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)
+         count(*) OVER (PARTITION BY s.doc_id, s.source, s.digest) AS n,
+         row_number() OVER (PARTITION BY s.doc_id, s.source, s.digest) - 1 AS nth,
+         ('0x' || substr(md5('17:' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.digest), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
+dealt AS (SELECT *, (floor(n * rate) + (u < n * rate - floor(n * rate))::INT)::BIGINT AS total FROM drawn)
 """
 MIX_SIZES_SQL = MIX_SQL + """
-SELECT doc_id, source, size, source_size, target,
-       (floor(rate) + (u < rate - floor(rate))::INT)::BIGINT AS copies,
-       (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken
-FROM drawn
+SELECT doc_id, source, size, source_size, target, (total // n + (nth < total % n)::INT)::BIGINT AS copies,
+       (size * (total // n + (nth < total % n)::INT))::BIGINT AS taken
+FROM dealt
 """

@@ -82,6 +82,20 @@ def test_mix_repeats_rows_as_counted_and_reruns_agree(spark):
     assert max(copies.values()) <= 2
 
 
+def test_repeated_ids_meet_the_target(spark):
+    """A source whose rows repeat one id, with equal and with different texts."""
+    words = "w " * 100
+    docs = spark.range(1000).selectExpr("id AS doc_id", f"concat('{words}', id) AS text", "'s1' AS source").unionByName(
+        spark.range(2000).selectExpr("-1L AS doc_id", f"IF(id % 2 = 0, '{words} x', concat('{words}', id)) AS text", "'s2' AS source"))
+    rows = mixing.mix_sizes(docs.repartition(4))
+    per = {r.source: r for r in rows.groupBy("source").agg(*[mixing.F.sum("taken").alias("taken"), mixing.F.max("target").alias("target"),
+                                                             mixing.F.max("copies").alias("most")]).collect()}
+    assert all(abs(r.taken - r.target) <= 0.03 * r.target and r.most <= 2 for r in per.values())
+    again = {tuple(r): n for r, n in Counter(mixing.mix_sizes(docs.repartition(7)).collect()).items()}
+    assert again == {tuple(r): n for r, n in Counter(rows.collect()).items()}
+    assert mixing.mixed(docs).where("source = 's2'").count() == rows.where("source = 's2'").agg(mixing.F.sum("copies")).first()[0]
+
+
 def test_level_equals_resharing_the_excess(spark):
     """The water level against the contract's iteration."""
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 50), ("d", 3), (None, 7)], "source string, size long")
