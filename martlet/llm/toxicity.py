@@ -15,12 +15,17 @@ of distinct words of the text that hold it, so a word's contribution is the
 same in every text and each task computes it once per word.
 
 Bounds: training takes at most ``MOST_POSITIVE`` confirmed examples and
-``MOST_UNLABELLED`` unlabelled texts, drawn by a seeded hash of the id, and
-keeps at most ``MOST_FEATURES`` features by their likelihood ratio between P
+``MOST_UNLABELLED`` unlabelled texts (parameters of ``train``), drawn by a seeded
+hash of the id, one text of each id, and keeps at most ``MOST_FEATURES`` features by their likelihood ratio between P
 and U. Candidate features are counted in Spark; each of ``CLASSIFIERS``
 numpy classifiers is trained in a task of its own on a resampled P and U, and
 their weights are averaged. Scoring covers every whole text.
 
+The class prior is a parameter; without it, the share of confirmed toxic among
+the labelled, or, where only toxic ones are labelled, an estimate from P and U:
+every n-gram is in U at least the prior times as often as in P, so the least
+such ratio (with three standard errors) bounds the prior.
+
 Defined cases: null or empty texts have no words and get the score of the
 intercept. Without confirmed examples every score is the prior (0 without
 labels). Repeated ids count once as examples; repeated rows are scored alike.
@@ -101,16 +106,18 @@ class Model:
         return GramFinder(self.weights)
 
 
-def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bounded training sample: ``positive, text``."""
+def _examples(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int) -> DataFrame:
+    """The bounded training sample, one text of each id: ``positive, text``."""
     order = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     p = (labels.where(usable & (F.col("toxic") == 1)).select("doc_id").distinct()
-         .orderBy(order, "doc_id").limit(MOST_POSITIVE).withColumn("positive", F.lit(1)))
+         .orderBy(order, "doc_id").limit(most_positive).withColumn("positive", F.lit(1)))
     u = (docs.where(usable).select("doc_id").distinct()
-         .orderBy(order, "doc_id").limit(MOST_UNLABELLED).withColumn("positive", F.lit(0)))
-    chosen = F.broadcast(p.unionByName(u))  # at most MOST_POSITIVE + MOST_UNLABELLED ids
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("positive", "text")
+         .orderBy(order, "doc_id").limit(most_unlabelled).withColumn("positive", F.lit(0)))
+    chosen = F.broadcast(p.unionByName(u))  # at most most_positive + most_unlabelled ids
+    found = docs.select("doc_id", "text").join(chosen, "doc_id")
+    # rows of an id combine on the map side
+    return found.groupBy("positive", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("positive", "text")
 
 
 def _count_grams(sample: DataFrame) -> DataFrame:
@@ -180,19 +187,32 @@ def fit_nnpu(positive: np.ndarray, doc: np.ndarray, feature: np.ndarray, value:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def _prior_bound(counted: DataFrame, n_p: int, n_u: int) -> float:
+    """The least ratio of an n-gram's share in U to its share in P, over n-grams
+    that a tenth of P holds."""
+    u = F.col("u") + 3 * F.sqrt(F.col("u")) + 3
+    ratio = (u / n_u) / (F.col("p") / n_p)
+    return counted.where(F.col("p") >= max(5, n_p / 10)).agg(F.min(ratio)).first()[0] or 0.5
+
+
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE,
+          most_unlabelled: int = MOST_UNLABELLED) -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    if not prior:
+    seen = known.agg(F.avg(F.col("toxic").cast("double")).alias("share"), F.min("toxic").alias("least")).first()
+    if not seen["share"]:
         return Model({}, -30.0)
-    prior = min(max(prior, 0.001), 0.9)
-    sample = materialise(_examples(docs, labels), "toxic-sample")
+    guess = prior is None and seen["least"] == 1  # only toxic ones are labelled
+    prior = min(max(seen["share"] if prior is None else prior, 0.001), 0.9)
+    sample = materialise(_examples(docs, labels, most_positive, most_unlabelled), "toxic-sample")
     spread = sample.repartition(24)
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
         return Model({}, math.log(prior / (1 - prior)))
     counted = _count_grams(spread).where("p + u >= 5")
+    if guess:
+        counted = materialise(counted, "toxic-grams")
+        prior = min(max(_prior_bound(counted, n_p, n_u), 0.001), 0.5)
     best = (counted.withColumn("ratio", _likelihood_ratio(F.col("p"), F.col("u"), n_p, n_u))
             .where(F.col("ratio") >= LEAST_RATIO)
             .orderBy(F.desc("ratio"), "gram").limit(MOST_FEATURES).select("gram").collect())

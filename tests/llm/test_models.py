@@ -166,3 +166,31 @@ def test_toxicity_odd_rows(spark):
 def test_words_hold_their_borders(word):
     grams = toxicity.grams_of(word)
     assert f"<{word}>" in grams and all(g in f"<{word}>" for g in grams)
+
+
+def test_positive_labels_alone_do_not_flag_the_rest(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_CHECK}/labels.parquet")
+    predicted = {r.doc_id: r.predicted for r in toxicity.judge(docs, labels.where("toxic = 1")).where("held_out").collect()}
+    clean = [r.doc_id for r in labels.where("toxic = 0").collect() if r.doc_id in predicted]
+    toxic = [r.doc_id for r in labels.where("toxic = 1").collect() if r.doc_id in predicted]
+    assert sum(predicted[d] for d in clean) <= 0.05 * len(clean) and sum(predicted[d] for d in toxic) >= 0.8 * len(toxic)
+
+
+def test_the_sample_holds_one_text_of_each_id(spark):
+    docs = spark.range(3000).selectExpr("IF(id % 3 = 0, 1, id) AS doc_id", "concat('text ', id % 7) AS text")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(80) if i % 3], "doc_id long, toxic int")
+    sample = toxicity._examples(docs, labels, 5, 9)
+    assert {r.positive: r.n for r in sample.groupBy("positive").agg(toxicity.F.count("text").alias("n")).collect()} == {1: 5, 0: 9}
+
+
+def test_scores_equal_a_plain_sum_over_words_and_grams(spark):
+    """Features by brute force: every n-gram of every distinct word."""
+    import math as m
+    weights = {"<ba": 0.5, "bad>": 1.25, "<bad>": -0.25, "ugl": 2.0, "<an": 0.125, "ooo": 4.0}
+    texts = [None, "", "Bad bad BAD!", "an ugly, baddie; ooooo", "good 123 ugl", "àn bad-ugly"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.Model(weights, -1.0)).collect()}
+    for i, t in enumerate(texts):
+        z = -1.0 + sum(weights.get(g, 0.0) for w in toxicity.words_of(t) for g in toxicity.grams_of(w))
+        assert abs(got[i] - 1 / (1 + m.exp(-z))) < 1e-12
