@@ -64,4 +64,4 @@ def test_odd_rows_pass_every_stage(spark):
 def test_registered(spark):
     import __spark_entry__
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
