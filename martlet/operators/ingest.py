@@ -33,8 +33,8 @@ def build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
 
     Scans: the input twice (typing aggregate, which also counts the rows
     read; the deduplicating write), the deduplicated rows for the coercion
-    counts and for the fact write, the fact once for the profile and once for
-    ALL dimensions together."""
+    counts and for the fact write, the fact's open texts once for their roles
+    and its dimension columns once for ALL dimensions together."""
     spark = raw.sparkSession
     if not raw.columns:
         raise ValueError("CSV parsed to a table with no columns.")
@@ -45,12 +45,11 @@ def build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
     fact_path = os.path.join(out_dir, PR.fact_table_name(prefix))
     write_table(cleaned, fact_path, "overwrite")
     fact = spark.read.parquet(fact_path)
-    roles = PR.classify_roles(PR.profile_columns(fact))
-    bp, _ = PR.build_blueprint(roles, prefix)
+    bp, _ = PR.build_blueprint(PR.column_roles(fact), prefix)
     tables = {bp.fact_table: fact_path}
     dim_cols = list(bp.dim_tables.values())
     # dimension columns hold <= MAX_DIMENSION_CARDINALITY values (exact
-    # profile), so all of them come from one grouping-sets pass
+    # sketches), so all of them come from one grouping-sets pass
     values = PR.dimension_values(fact, dim_cols) if dim_cols else None
     for dim_table, column in bp.dim_tables.items():
         path = os.path.join(out_dir, dim_table)

@@ -232,3 +232,13 @@ def test_warehouse_profile_counts_long_text_exactly(spark):
     assert got["t"]["n_unique"] == 6 and got["t"]["null_count"] == 1
     assert got["v"]["n_unique"] == 3 and got["v"]["rows"] == 8
     assert not got["t"]["is_key_candidate"]
+
+
+def test_roles_by_sketch_equal_roles_by_profile(spark):
+    df = spark.range(400).selectExpr(
+        "id", "id % 50 AS few", "concat('v', id % 50) AS fifty", "concat('v', id % 51) AS more", "concat('x', id) AS order_ref",
+        "date_add(DATE '2024-01-01', CAST(id AS INT)) AS day", "id % 2 = 0 AS flag", "CAST(NULL AS STRING) AS nothing")
+    want = PR.classify_roles(PR.profile_columns(df)).select("position", "name", "role").collect()
+    assert sorted(PR.column_roles(df).collect()) == sorted(want)
+    plan = PR.column_sketches(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
