@@ -26,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [k for k in os.environ.get("BENCH_ONLY", "").split(",") if k]
 
-    from martlet.session import TABLES, build_session
+    from martlet.session import TABLES, build_session, remove_scratch
     from martlet.suite import ORACLE, QUERIES
 
     input_bytes = sum(os.path.getsize(os.path.join(root, f))
@@ -63,6 +63,7 @@ def main() -> None:
                 con.execute(ORACLE[k]).fetchall()
                 otimes[k] = round(time.perf_counter() - t0, 3)
         out["oracle_duckdb"] = {"value": round(sum(otimes.values()), 3), "queries": otimes}
+    remove_scratch(spark)
     print(json.dumps(out))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from martlet.operators import clean as CL
 from martlet.operators import profile as PR
+from martlet.session import scratch_run
 from martlet.sources.sinks import write_table
 
 
@@ -35,6 +36,11 @@ def build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
     read; the deduplicating write), the deduplicated rows for the coercion
     counts and for the fact write, the fact's open texts once for their roles
     and its dimension columns once for ALL dimensions together."""
+    with scratch_run(raw.sparkSession):  # everything is written to ``out_dir`` when it ends
+        return _build_star(raw, prefix, out_dir)
+
+
+def _build_star(raw: DataFrame, prefix: str, out_dir: str) -> StarResult:
     spark = raw.sparkSession
     if not raw.columns:
         raise ValueError("CSV parsed to a table with no columns.")

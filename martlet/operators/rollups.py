@@ -10,7 +10,7 @@ unique tie-breaker so results are deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +110,7 @@ def avg_by(df: DataFrame, dim: str, metric: ColumnOrName, name: str = "avg_value
             .orderBy(F.col(name).desc_nulls_last(), F.col(dim).asc_nulls_last()))
 
 
+_PROBS = (0.25, 0.5, 0.75)
 QUANTILE_SKETCH_ACCURACY = 1_000
 QUANTILE_BRACKET = 4.0 / QUANTILE_SKETCH_ACCURACY
 
@@ -124,6 +125,11 @@ def _ranked_values(v: DataFrame, wanted: list[int]) -> dict[int, float]:
 
 
 def exact_quantiles(df: DataFrame, metric: str, probs: list[float]) -> list[float | None]:
+    """Exact quantiles of ``metric`` (see ``_quantiles_and``)."""
+    return _quantiles_and(df, metric, probs, [])[0]
+
+
+def _quantiles_and(df: DataFrame, metric: str, probs: list[float], more: list[Column]) -> tuple[list[float | None], Row]:
     """Exact linear-interpolation quantiles without sorting the whole column
     and without collecting values into one buffer (``percentile`` keeps
     every value of a group in one task).
@@ -135,17 +141,19 @@ def exact_quantiles(df: DataFrame, metric: str, probs: list[float]) -> list[floa
     inside it. Job 3 range-sorts only the bracketed values (about
     2 x bracket x n rows per quantile, tagged by quantile) and fetches the
     <= 2 rows per quantile at the needed positions. If a bracket cannot be
-    proven, the whole column is range-sorted instead; both paths are exact."""
+    proven, the whole column is range-sorted instead; both paths are exact.
+    ``more`` aggregates of the values ``v`` ride on job 1; they and the count ``n``
+    are the second result."""
     import math
 
     v = df.select(nan_to_null(F.col(metric).cast("double")).alias("v")).filter(F.col("v").isNotNull())
     lows = [max(0.0, p - QUANTILE_BRACKET) for p in probs]
     highs = [min(1.0, p + QUANTILE_BRACKET) for p in probs]
     first = v.agg(F.count(F.lit(1)).alias("n"),
-                  F.percentile_approx("v", lows + highs, QUANTILE_SKETCH_ACCURACY).alias("b")).first()
+                  F.percentile_approx("v", lows + highs, QUANTILE_SKETCH_ACCURACY).alias("b"), *more).first()
     n = first["n"]
     if n == 0:
-        return [None for _ in probs]
+        return [None for _ in probs], first
     spots = [((n - 1) * p, math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in probs]
     k = len(probs)
     lo, hi = first["b"][:k], first["b"][k:]
@@ -157,7 +165,7 @@ def exact_quantiles(df: DataFrame, metric: str, probs: list[float]) -> list[floa
     if not all(below[i] <= a and below[i] + inside[i] > b for i, (_, a, b) in enumerate(spots)):
         wanted = sorted({x for _, a, b in spots for x in (a, b)})
         at = _ranked_values(v, wanted)
-        return [at[a] + (h - a) * (at[b] - at[a]) for h, a, b in spots]
+        return [at[a] + (h - a) * (at[b] - at[a]) for h, a, b in spots], first
     # bracket i occupies positions [start_i, start_i + inside_i) of the
     # (quantile, value)-ordered subset; shift by below_i to the column rank
     start = [sum(inside[:i]) for i in range(k)]
@@ -168,35 +176,34 @@ def exact_quantiles(df: DataFrame, metric: str, probs: list[float]) -> list[floa
     want = {start[i] + x - below[i]: (i, x) for i, (_, a, b) in enumerate(spots) for x in (a, b)}
     got = {r["pos"]: r["v"] for r in ranked.filter(F.col("pos").isin(list(want))).select("pos", "v").collect()}
     at = {want[pos]: val for pos, val in got.items()}
-    return [at[(i, a)] + (h - a) * (at[(i, b)] - at[(i, a)]) for i, (h, a, b) in enumerate(spots)]
+    return [at[(i, a)] + (h - a) * (at[(i, b)] - at[(i, a)]) for i, (h, a, b) in enumerate(spots)], first
 
 
 def distribution(df: DataFrame, metric: str, exact: bool = True) -> DataFrame:
     """One-row spread: count, min, max, mean, population stddev, quartiles.
-    Exact quartiles use a distributed sort (see ``exact_quantiles``);
-    ``exact=False`` uses ``percentile_approx`` (a bounded sketch per
-    partition, one pass)."""
-    m = nan_to_null(F.col(metric).cast("double"))
-    if exact:
-        q = [F.lit(x).cast("double") for x in exact_quantiles(df, metric, [0.25, 0.5, 0.75])]
-    else:
-        q = [F.percentile_approx(m, p, 10000) for p in (0.25, 0.5, 0.75)]
-    return df.agg(
-        F.count(m).alias("n"),
-        F.min(m).alias("min_value"),
-        F.max(m).alias("max_value"),
-        round6(F.avg(m)).alias("mean_value"),
-        round6(F.stddev_pop(m)).alias("stddev_value"),
-        round6(q[0]).alias("p25"),
-        round6(q[1]).alias("median"),
-        round6(q[2]).alias("p75"),
-    )
+    Exact quartiles use a distributed sort of a small part of the values (see
+    ``_quantiles_and``), whose first pass takes the other statistics along;
+    ``exact=False`` uses ``percentile_approx`` (a bounded sketch per partition,
+    one pass)."""
+    def spread(m: Column) -> list[Column]:
+        return [F.min(m).alias("min_value"), F.max(m).alias("max_value"), round6(F.avg(m)).alias("mean_value"),
+                round6(F.stddev_pop(m)).alias("stddev_value")]
+
+    names = ("p25", "median", "p75")
+    if not exact:
+        m = nan_to_null(F.col(metric).cast("double"))
+        return df.agg(F.count(m).alias("n"), *spread(m),
+                      *[round6(F.percentile_approx(m, p, 10000)).alias(q) for p, q in zip(_PROBS, names)])
+    found, row = _quantiles_and(df, metric, list(_PROBS), spread(F.col("v")))
+    rest = ("min_value", "max_value", "mean_value", "stddev_value")
+    return df.sparkSession.range(1).select(
+        F.lit(row["n"]).cast("bigint").alias("n"), *[F.lit(row[c]).cast("double").alias(c) for c in rest],
+        *[round6(F.lit(x).cast("double")).alias(q) for x, q in zip(found, names)])
 
 
 KLL_K = 2_000
 #: A quantile is looked for this far to either side of its rank (4 errors of a sketch of KLL_K).
 KLL_BRACKET = 0.008
-_PROBS = (0.25, 0.5, 0.75)
 
 
 def distribution_by(df: DataFrame, dims: list[str], metric: str, exact: bool = True) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,11 +96,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_runs: list[str] = []
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "martlet-scratch", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared checkpoint location for written
-    intermediate tables and file round trips."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "martlet-scratch", f"{label}-{uuid.uuid4().hex}")
+    """A fresh folder for written intermediate tables and file round trips, below
+    this application's folder in the shared checkpoint location (or that of the
+    innermost ``scratch_run``)."""
+    return os.path.join(_runs[-1] if _runs else _own_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside go to a folder of their own, which is
+    removed at the end: for work whose results are written elsewhere by then.
+    Results that are still to be computed lazily must not leave it."""
+    folder = os.path.join(_own_folder(spark), f"run-{uuid.uuid4().hex}")
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        _remove(spark, folder)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove everything that this application wrote as intermediate tables."""
+    _remove(spark, _own_folder(spark))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Name cleaning, reading, coercion, roles and blueprint: the reference's
 unit cases re-expressed on small Spark inputs."""
 
+import os
+
 import pytest
 
 from martlet.operators import clean as CL
@@ -242,3 +244,17 @@ def test_roles_by_sketch_equal_roles_by_profile(spark):
     assert sorted(PR.column_roles(df).collect()) == sorted(want)
     plan = PR.column_sketches(df)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+def test_build_star_leaves_no_intermediate_tables(spark, tmp_path):
+    from martlet.session import _own_folder, scratch_path, scratch_run
+    own = _own_folder(spark).removeprefix("file:")
+    listed = lambda: set(os.listdir(own)) if os.path.isdir(own) else set()
+    before = listed()
+    df = spark.createDataFrame([(str(i), f"v{i % 3}", "long text " * 90 + str(i)) for i in range(60)] * 2, "id string, kind string, note string")
+    star = IG.build_star(df, "kept", str(tmp_path / "star"))
+    assert listed() == before and spark.read.parquet(star.tables["kept_fact"]).count() == 60
+    with scratch_run(spark) as folder:
+        spark.range(3).write.parquet(scratch_path(spark, "x"))
+        assert os.listdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))

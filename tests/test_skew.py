@@ -16,6 +16,8 @@ HOT_KEYS = [
     "q_rollup_month_region", "q_star_wide", "q_order_value_outliers", "check_unique_lineitem",
     "check_fk_orders", "rollup_orders", "price_lines", "value_distribution", "warehouse_profile",
     "slug_keys", "question_table_rank", "clean_drop_duplicates", "profile_orders", "result_match",
+    "return_rate_rule", "distribution_by_flag", "check_unique_custkey", "sink_append_once", "foreign_key_candidates",
+    "clean_drop_wide_duplicates", "coerce_census_dates", "profile_store_update",
 ]
 
 
