@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlet.llm import textkit
-from martlet.llm.common import materialise
+from martlet.llm.common import lean, materialise
 from martlet.plans.joins import broadcast_if_bounded
 
 SHINGLE = 5
@@ -177,7 +177,7 @@ def features(docs: DataFrame, runs: int, levels: int = LEVELS, similarity: Fract
                 yield pa.RecordBatch.from_arrays(out, names=["k", "size", "sketch", *names])
 
     picks = ", ".join(f"{n} array<{'int' if n.startswith('from') else 'bigint'}>" for n in names)
-    return rows.mapInArrow(run, f"k long, size int, sketch binary, {picks}").dropDuplicates(["k"])
+    return rows.mapInArrow(lean(run), f"k long, size int, sketch binary, {picks}").dropDuplicates(["k"])
 
 
 def _nodes(rows: DataFrame, label: str) -> DataFrame:
@@ -240,7 +240,7 @@ def _settle(large: DataFrame, sets: DataFrame, similarity: Fraction) -> tuple[Da
               .agg(F.array_sort(F.collect_list(F.struct("k", "size", "sketch"))).alias("others")))
     beside = members.join(broadcast_if_bounded(materialise(pivots, "pivots")), "node").select(*columns, "others")
     compared = materialise(beside.mapInArrow(
-        with_pivots, "node long, at int, n long, k long, centre long, near boolean"), "compared")
+        lean(with_pivots), "node long, at int, n long, k long, centre long, near boolean"), "compared")
     dense = compared.groupBy("node").agg(F.count_if("near").alias("near"), F.count(F.lit(1)).alias("all"))
     dense = materialise(dense.where(2 * F.col("near") >= F.col("all")).select("node"), "dense")
     edges = (compared.join(dense, "node", "left_semi").where("centre <> k")
@@ -353,7 +353,7 @@ def sketch_edges(members: DataFrame, similarity: Fraction = SIMILARITY) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(k[root[at]]), pa.array(k[at])], names=["a", "b"])
 
     ordered = members.select("cell", "side", "k", "size", "sketch").repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(run, "a long, b long").where("a <> b")
+    return ordered.mapInArrow(lean(run), "a long, b long").where("a <> b")
 
 
 def _contract(edges: DataFrame, label: str) -> DataFrame:
@@ -438,7 +438,7 @@ def exact_links(members: DataFrame, similarity: Fraction = SIMILARITY) -> DataFr
 
     ordered = (members.select("cell", "side", "k", "copies", "shingles")
                .repartition("cell").sortWithinPartitions("cell"))
-    return ordered.mapInArrow(run, "k long, root long, links long")
+    return ordered.mapInArrow(lean(run), "k long, root long, links long")
 
 
 def _with_shingles(rows: DataFrame, size: int) -> DataFrame:
@@ -455,7 +455,7 @@ def _with_shingles(rows: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(blobs, pa.binary())],
                                              names=[*b.schema.names[:-1], "shingles"])
 
-    return rows.mapInArrow(run, f"{fields}, shingles binary")
+    return rows.mapInArrow(lean(run), f"{fields}, shingles binary")
 
 
 def join(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle: int = SHINGLE, recall: float = RECALL,

@@ -49,8 +49,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import materialise, repeatable
-from martlet.llm.wordtable import PACKED_SCHEMA, chunk_id, chunk_tables, pack_documents
+from martlet.llm.common import materialise, release, repeatable
+from martlet.llm.wordtable import PACKED_SCHEMA, chunks, pack_documents
 from martlet.plans.joins import broadcast_if_bounded
 
 ORDER = 4
@@ -61,6 +61,7 @@ MARGIN = 0.05
 LEAST_TRUSTED = 50
 HELD_OUT = 4
 BATCH_CHARS = 512 << 10
+CHUNK_CHARS = 16 << 20
 
 
 def gram_keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +99,7 @@ def list_grams(docs: DataFrame, order: int) -> DataFrame:
     ``docs(..., trusted, text)`` and their number in its documents with 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunk_tables(batches):
+        for chunk, table in chunks(batches, CHUNK_CHARS):
             trusted = table["trusted"].to_numpy() == 1
             keys, counts = [], []
             for i, j, texts in _text_runs(table):
@@ -109,12 +110,12 @@ def list_grams(docs: DataFrame, order: int) -> DataFrame:
                 counts.append(np.bincount(codes[weight], minlength=len(uniques)))
             key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-            chunk = chunk_id(table)
             for a in range(0, len(key), 100_000):
                 k = key[a:a + 100_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(k), chunk)), pa.array(k), pa.array(n[a:a + 100_000])],
                     names=["chunk", "gram", "n"])
+            release()
 
     return docs.mapInArrow(run, "chunk long, gram long, n long")
 
@@ -205,10 +206,11 @@ def score(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER,
             rows = table.drop_columns(["_text"])
             rows = rows.append_column("n_chars", pa.array(np.concatenate(sizes).astype(np.int64)))
             out.append(rows.append_column("log_prob", pa.array(np.concatenate(sums))))
+        release()
         return pa.concat_tables(out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    packed = marked.mapInArrow(pack_documents, PACKED_SCHEMA)
+    packed = marked.mapInArrow(lambda batches: pack_documents(batches, CHUNK_CHARS), PACKED_SCHEMA)
     scored = packed.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(
         meet, f"{fields}, trusted int, n_chars long, log_prob double")
     return scored.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_chars")))

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import materialise
+from martlet.llm.common import lean, materialise, release
 
 MOST_POSITIVE = 4000
 MOST_UNLABELLED = 8000
@@ -145,7 +145,7 @@ def _count_grams(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(g), *[pa.array(counts[side, i:i + len(g)]) for side in (0, 1)]], names=["gram", "p", "u"])
 
-    return sample.mapInArrow(run, "gram string, p long, u long").groupBy("gram").agg(
+    return sample.mapInArrow(lean(run), "gram string, p long, u long").groupBy("gram").agg(
         F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
@@ -242,9 +242,11 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
         seed = table["seed"][0].as_py()
         w = fit_nnpu(table["positive"].to_numpy() == 1, doc, np.concatenate(feature), np.concatenate(value),
                      n_features, prior, seed)
+        del feature, value, doc
+        release()
         return pa.table({"seed": pa.array([seed], pa.int32()), "weights": pa.array([w], pa.list_(pa.float64()))})
 
-    encoded = spread.mapInArrow(encode, "positive int, feature array<int>, value array<int>, digest long")
+    encoded = spread.mapInArrow(lean(encode), "positive int, feature array<int>, value array<int>, digest long")
     copies = encoded.withColumn("seed", F.explode(F.array(*[F.lit(SEED + k) for k in range(CLASSIFIERS)])))
     fitted = copies.groupBy("seed").applyInArrow(fit, "seed int, weights array<double>").collect()
     w = np.mean([r["weights"] for r in sorted(fitted, key=lambda r: r["seed"])], axis=0)
@@ -274,7 +276,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(lean(run), f"{fields}, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,8 +1,8 @@
 """Distinct-word tables joined back by position.
 
 Documents are taken in chunks, runs of whole documents of about
-``CHUNK_CHARS`` characters inside one input partition. Two passes over the
-same input share them:
+``CHUNK_CHARS`` characters and at most ``CHUNK_ROWS`` rows inside one input
+partition. Two passes over the same input share them:
 
 1. each chunk lists its distinct words, dealt to shards (one row per chunk and
    shard); a shard sees each distinct word once per chunk, keeps one of each
@@ -12,9 +12,12 @@ same input share them:
 
 So a word travels once per chunk instead of once per occurrence, whatever its
 frequency, and no task holds more than one chunk or one shard; the number of
-shards follows the input. A chunk's id is a hash of its texts: a chunk that is
-computed again after a lost executor has the same id and the same words, in
-the same (hash) order. Words are told apart inside a chunk by 64-bit hashes."""
+shards follows the input. A chunk's id is a hash of its texts and its place
+(partition and number), so that copied partitions are chunks of their own: a
+chunk that is computed again after a lost executor has the same id and the same
+words, in the same (hash) order. Words are told apart inside a chunk by 64-bit
+hashes. Tasks give freed memory back after each chunk: workers live on through
+a job's stages, and what their allocators keep would add up."""
 
 from __future__ import annotations
 
@@ -27,13 +30,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.llm import pretokens, textkit
-from martlet.llm.common import repeatable, shard_count, text_bytes
+from martlet.llm.common import release, repeatable, shard_count, text_bytes
 
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 6 << 20
+CHUNK_ROWS = 1 << 16
 BATCH_CHARS = 512 << 10
 SHARD_BYTES = 24 << 20
 
@@ -52,47 +57,62 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack_documents(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
     """One row per chunk: its id and its documents, compressed."""
-    for table in chunk_tables(batches):
+    for chunk, table in chunks(batches, most):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema,
                                options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
             w.write_table(table)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk_id(table)], pa.int64()),
-                                          pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+        data = sink.getvalue()
+        ends = pa.py_buffer(np.array([0, data.size], "<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()),
+                                          pa.Array.from_buffers(pa.binary(), 1, [None, ends, data])],
                                          names=["chunk", "documents"])
+        del table, sink, data
+        release()
 
 
 PACKED_SCHEMA = "chunk long, documents binary"
 
 
-def chunk_tables(batches: Iterator[pa.RecordBatch], most: int = CHUNK_CHARS) -> Iterator[pa.Table]:
+def chunk_tables(batches: Iterator[pa.RecordBatch], most: int | None = None,
+                 most_rows: int | None = None) -> Iterator[pa.Table]:
     """Whole rows of one partition in runs of about ``most`` characters of the
-    last column; a longer text is a run of its own."""
+    last column and at most ``most_rows`` rows; a longer text is a run of its own."""
+    most, most_rows = most or CHUNK_CHARS, most_rows or CHUNK_ROWS
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for b in batches:
         lengths = pc.fill_null(pc.utf8_length(b.column(b.num_columns - 1)), 0)
         total = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False))])
         i = 0
         while i < b.num_rows:
-            j = int(np.searchsorted(total, total[i] + most - size, side="right")) - 1
+            j = min(int(np.searchsorted(total, total[i] + most - size, side="right")) - 1, i + most_rows - rows)
             if j <= i and held:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
                 continue
             j = max(j, i + 1)
             held.append(b.slice(i, j - i))
             size += int(total[j] - total[i])
+            rows += j - i
             i = j
     if held:
         yield pa.Table.from_batches(held)
 
 
-def chunk_id(table: pa.Table) -> int:
-    """A hash of the chunk's texts and of where each begins."""
-    h = xxhash.xxh64()
+def chunks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[int, pa.Table]]:
+    """The chunks of one partition with their ids."""
+    task = TaskContext.get()
+    first = (task.partitionId() if task else 0) << 32
+    for k, table in enumerate(chunk_tables(batches, most)):
+        yield chunk_id(table, first + k), table
+
+
+def chunk_id(table: pa.Table, place: int = 0) -> int:
+    """A hash of the chunk's texts, of where each begins, and of its place."""
+    h = xxhash.xxh64(seed=place)
     for col in table.column(table.num_columns - 1).chunks:
         for _, data, off in textkit.utf8_batches(col, 1 << 30):
             h.update(data)
@@ -113,43 +133,37 @@ class Part:
 class Index:
     hashes: np.ndarray  # of the distinct words, ascending; a word's place is its rank
     parts: list[Part]
-    spans: list[tuple[str, np.ndarray, np.ndarray]]  # texts of each part, first start and end of its words
-    first: np.ndarray  # for each place: which entry of all parts' words holds it first
-
-    def words(self) -> list[str]:
-        sizes = np.cumsum([0, *[len(s) for _, s, _ in self.spans]])
-        part = np.searchsorted(sizes, self.first, side="right") - 1
-        out = []
-        for p, k in zip(part.tolist(), (self.first - sizes[part]).tolist()):
-            text, starts, ends = self.spans[p]
-            out.append(text[starts[k]:ends[k]])
-        return out
+    words: list[str]  # the distinct words by place, if they were asked for
 
 
-def index_chunk(table: pa.Table, special: tuple[str, ...], classes: np.ndarray) -> Index:
-    texts = pc.fill_null(table.column(table.num_columns - 1), "").to_pylist()
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    parts, spans, found = [], [], []
+def index_chunk(table: pa.Table, special: tuple[str, ...], classes: np.ndarray, with_words: bool = False) -> Index:
+    """The words of a chunk's texts, some whole texts at a time."""
+    column = pc.fill_null(table.column(table.num_columns - 1), "")
+    total = np.concatenate([[0], np.cumsum(pc.utf8_length(column).to_numpy())]).astype(np.int64)
+    parts, found, words = [], [], {}
     i = 0
-    while i < len(texts):
+    while i < len(column):
         j = max(i + 1, int(np.searchsorted(total, total[i] + BATCH_CHARS, side="right")) - 1)
-        points = pretokens.code_points(texts[i:j])
+        texts = column.slice(i, j - i).to_pylist()
+        points = pretokens.code_points(texts)
         off = total[i:j + 1] - total[i]
-        starts = pretokens.token_starts(points, off[:-1], pretokens.special_spans(texts[i:j], off, special), classes)
+        starts = pretokens.token_starts(points, off[:-1], pretokens.special_spans(texts, off, special), classes)
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
         codes, uniques = pd.factorize(textkit.span_hashes(points, starts, ends))
-        at = np.zeros(len(uniques), dtype=np.int64)
-        at[codes[::-1]] = np.arange(len(codes))[::-1]
         parts.append(Part(np.searchsorted(starts, off, side="left"), codes.astype(np.int32)))
-        spans.append(("".join(texts[i:j]), starts[at], ends[at]))
         found.append(np.asarray(uniques, dtype=np.uint64))
+        if with_words:
+            at = np.zeros(len(uniques), dtype=np.int64)
+            at[codes[::-1]] = np.arange(len(codes))[::-1]
+            joined = "".join(texts)
+            for h, a, b in zip(found[-1].tolist(), starts[at].tolist(), ends[at].tolist()):
+                if h not in words:
+                    words[h] = joined[a:b]
         i = j
-    every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    hashes, first = np.unique(every, return_index=True)
+    hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
     for part, own in zip(parts, found):
         part.word = np.searchsorted(hashes, own)[part.word].astype(np.int32)
-    return Index(hashes, parts, spans, first)
+    return Index(hashes, parts, [words[h] for h in hashes.tolist()] if with_words else [])
 
 
 def ragged(values: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -182,9 +196,9 @@ def map_words(docs: DataFrame, evaluate: Callable[[list[str]], tuple[np.ndarray,
     n_shards = shard_count(text_bytes(docs, "_text"), SHARD_BYTES)
 
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunk_tables(batches):
-            ix = index_chunk(table, special, classes)
-            words, chunk = ix.words(), chunk_id(table)
+        for chunk, table in chunks(batches):
+            ix = index_chunk(table, special, classes, with_words=True)
+            words = ix.words
             shard = (shard_of(words, ix.hashes) if shard_of else ix.hashes) % np.uint64(n_shards)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(n_shards + 1, dtype=np.uint64))
@@ -199,6 +213,8 @@ def map_words(docs: DataFrame, evaluate: Callable[[list[str]], tuple[np.ndarray,
                 pa.array([s for s, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
                 *[pa.array(c, pa.binary()) for c in columns]],
                 names=["shard", "chunk", "places", "lengths", "words"])
+            del table, ix, words, columns, rows
+            release()
 
     def value_words(shard: pa.Table) -> pa.Table:
         seen: dict[bytes, int] = {}
@@ -208,19 +224,24 @@ def map_words(docs: DataFrame, evaluate: Callable[[list[str]], tuple[np.ndarray,
             codes.append(np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip([0, *ends], ends)], np.int64))
         counts, numbers = evaluate([w.decode() for w in seen])
         counts, offsets = counts.astype(np.int32), _offsets(counts)
-        return pa.table({
+        del seen
+        out = pa.table({
             "chunk": shard["chunk"], "places": shard["places"],
             "lengths": pa.array([squeeze(counts[c]) for c in codes], pa.binary()),
             "numbers": pa.array([squeeze(ragged(numbers, offsets, counts, c)) for c in codes], pa.binary())})
+        release()
+        return out
 
     def meet(documents: pa.Table, values: pa.Table) -> pa.Table:
         out, by_place = [], None
-        for blob in documents["documents"].to_pylist():
-            table = pa.ipc.open_stream(blob).read_all()
+        for blob in documents["documents"]:
+            table = pa.ipc.open_stream(blob.as_buffer()).read_all()
             ix = index_chunk(table, special, classes)
             if by_place is None:
                 by_place = _by_place(values, len(ix.hashes))
             out.append(finish(table, ix, *by_place))
+            del table, ix
+        release()
         return pa.concat_tables(out)
 
     listed = docs.mapInArrow(list_words, _DICT_SCHEMA)
