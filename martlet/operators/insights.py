@@ -21,6 +21,8 @@ from martlet.session import cut_lineage
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
 _DATETIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
+#: MLlib's maxIter is a 32-bit integer.
+_NO_BOUND = 2**31 - 1
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -234,13 +236,18 @@ def cluster_summary(clustered: DataFrame, features: list[str]) -> DataFrame:
 
 
 def cluster_entities(df: DataFrame, key: str, features: list[str], k: int = 4,
-                     seed: int = 7, max_iter: int = 100) -> DataFrame:
+                     seed: int = 7, max_iter: int | None = None) -> DataFrame:
     """ANL-8: k-means segments over standardised numeric features
     (MLlib: each iteration is one distributed pass plus a k-row reduce).
     The feature table (one row per entity) is written once to the shared
     checkpoint folder: the scaler fit, the k-means fit and the assignment
-    all read it, so the query behind it runs once. ``max_iter`` bounds the
-    iterations; a fit that reaches it has not converged and raises."""
+    all read it, so the query behind it runs once. Iterations go on until no
+    center moves by more than MLlib's tolerance (1e-4, in standard deviations).
+    That ends by itself: an iteration that moves one farther lowers the total
+    squared distance, and MLlib raises on NaN and infinite features. How many
+    it takes depends on the rows and their partitions, so there is no bound;
+    with a caller's own ``max_iter``, a fit that reaches it has not converged
+    and raises."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -250,9 +257,10 @@ def cluster_entities(df: DataFrame, key: str, features: list[str], k: int = 4,
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
-        KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", maxIter=max_iter),
+        KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster",
+               maxIter=_NO_BOUND if max_iter is None else max_iter),
     ])
     model = pipe.fit(clean)
-    if model.stages[-1].summary.numIter >= max_iter:
+    if max_iter is not None and model.stages[-1].summary.numIter >= max_iter:
         raise RuntimeError(f"k-means did not converge in {max_iter} iterations")
     return model.transform(clean).select(key, *features, F.col("cluster").cast("int"))

@@ -230,6 +230,33 @@ def test_cluster_customers_query_is_a_kmeans_fixed_point(spark):
     assert len(ks) == 4 and (nearest == out["cluster"].to_numpy()).all()
 
 
+def test_kmeans_goes_on_until_it_converges(spark):
+    """Many clusters on an even line take more than 100 iterations."""
+    import numpy as np
+    import pytest
+    df = spark.range(20000, numPartitions=1).selectExpr("id", "double(id) AS a")
+    with pytest.raises(RuntimeError, match="did not converge in 100"):
+        I.cluster_entities(df, "id", ["a"], k=60, max_iter=100)
+    out = I.cluster_entities(df, "id", ["a"], k=60).toPandas()
+    assert len(out) == out["id"].nunique() == 20000 and out["cluster"].nunique() == 60
+    x = out["a"].to_numpy()
+    z = (x - x.mean()) / x.std(ddof=1)
+    c = out["cluster"].to_numpy()
+    far = np.abs(z[:, None] - np.array([z[c == j].mean() for j in range(60)])[None, :])
+    # the last step moved no center by more than 1e-4
+    assert (far[np.arange(len(c)), c] <= far.min(1) + 3e-4).all()
+
+
+def test_kmeans_without_a_bound_refuses_what_cannot_converge(spark):
+    import pytest
+    rows = [(i, float(i % 7), float(i)) for i in range(50)]
+    for odd in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="NaN"):
+            I.cluster_entities(spark.createDataFrame(rows + [(50, odd, 1.0)], "id int, a double, b double"), "id", ["a", "b"])
+    same = spark.createDataFrame([(i, 2.0) for i in range(50)], "id int, a double")
+    assert I.cluster_entities(same, "id", ["a"]).count() == 50
+
+
 def test_exact_quantiles_sort_only_a_small_subset(spark, monkeypatch):
     import numpy as np
     from martlet.operators import rollups as R
